@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, secrets, token_counts
+from . import bpe, language, preference, secrets, simhash, token_counts, winnow
 from .common import table
 
 
@@ -25,6 +25,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), _tokenizer_file("word_bpe_49k.json"), decoded=True))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.digest(preference.format_preferences(preference.reply_pairs(table(spark, sf_dir, "conversations"))))
+
+
+def op8_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.digest(winnow.edited_fingerprints(table(spark, sf_dir, "documents")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.identify(documents).withColumn("held_out", language.held_out()).select("doc_id", "held_out", "lang_pred", "score", "accepted")
@@ -37,8 +49,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe": op2_bpe,
+    "op3_simhash": op3_simhash,
+    "op5_preference": op5_preference,
+    "op8_winnow": op8_winnow,
     "op9_language_id": op9_language_id,
     "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_preference": preference.ORACLE}
