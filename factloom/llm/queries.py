@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, preference, secrets, simhash, token_counts, winnow
+from . import bpe, decontaminate, language, preference, pst, secrets, simhash, token_counts, winnow
 from .common import table
 
 
@@ -33,6 +33,14 @@ def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.digest(preference.format_preferences(preference.reply_pairs(table(spark, sf_dir, "conversations"))))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.digest(winnow.edited_fingerprints(table(spark, sf_dir, "documents")))
 
@@ -51,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
     "op5_preference": op5_preference,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_lm_score": op7_lm_score,
     "op8_winnow": op8_winnow,
     "op9_language_id": op9_language_id,
     "op10_secrets": op10_secrets,
