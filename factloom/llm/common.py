@@ -62,6 +62,18 @@ def map_texts(df: DataFrame, each: Callable, schema: str, *, key: str = "doc_id"
     return only.mapInArrow(run, schema)
 
 
+def keep_texts(df: DataFrame, wanted: Callable, *, text: str = "text") -> DataFrame:
+    """The rows for whose texts (null: empty) ``wanted`` gives True, with all columns."""
+    place = df.schema.names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, place):
+                yield part.filter(pa.array(wanted([x or "" for x in part.column(place).to_pylist()]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def blocks(batch: pa.RecordBatch, column: int = 1, most: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``most`` bytes of text each (one row at least)."""
     import pyarrow.compute as pc

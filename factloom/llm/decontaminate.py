@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import keep_texts, map_texts
 
 Q = 10
 #: Edits that an occurrence may have, as a share of the item's normalised length.
@@ -251,7 +251,20 @@ def _finder(shared, q: int, share: float):
     return each
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without an occurrence of any item, all columns kept."""
-    bad = occurrences(documents, benchmark, key=key, text=text).select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, documents[key].eqNullSafe(bad["_bad"]), "left_anti")
+def clean(documents: DataFrame, benchmark: DataFrame, *, q: int = Q, share: float = EDIT_SHARE, text: str = "text") -> DataFrame:
+    """The documents without an occurrence of any item, with all their columns; nothing is shuffled."""
+    for block in item_blocks(benchmark):
+        shared = documents.sparkSession.sparkContext.broadcast(block)
+        documents = keep_texts(documents, _without(shared, q, share), text=text)
+    return documents
+
+
+def _without(shared, q: int, share: float):
+    held: list[Searcher] = []
+
+    def wanted(texts: list[str]) -> list[bool]:
+        if not held:
+            held.append(Searcher(shared.value, q, share))
+        return [not held[0].find(t) for t in texts]
+
+    return wanted

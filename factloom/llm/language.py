@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, col, map_texts
+from .common import MEMO_WORDS, col, keep_texts, map_texts
 
 #: At most this many labelled rows are fitted, those with the smallest hash of their key: the one bound of this operator.
 TRAIN_ROWS = 3_000
@@ -155,55 +155,79 @@ def training_rows(documents: DataFrame, *, key: str = "doc_id", text: str = "tex
     return [r[1:] for r in out]
 
 
-def predict(documents: DataFrame, model: Model | None, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, lang_pred, score, accepted`` for every whole text.
+class Predictor:
+    """Predicts lists of texts; each new word's n-grams are summed once."""
 
-    ``und`` with score 0 and not accepted if the text is null or empty, has no
-    letter, or nothing was learned.  Otherwise the likeliest learned language
-    (ties: the first in order) and its calibrated probability; ``accepted`` is
-    false below the calibrated threshold.  Repeated rows give repeated rows; an
-    empty table gives an empty table; columns besides those named aren't read.
-    """
-    place: dict[str, int] = {}
-    held: list[np.ndarray] = []
+    def __init__(self, model: Model | None):
+        self.model = model
+        self.place: dict[str, int] = {}
+        self.rows: list[np.ndarray] = []
+        self.table = np.column_stack([model.table, np.ones(len(model.table))]) if model else None
 
-    def learn(words: list[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Append a row for each new word: the sum over its n-grams of the table's rows, and their number."""
         starts = np.cumsum([0] + [len(w) + 2 for w in words[:-1]])
-        total = np.zeros((starts[-1] + len(words[-1]) + 2, len(model.classes) + 1))
+        total = np.zeros((starts[-1] + len(words[-1]) + 2, self.table.shape[1]))
         for buckets, bad in grams(words):
-            part = table[buckets]
+            part = self.table[buckets]
             part[bad] = 0
             total += part
         rows = np.add.reduceat(total, starts, axis=0)
-        held[:] = [np.concatenate([held[0], rows])] if held else [rows]
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.rows[:] = [np.concatenate([*self.rows, rows])]
 
-    table = np.column_stack([model.table, np.ones(len(model.table))]) if model else None
-
-    def each(keys, texts, *more):
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
+        model, place = self.model, self.place
         if len(place) > MEMO_WORDS:
-            place.clear(), held.clear()
+            place.clear(), self.rows.clear()
         all_words = [letter_words(t) if model else [] for t in texts]
         new = [w for w in dict.fromkeys(w for words in all_words for w in words) if w not in place]
         for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            learn(part)
-            place.update(zip(part, range(len(place), len(place) + len(part)), strict=True))
+            self.learn(new[start : start + 20_000])
         langs, scores, accepted = [], [], []
         for words in all_words:
             if not words:
                 langs.append("und"), scores.append(0.0), accepted.append(False)
                 continue
-            times = np.bincount(np.fromiter(map(place.__getitem__, words), np.int64, len(words))) if len(words) > 1_000_000 else None
-            total = times @ held[0][: len(times)] if times is not None else held[0][[place[w] for w in words]].sum(axis=0)
+            total = np.zeros(self.table.shape[1])
+            for start in range(0, len(words), 100_000):
+                total += self.rows[0][[place[w] for w in words[start : start + 100_000]]].sum(axis=0)
             p = model.probabilities(total[:-1] / total[-1])
             best = int(p.argmax())
             langs.append(model.classes[best]), scores.append(float(p[best])), accepted.append(bool(p[best] >= model.threshold))
-        return (keys, langs, scores, accepted, *more)
+        return langs, scores, accepted
+
+
+def predict(documents: DataFrame, model: Model | None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, lang_pred, score, accepted`` for every whole text.
+
+    ``und`` with score 0 and not accepted if the text is null or empty, has no
+    letter, or nothing was learned.  Otherwise the likeliest learned language
+    (ties: the first in order) and its calibrated probability; ``accepted`` is
+    false below the calibrated threshold.  Repeated rows give repeated rows; an
+    empty table gives an empty table; other columns aren't read.
+    """
+    held: list[Predictor] = []
+
+    def each(keys, texts):
+        if not held:
+            held.append(Predictor(model))
+        return (keys, *held[0].predict(texts))
+
+    kind = documents.select(key).schema[0].dataType.simpleString()
+    return map_texts(documents, each, f"doc_id {kind}, lang_pred string, score double, accepted boolean", key=key, text=text)
+
+
+def keep_accepted(documents: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
+    """The documents whose language is recognised, with all their columns; the others go, null and letterless texts among them."""
+    held: list[Predictor] = []
+
+    def accept(texts: list[str]) -> list[bool]:
+        if not held:
+            held.append(Predictor(model))
+        return held[0].predict(texts)[2]
 
-    kind = {f.name: f.dataType.simpleString() for f in documents.schema}
-    extra = "".join(f", `{c}` {kind[c]}" for c in keep)
-    return map_texts(documents, each, f"doc_id {kind[key]}, lang_pred string, score double, accepted boolean{extra}", key=key, text=text, more=keep)
+    return keep_texts(documents, accept, text=text)
 
 
 def held_out(key: str = "doc_id"):
@@ -211,7 +235,7 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.coalesce(col(key).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def identify(documents: DataFrame, *, training: DataFrame | None = None, key: str = "doc_id", text: str = "text", label: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(documents: DataFrame, *, training: DataFrame | None = None, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
     """Fit on the labelled ``training`` rows (default: those not held out) and predict for every document."""
     among = documents.filter(~held_out(key)) if training is None else training
-    return predict(documents, fit(training_rows(among, key=key, text=text, label=label)), key=key, text=text, keep=keep)
+    return predict(documents, fit(training_rows(among, key=key, text=text, label=label)), key=key, text=text)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, preference, pst, secrets, simhash, token_counts, winnow
+from . import bpe, decontaminate, language, licenses, preference, pst, secrets, simhash, token_counts, winnow
 from .common import table
 
 
-def _tokenizer_file(name: str) -> str:
+def tokenizer_file(name: str) -> str:
     """Where a public tokenizer's file lies; it is opened by path on the driver and on every executor."""
     import public_tokenizers
 
@@ -18,17 +19,23 @@ def _tokenizer_file(name: str) -> str:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer_file("piece_bpe_32k.model"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), _tokenizer_file("word_bpe_49k.json"), decoded=True))
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), decoded=True))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    listed = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], F.round(x["dice"], 6), x["start"], x["end"]))
+    return found.select("doc_id", F.size("licenses").alias("n_licenses"), F.array_join(listed, ",").alias("licenses"))
+
+
 def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.digest(preference.format_preferences(preference.reply_pairs(table(spark, sf_dir, "conversations"))))
 
@@ -58,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
+    "op4_license": op4_license,
     "op5_preference": op5_preference,
     "op6_decontaminate": op6_decontaminate,
     "op7_lm_score": op7_lm_score,

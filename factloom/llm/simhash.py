@@ -195,5 +195,13 @@ def near_duplicates(documents: DataFrame, *, tau: int = MOST_BITS, shingle_words
     return rows.join(labelled.join(lowest, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(documents: DataFrame, *, tau: int = MOST_BITS, shingle_words: int = SHINGLE_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group, the one with the least key, with all columns; one row of each key."""
+    found = checkpoint(near_duplicates(documents, tau=tau, shingle_words=shingle_words, key=key, text=text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")))
+    kept = found.groupBy("_kept").agg(F.count("*").alias("_rows"))
+    out = documents.join(kept.select("_kept"), documents[key].eqNullSafe(F.col("_kept")), "left_semi")
+    return out.dropDuplicates([key]) if kept.filter("_rows > 1").head(1) else out
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
