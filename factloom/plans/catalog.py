@@ -26,7 +26,8 @@ def query(name: str, sql: str | None = None, *, recursive: bool = False):
     def put(f: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
-            ORACLE_SQL[name] = f"with {'recursive ' if recursive else ''}{PRELUDE.strip()}{',' if sql.lstrip().startswith('#') else ''} {sql.lstrip().removeprefix('#')}"
+            more = ("," if sql.startswith("#") else "") + " " + sql.removeprefix("#")
+            ORACLE_SQL[name] = f"with {'recursive ' * recursive}{PRELUDE.strip()}{more}"
         return f
 
     return put
@@ -413,3 +414,468 @@ def j16(t):
         return first.withColumn("rank", F.row_number().over(Window.orderBy("name")))
 
     return joins.path_candidates(ranked(t.suppliers().select("name")), ranked(t.parts().select("name")), most=3)
+
+
+# -- aggregates, rankings, sets
+
+
+@query("a1_statistics", "select symbol_kind, round(avg(cyclomatic), 6) as mean, round(stddev_pop(cyclomatic), 6) as deviation from facts where symbol_kind is not null group by 1")
+def a1(t):
+    return t.facts().filter("symbol_kind is not null").groupBy("symbol_kind").agg(F.round(F.avg("cyclomatic"), 6).alias("mean"), F.round(F.stddev_pop("cyclomatic"), 6).alias("deviation"))
+
+
+@query("a2_outliers", "#m as (select name, cyclomatic from facts where symbol_kind = 'method'), l as (select round(avg(cyclomatic) + 2 * stddev_pop(cyclomatic), 9) as threshold from m) select name, cyclomatic from m, l where cyclomatic > threshold")
+def a2(t):
+    return ag.outliers(t.facts().filter("symbol_kind = 'method'"), "cyclomatic").select("name", "cyclomatic")
+
+
+@query("a3_counts", "select repo, kind, count(*) as n from facts group by 1, 2")
+def a3(t):
+    return ag.counts(t.facts(), "repo", "kind")
+
+
+_IMPORTS = "#imp as (select distinct importer as src, target as dst from dependencies where importer <> target)"
+
+
+@query("a4_coupling", _IMPORTS + " select name, cast(sum(ca) as bigint) as ca, cast(sum(ce) as bigint) as ce from (select dst as name, 1 as ca, 0 as ce from imp union all select src, 0, 1 from imp) group by name")
+def a4(t):
+    return ag.coupling(t.imports())
+
+
+@query("a5_ratio", "select repo, case when count(*) filter (kind = 'symbol') > 0 then round(count(*) filter (kind = 'symbol' and exported) / count(*) filter (kind = 'symbol'), 6) else 0 end as exported_share from facts group by repo")
+def a5(t):
+    n = lambda c: F.sum(F.when(F.expr(c), 1).otherwise(0))
+    return t.facts().groupBy("repo").agg(F.round(fn.ratio(n("kind = 'symbol' and exported"), n("kind = 'symbol'")), 6).alias("exported_share"))
+
+
+@query("a7_multiset_delta", "#a as (select loop_depth, cyclomatic, count(*) as n from ord where o_orderkey % 3 = 0 group by 1, 2), b as (select loop_depth, cyclomatic, count(*) as n from ord where o_orderkey % 3 = 1 group by 1, 2) select loop_depth, cyclomatic, coalesce(b.n, 0) - coalesce(a.n, 0) as delta from a full outer join b using (loop_depth, cyclomatic) where coalesce(b.n, 0) <> coalesce(a.n, 0)")
+def a7(t):
+    o = t.orders()
+    return ag.multiset_delta(o.filter("o_orderkey % 3 = 0").select("loop_depth", "cyclomatic"), o.filter("o_orderkey % 3 = 1").select("loop_depth", "cyclomatic"))
+
+
+@query("a8_set_digest", "select repo, sha256(string_agg(name, chr(10) order by name)) as digest from (select distinct repo, name from facts where kind = 'module') group by repo")
+def a8(t):
+    return ag.set_digest(t.facts().filter("kind = 'module'"), ["repo"], F.col("name"))
+
+
+@query("a9_other_source", "#r as (select distinct l_partkey as target, l_suppkey as source from lineitem) select target, source, exists (select 1 from r q where q.target = r.target and q.source <> r.source) as by_other from r")
+def a9(t):
+    return ag.other_source(t.raw("lineitem").select(F.col("l_partkey").alias("target"), F.col("l_suppkey").alias("source")))
+
+
+@query("a10_tallies", _ROUTES + ", st as (select c.repo, case when b.client_id is null then 'unresolved' when s.repo = c.repo then 'external' else 'resolved' end as state from routes c left join best b on b.client_id = c.page_id left join routes s on s.page_id = b.server_id where c.role = 'client') select repo, 'http' as edge_type, count(*) as detected, count(*) filter (state = 'resolved') as resolved, count(*) filter (state = 'unresolved') as unresolved, count(*) filter (state = 'external') as external from st group by repo")
+def a10(t):
+    return ag.coverage_tallies(linking.http_states(_routes(t)))
+
+
+@query("a11_samples", "#d as (select distinct repo, name from facts where kind = 'symbol' and symbol_kind <> 'method'), r as (select *, row_number() over (partition by repo order by name) as k from d) select repo, array_to_string(list(name order by name) filter (k <= 25), ',') as sample, greatest(count(*) - 25, 0) as more from r group by repo")
+def a11(t):
+    out = ag.sampled_lists(t.facts().filter("kind = 'symbol' and symbol_kind <> 'method'"), ["repo"], "name")
+    return out.select("repo", F.array_join("sample", ",").alias("sample"), "more")
+
+
+@query("a12_counts_diff", _OLD_NEW + ", x as (select kind, name, cyclomatic, sum(s) as d from (select kind, name, cyclomatic, -1 as s from old union all select kind, name, cyclomatic, 1 from new) group by 1, 2, 3) select kind, cast(sum(greatest(d, 0)) as bigint) as added, cast(sum(greatest(-d, 0)) as bigint) as removed from x group by kind")
+def a12(t):
+    old, new = _old_new(t)
+    hashed = lambda df: df.select("kind", F.xxhash64("name", "cyclomatic").alias("hash"))
+    return ag.counts_diff(hashed(old), hashed(new))
+
+
+@query("a13_authors", "#by_ as (select o_orderpriority as module, o_custkey % 12 as author, count(*) as n from orders group by 1, 2), t as (select *, sum(n) over (partition by module) as total from by_) select module, author, n, cast(total as bigint) as total, round(n / total, 6) as share, case when total < 5 then 'sparse' when n / total >= 0.5 then 'owner' when n / total < 0.05 then 'minor' else 'major' end as standing from t")
+def a13(t):
+    return ag.author_shares(t.raw("orders").select(F.col("o_orderpriority").alias("module"), (F.col("o_custkey") % 12).alias("author")))
+
+
+@query("a14_receipt", "select count(*) as facts, count(*) filter (kind = 'module') as module_facts, count(*) filter (kind = 'symbol') as symbol_facts, count(*) filter (kind = 'service') as service_facts, (select count(*) from implementations) as edges, 0 as unresolved_edges from facts")
+def a14(t):
+    facts = t.facts().withColumn("id", fn.fact_id(F.col("repo"), F.col("kind"), F.col("name"), F.col("file")))
+    return ag.receipt(facts, joins.resolve_targets(t.implementations(), facts))
+
+
+@query("a15_agreement", "select count(*) filter (a and b) as both, count(*) filter (a and not b) as only_first, count(*) filter (b and not a) as only_second from (select p_partkey % 2 = 0 as a, p_partkey % 3 = 0 as b from part) where a or b")
+def a15(t):
+    p = t.parts()
+    return ag.agreement(p.filter("p_partkey % 2 = 0"), p.filter("p_partkey % 3 = 0"), ["name"])
+
+
+@query("t1_order", "select name, fan_in from (select dst as name, count(*) as fan_in from edges group by 1) order by fan_in desc, name limit 25")
+def t1(t):
+    return ag.top(t.edges().groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("fan_in")), 25, F.desc("fan_in"), "name")
+
+
+@query("t3_top_per_repo", "#r as (select repo, name, cyclomatic, row_number() over (partition by repo order by cyclomatic desc, name) as rank, count(*) over (partition by repo) as c from facts where symbol_kind = 'method') select repo, name, cyclomatic, rank, greatest(c - 50, 0) as omitted from r where rank <= 50")
+def t3(t):
+    m = t.facts().filter("symbol_kind = 'method'").select("repo", "name", "cyclomatic")
+    return ag.top_per(m, ["repo"], 50, F.desc("cyclomatic"), "name")
+
+
+@query("t5_pairing", "select loop_depth, name, row_number() over (partition by loop_depth, cyclomatic order by name) as pos from ord")
+def t5(t):
+    return ag.paired(t.orders(), ["loop_depth", "cyclomatic"], ["name"]).select("loop_depth", "name", "pos")
+
+
+@query("t6_debounce", "#e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as b from events), s as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) as k from e) select user_id, count(*) as n, min(ts) as first, max(ts) as last from s group by user_id, k")
+def t6(t):
+    return ag.debounced(t.raw("events").withColumn("ts", F.col("ts").cast("timestamp")), ["user_id"], "ts", gap="30 minutes")
+
+
+@query("t7_previous", "select event_id, value, lag(value) over (partition by user_id order by event_id) as previous from events")
+def t7(t):
+    return ag.consecutive(t.raw("events"), ["user_id"], "event_id", "value").select("event_id", "value", "previous")
+
+
+@query("u1_replace_repo", "select repo, count(*) as n from (select repo from facts where repo <> 'ASIA' union all select 'ASIA' from facts where repo = 'EUROPE') group by repo")
+def u1(t):
+    f = t.facts()
+    return ag.counts(ag.replace_repo(f, "ASIA", f.filter("repo = 'EUROPE'").withColumn("repo", F.lit("ASIA"))), "repo")
+
+
+@query("u2_difference", _OLD_NEW + " select name from old where name not in (select name from new)")
+def u2(t):
+    old, new = _old_new(t)
+    return ag.without_keys(old, new, ["name"]).select("name")
+
+
+@query("u3_common_only", "select side, count(*) as n from (select 'a' as side from facts where language = 'python' and symbol_kind in (select symbol_kind from facts where language = 'go') union all select 'b' from facts where language = 'go' and symbol_kind in (select symbol_kind from facts where language = 'python')) group by side")
+def u3(t):
+    f = t.facts()
+    return ag.counts(ag.only_common(f.filter("language = 'python'"), f.filter("language = 'go'"), "symbol_kind").filter("symbol_kind is not null"), "side")
+
+
+@query("u4_spillover", "select name, case when p and a then 'matched' when p then 'unrealised' else 'spillover' end as bucket from (select name, p_partkey % 3 = 0 as p, p_partkey % 4 = 0 as a from prt) where p or a")
+def u4(t):
+    p = t.parts()
+    return ag.spillover(p.filter("p_partkey % 3 = 0"), p.filter("p_partkey % 4 = 0"))
+
+
+@query("u5_history_union", "select revision_id, min(w) as \"at\", array_to_string(list(distinct origin order by origin), ',') as origins from (select o_orderkey as revision_id, o_orderdate as w, 'local' as origin from orders where o_orderkey % 2 = 0 union all select o_orderkey, o_orderdate, 'shared' from orders where o_orderkey % 3 = 0) group by 1")
+def u5(t):
+    o = t.raw("orders").select(F.col("o_orderkey").alias("revision_id"), F.col("o_orderdate").alias("at"))
+    return ag.merged_history(o.filter("revision_id % 2 = 0"), o.filter("revision_id % 3 = 0")).withColumn("origins", F.array_join("origins", ","))
+
+
+@query("u6_set_prop", "select name, case when exported then 'public' else 'internal' end as visibility from facts where symbol_kind = 'struct'")
+def u6(t):
+    f = t.facts().filter("symbol_kind = 'struct'").withColumn("props", F.create_map(F.lit("visibility"), F.lit("internal")))
+    return ag.set_prop(f, F.col("exported"), "visibility", F.lit("public")).select("name", F.element_at("props", "visibility").alias("visibility"))
+
+
+# -- explainers
+
+
+@query("e1_cycles", "#links as (select distinct importer as src, target as dst from dependencies where coupling = 'import'), reach(a, b) as (select src, dst from links where src <> dst union select r.a, l.dst from reach r join links l on r.b = l.src where l.src <> l.dst), c as (select name, coalesce((select min(x.b) from reach x join reach y on x.b = y.a and y.b = x.a where x.a = n.name and x.b <= n.name), n.name) as component from (select src as name from links union select dst from links) n) select component, count(*) as size, array_to_string(list(name order by name), ',') as members, count(*) > 8 as clustered from c group by component having count(*) > 1", recursive=True)
+def e1(t):
+    d = t.dependencies().filter("coupling = 'import'")
+    return explainers.import_cycles(d.select(F.col("importer").alias("src"), F.col("target").alias("dst"))).withColumn("members", F.array_join("members", ","))
+
+
+_LAYERS = {"AFRICA": 0, "AMERICA": 1, "ASIA": 1, "EUROPE": 2}
+
+
+@query("e2_layers", _IMPORTS + ", l as (select src, dst, case when src like '%/AFRICA/%' then 0 when src like '%/AMERICA/%' or src like '%/ASIA/%' then 1 when src like '%/EUROPE/%' then 2 end as src_level, case when dst like '%/AFRICA/%' then 0 when dst like '%/AMERICA/%' or dst like '%/ASIA/%' then 1 when dst like '%/EUROPE/%' then 2 end as dst_level from imp) select src, dst, case when src_level < dst_level then 'against' when src_level > dst_level then 'inward' else 'same' end as direction from l where src_level is not null and dst_level is not null")
+def e2(t):
+    return explainers.layer_violations(t.imports(), _LAYERS).select("src", "dst", "direction")
+
+
+@query("e3_cross_repo", _ROUTES + " select c.repo as from_repo, s.repo as to_repo, count(*) as n, 'http' as types from best b join routes c on c.page_id = b.client_id join routes s on s.page_id = b.server_id where c.repo <> s.repo group by 1, 2")
+def e3(t):
+    return explainers.cross_repo_summary(linking.http_links(_routes(t))).withColumn("types", F.array_join("types", ","))
+
+
+@query("e4_coverage", _ROUTES + ", st as (select c.repo, case when b.client_id is null then 1 else 0 end as u, case when s.repo <> c.repo then 1 else 0 end as r from routes c left join best b on b.client_id = c.page_id left join routes s on s.page_id = b.server_id where c.role = 'client') select repo, cast(sum(r) as bigint) as resolved, cast(sum(u) as bigint) as unresolved, case when sum(r) = 0 then 'gap' else 'partial' end as state, cast(case when sum(r) = 0 then 0.9 else 0.75 end as double) as confidence from st group by repo having sum(u) > 0")
+def e4(t):
+    return explainers.coverage_gaps(ag.coverage_tallies(linking.http_states(_routes(t))))
+
+
+@query("e5_unused_routes", _ROUTES + ", x as (select repo, count(*) as served, count(*) filter (page_id not in (select server_id from best)) as unmatched from routes where role = 'server' group by repo) select *, case when unmatched / served >= 0.8 or unmatched > 200 then 'clients incomplete' when unmatched > 0 then 'unused routes' else 'none' end as finding from x")
+def e5(t):
+    r = _routes(t)
+    servers = r.filter("role = 'server'")
+    return explainers.unused_routes(servers, joins.match_routes(r.filter("role = 'client'"), servers))
+
+
+@query("e6_domain_hubs", "#i as (select e.dst as name, count(distinct e.src) as inbound from edges e where e.src <> e.dst and e.dst in (select name from prt) group by 1), l as (select round(avg(inbound) + 2 * stddev_pop(inbound), 9) as threshold from i) select name, inbound from i, l where inbound >= threshold and inbound >= 10")
+def e6(t):
+    return explainers.domain_hubs(t.parts(), t.edges())
+
+
+@query("e6_shared_tables", "select p_type as \"table\", count(distinct p_brand) as namespaces from part group by 1 having count(distinct p_brand) > 1")
+def e6b(t):
+    return explainers.shared_tables(t.raw("part").select(F.col("p_type").alias("table"), F.col("p_brand").alias("namespace")))
+
+
+@query("e7_query_loops", "select src, count(distinct dst) as queries from calls where src in (select name from ord where loop_depth >= 2) and dst in (select name from prt where p_size > 40) group by src")
+def e7(t):
+    loops = t.calls().join(t.orders().filter("loop_depth >= 2").select(F.col("name").alias("src")), "src", "left_semi")
+    return explainers.query_loops(loops, t.parts().filter("p_size > 40"))
+
+
+@query("e8_dead_methods", "select name, 'order' || o_orderkey as bare from ord")
+def e8(t):
+    return explainers.dead_methods(t.facts(), t.edges())
+
+
+@query("e9_entry_points", "#steps as (select distinct src as a, dst as b from part_links where src <> dst), walk(name) as (select name from prt where p_partkey < 10 union select b from walk join steps on a = name) select p_type as mechanism, count(*) as n, (select round(avg(case when name in (select name from walk) then 1 else 0 end), 6) from prt) as reached_share from prt where p_partkey < 10 group by 1", recursive=True)
+def e9(t):
+    reached = traversal.reached_from_roots(t.part_links(), t.parts().select("name"), _seeds(t, 10))
+    return explainers.entry_points(t.parts().filter("p_partkey < 10").select(F.col("p_type").alias("mechanism")), reached)
+
+
+@query("e10_messaging", "#d as (select p_brand as repo, p_name as operation, min(p_type) as d from part where p_partkey % 3 <> 0 group by 1, 2), i as (select p_brand as repo, p_name as operation, min(p_type) as i from part where p_partkey % 4 <> 0 group by 1, 2) select repo, case when d is null then 'undeclared' when i is null then 'unimplemented' when d <> i then 'conflicting' else 'covered' end as state, count(*) as n from d full outer join i using (repo, operation) group by 1, 2")
+def e10(t):
+    p = t.raw("part").select(F.col("p_brand").alias("repo"), F.col("p_name").alias("operation"), F.col("p_type").alias("direction"), "p_partkey")
+    return explainers.messaging_coverage(p.filter("p_partkey % 3 <> 0"), p.filter("p_partkey % 4 <> 0"))
+
+
+@query("e11_god_class", "#s as (select f.name, e.fan_in from (select distinct name from facts where kind = 'symbol') f join (select dst as name, count(*) as fan_in from edges where rel not in ('instantiates', 'implemented_by') group by 1) e using (name)), l as (select round(avg(fan_in) + 2 * stddev_pop(fan_in), 9) as threshold from s) select name, fan_in, round(least(0.95, greatest(0.5, 0.5 + 0.5 * (fan_in / threshold - 1))), 6) as confidence from s, l where fan_in > threshold and fan_in >= 8 order by fan_in desc, name limit 25")
+def e11(t):
+    return explainers.god_classes(t.facts(), t.edges())
+
+
+@query("e12_hotspots", "#b as (select i.name, fan_in, fan_out, fan_in * fan_out as score from (select dst as name, count(*) as fan_in from edges group by 1) i join (select src as name, count(*) as fan_out from edges group by 1) o using (name)), l as (select round(avg(score) + 2 * stddev_pop(score), 9) as threshold from b) select name, fan_in, fan_out, score from b, l where score > threshold and fan_in >= 3 and fan_out >= 3 order by score desc, name limit 20")
+def e12(t):
+    return explainers.hotspots(t.edges())
+
+
+@query("e14_surface", "select module, count(*) as symbols, count(*) filter (exported) as exported, round(count(*) filter (exported) / count(*), 6) as ratio from (select regexp_replace(file, '/[^/]*$', '') as module, exported from facts where kind = 'symbol' and symbol_kind <> 'method') group by 1 having count(*) >= 3 and count(*) filter (exported) / count(*) >= 0.8 order by symbols desc, module limit 20")
+def e14(t):
+    return explainers.exported_surface(t.facts().filter("symbol_kind <> 'method'"), least=3, share=0.8)
+
+
+@query("e15_complexity", "#m as (select name, cyclomatic from facts where symbol_kind in ('function', 'method')), l as (select round(avg(cyclomatic) + 2 * stddev_pop(cyclomatic), 9) as threshold from m) select name, cyclomatic from m, l where cyclomatic > threshold and cyclomatic >= 8 order by cyclomatic desc, name limit 15")
+def e15(t):
+    return explainers.complexity_outliers(t.facts(), least=8)
+
+
+@query("e16_seams", "#d as (select distinct r.r_name as src, q.r_name as dst, 'import' as via from region r, region q where r.r_regionkey < q.r_regionkey), m as (select c.repo as src, s.repo as dst, min(d.coupling) as via from dependencies d join nat c on d.importer = c.dir join nat s on d.target = s.dir where c.repo <> s.repo group by 1, 2) select src, dst, case when d.via is null then 'unexpected' when m.via is null then 'missing' when d.via <> m.via then 'mis-via' else 'kept' end as state from d full outer join m using (src, dst)")
+def e16(t):
+    r = t.raw("region")
+    declared = r.select(F.col("r_name").alias("src"), F.col("r_regionkey").alias("a")).join(F.broadcast(r.select(F.col("r_name").alias("dst"), F.col("r_regionkey").alias("b"))), F.col("a") < F.col("b")).select("src", "dst", F.lit("import").alias("via"))
+    n = t.nations()
+    a, b = n.select(F.col("dir").alias("importer"), F.col("repo").alias("src")), n.select(F.col("dir").alias("target"), F.col("repo").alias("dst"))
+    measured = t.dependencies().drop("repo").join(a, "importer").join(b, "target").filter("src <> dst").select("src", "dst", F.col("coupling").alias("via"))
+    return explainers.seam_check(declared, measured)
+
+
+@query("e18_vendored", "select 'app/vendor/' || p_brand as dir, count(*) as files from part group by 1 having count(*) >= 3 and max(case when p_partkey % 5 = 0 then 1 else 0 end) = 1")
+def e18(t):
+    name = F.when(F.col("p_partkey") % 5 == 0, "LICENSE.txt").otherwise(F.concat(F.lit("f"), "p_partkey", F.lit(".c")))
+    return explainers.vendored(t.raw("part").select(F.concat(F.lit("app/vendor/"), "p_brand", F.lit("/"), name).alias("file")))
+
+
+@query("e19_import_closure", "#steps as (select distinct importer as a, target as b from dependencies where importer <> target and coupling = 'import'), walk(root, name, depth) as (select dir, dir, 0 from nat union select root, b, depth + 1 from walk join steps on a = name where depth < 20), f as (select root, name, min(depth) as depth from walk group by 1, 2) select root, count(*) - 1 as size, max(depth) as depth from f group by root", recursive=True)
+def e19(t):
+    d = t.dependencies().filter("coupling = 'import'").select(F.lit("imports").alias("rel"), F.col("importer").alias("src"), F.col("target").alias("dst"))
+    return explainers.import_closures(d, t.nations().select(F.col("dir").alias("name")))
+
+
+_METRICS = """, types as (select regexp_replace(file, '/[^/]*$', '') as name, count(*) as classes, count(*) filter (symbol_kind = 'interface') as abstract from facts where symbol_kind in ('struct', 'class', 'interface') group by 1),
+cpl as (select name, cast(sum(ca) as bigint) as ca, cast(sum(ce) as bigint) as ce from (select dst as name, 1 as ca, 0 as ce from imp union all select src, 0, 1 from imp) group by name),
+j as (select m.name, coalesce(classes, 0) as classes, coalesce(abstract, 0) as abstract, coalesce(ca, 0) as ca, coalesce(ce, 0) as ce from (select distinct name from facts where kind = 'module' and role = 'production') m left join types using (name) left join cpl using (name)),
+k as (select *, case when ca + ce > 0 then ce / (ca + ce) else 0.0 end as i, case when classes > 0 then abstract / classes else 0.0 end as a from j),
+r as (select name, classes, abstract, ca, ce, round(i, 3) as instability, round(a, 3) as abstractness, round(abs(a + i - 1), 3) as distance from k)
+select *, case when distance <= 0.2 then 'main' when distance > 0.7 and instability < 0.5 then 'pain' when distance > 0.7 then 'useless' else 'neutral' end as zone from r"""
+
+
+@query("e20_package_metrics", _IMPORTS + _METRICS)
+def e20(t):
+    return explainers.package_metrics(t.facts(), t.imports())
+
+
+@query("e21_unreferenced", "select s.name, case when s.name in (select src from edges where rel <> 'declares') then 'unreferenced' else 'isolated' end as category, case when symbol_kind = 'function' then 'high' when symbol_kind in ('struct', 'class', 'interface') then 'medium' else 'low' end as confidence from (select distinct name, symbol_kind from facts where kind = 'symbol') s where s.name not in (select dst from edges where src <> dst and rel <> 'declares')")
+def e21(t):
+    return explainers.unreferenced(t.facts(), t.edges())
+
+
+@query("e22_performance", "select name, 'nested-loop' as finding, case when loop_depth >= 3 then 'high' else 'medium' end as severity, loop_depth as depth, cast(case when loop_depth >= 4 then 0.5 else 0.8 end as double) as confidence, cast(round(case when loop_depth >= 3 then 3.0 else 2.0 end * case when loop_depth >= 4 then 0.5 else 0.8 end, 2) as double) as risk from ord where loop_depth >= 2 union all select distinct o.name, 'call-in-loop', 'high', greatest(1, loop_depth), cast(case when loop_depth >= 4 then 0.5 else 0.9 end as double), cast(round(3.0 * case when loop_depth >= 4 then 0.5 else 0.9 end, 2) as double) from ord o join calls c on c.src = o.name join prt p on p.name = c.dst where loop_depth >= 1 and p_size > 45")
+def e22(t):
+    o = t.orders()
+    loops = t.calls().join(o.filter("loop_depth >= 1").select(F.col("name").alias("src")), "src", "left_semi").select("src", "dst")
+    out = explainers.performance(o.select("name", "loop_depth"), loops, expensive=t.parts().filter("p_size > 45").select("name"))
+    return out.select("name", "finding", "severity", "depth", "confidence", "risk")
+
+
+@query("e17_constraints_all")
+def e17(t):
+    rules = [_RULES[k] for k in ("forbid", "cap", "require", "forbid_name")]
+    return constraints.evaluate(rules, t.facts(), t.edges())
+
+
+# -- constraint forms
+
+_CUSTOMERS = Component(where={"kind": "symbol", "symbol_kind": "class"}, paths=("src/**/customer*.py",))
+_METHODS = Component(where={"kind": "symbol", "symbol_kind": "method"})
+_PARTS = Component(where={"symbol_kind": "struct"})
+_BIG = Component(where={"symbol_kind": "struct", "exported": "true"})
+_SUPPLIERS = Component(where={"kind": "symbol"}, paths=("src/**/supplier*.py",))
+_AFRICA = Component(where={"kind": "symbol", "symbol_kind": "method", "repo": "AFRICA"})
+_FIRST = Component(names=("lib/Brand#1.Part*",))
+
+_RULES = {
+    "forbid": Rule("r1", "forbid", _AFRICA, _FIRST),
+    "forbid_reach": Rule("r2", "forbid_reach", _FIRST, Component(names=("lib/Brand#2.Part*",)), via="depends_on"),
+    "allow": Rule("r3", "allow", _AFRICA, only=(_BIG, _SUPPLIERS)),
+    "protect": Rule("r4", "protect", _FIRST, via="implements", owners=(Component(where={"symbol_kind": "class", "repo": "ASIA"}),)),
+    "private": Rule("r5", "private", _FIRST, only=(_METHODS,)),
+    "forbid_fact": Rule("r6", "forbid_fact", Component(where={"symbol_kind": "interface"})),
+    "cap": Rule("r7", "cap", _PARTS, most=150),
+    "require": Rule("r8", "require", _METHODS, prop="loop_depth", value="< 4", when_prop="cyclomatic", when_value=">= 5"),
+    "require_edge": Rule("r9", "require_edge", _PARTS, _SUPPLIERS, via="implements", inbound=True),
+    "require_defines": Rule("r10", "require_defines", _CUSTOMERS, value="order7"),
+    "forbid_cycles": Rule("r11", "forbid_cycles", _PARTS, via="depends_on"),
+    "independent": Rule("r12", "independent", _PARTS, via="depends_on"),
+    "require_name": Rule("r13", "require_name", _PARTS, pattern="^Part[0-9]*[02468]$"),
+    "forbid_name": Rule("r14", "forbid_name", _PARTS, pattern="7"),
+    "protocol": Rule("r15", "protocol", _AFRICA, steps=(_FIRST, _PARTS, _SUPPLIERS)),
+    "guide": Rule("r16", "guide", _PARTS, mode="advisory"),
+    "storage_stays_home": Rule("r17", "storage_stays_home", _FIRST, _PARTS),
+    "cap_runtime": Rule("r18", "cap_runtime", _METHODS, prop="cyclomatic", most=9),
+    "require_consumer": Rule("r19", "require_consumer", _SUPPLIERS),
+    "unique_across": Rule("r20", "unique_across", Component(where={"kind": "symbol", "symbol_kind": "class"}), prop="role"),
+    "require_governed": Rule("r21", "require_governed", _PARTS),
+}
+
+_VIOLATIONS = {
+    "forbid": "select distinct 'r1' as rule, src as subject, dst as object from calls where src in (select name from ord where repo = 'AFRICA') and starts_with(dst, 'lib/Brand#1.Part')",
+    "forbid_reach": "#steps as (select distinct src as a, dst as b from part_links where src <> dst), walk(root, name) as (select a, b from steps where starts_with(a, 'lib/Brand#1.Part') union select root, b from walk join steps on a = name) select 'r2' as rule, root as subject, name as object from walk where starts_with(name, 'lib/Brand#2.Part')",
+    "allow": "select distinct 'r3' as rule, src as subject, dst as object from calls where src in (select name from ord where repo = 'AFRICA') and dst in (select name from prt where p_size <= 10)",
+    "protect": "select distinct 'r4' as rule, src as subject, dst as object from implementations where starts_with(dst, 'lib/Brand#1.Part') and src not in (select name from facts where symbol_kind = 'class' and repo = 'ASIA')",
+    "private": "select distinct 'r5' as rule, src as subject, dst as object from edges where rel in ('calls', 'depends_on', 'implements', 'imports') and dst in (select name from prt where starts_with(name, 'lib/Brand#1.Part') and p_size <= 10) and not starts_with(src, 'lib/Brand#1.Part') and src not in (select name from ord)",
+    "forbid_fact": "select distinct 'r6' as rule, name as subject, '' as object from facts where symbol_kind = 'interface'",
+    "cap": "select 'r7' as rule, name as subject, '' as object from (select name, row_number() over (order by name) as k from prt) where k > 150",
+    "require": "select 'r8' as rule, name as subject, '' as object from ord where cyclomatic >= 5 and not loop_depth < 4",
+    "require_edge": "select 'r9' as rule, name as subject, '' as object from prt where name not in (select dst from implementations)",
+    "require_defines": "select 'r10' as rule, name as subject, '' as object from cust where name not in (select owner from ord where o_orderkey = 7)",
+    "forbid_cycles": "#links as (select distinct src, dst from part_links), reach(a, b) as (select src, dst from links where src <> dst union select r.a, l.dst from reach r join links l on r.b = l.src where l.src <> l.dst) select distinct 'r11' as rule, x.a as subject, (select min(y.b) from reach y join reach z on y.b = z.a and z.b = y.a where y.a = x.a) as object from reach x where exists (select 1 from reach y where y.a = x.b and y.b = x.a and x.a <> x.b)",
+    "independent": "select distinct 'r12' as rule, d.src as subject, d.dst as object from part_links d join implementations i on i.dst = d.src and i.src = d.dst",
+    "require_name": "select 'r13' as rule, name as subject, '' as object from prt where p_partkey % 2 = 1",
+    "forbid_name": "select 'r14' as rule, name as subject, '' as object from prt where contains(cast(p_partkey as varchar), '7')",
+    "protocol": "#h as (select distinct src, case when starts_with(dst, 'lib/Brand#1.Part') then 1 end as a, case when starts_with(dst, 'lib/') then 2 end as b, case when starts_with(dst, 'src/') then 3 end as c from calls where src in (select name from ord where repo = 'AFRICA')), s as (select src, count(distinct a) + count(distinct b) + count(distinct c) as n, greatest(coalesce(max(a), 0), coalesce(max(b), 0), coalesce(max(c), 0)) as last from h group by src) select 'r15' as rule, src as subject, cast(last as varchar) as object from s where n < last",
+    "guide": "select 'r16' as rule, case when count(*) > 0 then 'present' else 'absent' end as subject, '' as object from prt",
+    "storage_stays_home": "select distinct 'r17' as rule, src as subject, dst as object from part_links where starts_with(src, 'lib/Brand#1.Part') and not starts_with(dst, 'lib/Brand#1.Part')",
+    "cap_runtime": "select 'r18' as rule, name as subject, '' as object from ord where cyclomatic > 9",
+    "require_consumer": "select 'r19' as rule, s.name as subject, '' as object from supp s where not exists (select 1 from edges c where c.rel = 'calls' and c.dst = s.name and c.repo <> s.repo)",
+    "unique_across": "select 'r20' as rule, role as subject, '' as object from facts where symbol_kind = 'class' and role is not null group by role having count(distinct repo) > 1",
+    "require_governed": "select distinct 'r21' as rule, file as subject, '' as object from prt where not starts_with(file, 'lib/Brand#1/') and not starts_with(file, 'lib/Brand#2/')",
+}
+
+for _n, (_form, _rule) in enumerate(_RULES.items(), 1):
+
+    def _run(t: Tables, rule: Rule = _rule) -> DataFrame:
+        more = {"anchors": t.spark.createDataFrame([("a", "lib/Brand#1"), ("b", "lib/Brand#2")], "page string, path string")} if rule.form == "require_governed" else {}
+        edges = t.edges().unionByName(graph.has_method_edges(t.facts())) if rule.form == "require_defines" else t.edges()
+        return constraints.FORMS[rule.form](rule, t.facts(), edges, **more)
+
+    query(f"c{_n}_{_form}", _VIOLATIONS[_form], recursive=True)(_run)
+
+
+# -- linking, diff, history
+
+
+@query("x2_normalise", "select page_id as route_id, array_to_string(list_transform(split(regexp_replace(regexp_replace(path, '^/+|/+$', '', 'g'), '\\.(json|xml|html)$', ''), '/'), lambda s: case when regexp_matches(s, '^[0-9]+$') then '{}' else s end), '/') as path, method from routes where regexp_replace(array_to_string(list_transform(split(regexp_replace(regexp_replace(path, '^/+|/+$', '', 'g'), '\\.(json|xml|html)$', ''), '/'), lambda s: case when regexp_matches(s, '^[0-9]+$') then '{}' else s end), '/'), '[{}/]', '', 'g') <> ''")
+def x2(t):
+    return linking.normalised_routes(_routes(t)).select("route_id", "path", "method")
+
+
+@query("x1_http_links", _ROUTES + " select c.repo as from_repo, s.repo as to_repo, b.client_id as route_id, b.server_id from best b join routes c on c.page_id = b.client_id join routes s on s.page_id = b.server_id")
+def x1(t):
+    return linking.http_links(_routes(t)).select("from_repo", "to_repo", "route_id", "server_id")
+
+
+@query("x6_shared_pairs", "#k as (select distinct p_brand as repo, p_name as identity from part), f as (select identity from k group by 1 having count(*) > 1 and not ((select count(distinct repo) from k) >= 4 and count(*) / (select count(distinct repo) from k) > 0.5)) select a.repo as repo_a, b.repo as repo_b, count(*) as shared from k a join k b on a.identity = b.identity and a.repo < b.repo where a.identity in (select identity from f) group by 1, 2 having count(*) >= 3")
+def x6(t):
+    return linking.shared_pairs(t.raw("part").select(F.col("p_brand").alias("repo"), F.col("p_name").alias("identity")))
+
+
+@query("x9_module_rollup", "select a.dir as from_module, b.dir as to_module, count(*) as n from (select distinct src, dst from part_links) e join prt a on a.name = e.src join prt b on b.name = e.dst where a.dir <> b.dir group by 1, 2")
+def x9(t):
+    return linking.module_rollup(t.part_links().select("src", "dst").distinct(), t.parts().select("name", F.col("dir").alias("module")))
+
+
+@query("x9_unmatched", _ROUTES + " select page_id as route_id, page_id not in (select server_id from best) as unmatched_by_clients from routes where role = 'server'")
+def x9b(t):
+    return linking.unmatched(_routes(t)).select("route_id", "unmatched_by_clients")
+
+
+@query("x10_coverage_report", _ROUTES + ", st as (select c.repo, case when s.repo <> c.repo then 1 else 0 end as r from routes c left join best b on b.client_id = c.page_id left join routes s on s.page_id = b.server_id where c.role = 'client'), x as (select repo, count(*) as detected, cast(sum(r) as bigint) as resolved from st group by repo) select s.repo, coalesce(detected, 0) as detected, coalesce(resolved, 0) as resolved, case when coalesce(detected, 0) = 0 then 'isolated' when resolved = 0 then 'coverage_gap' else 'connected' end as state from (select distinct repo from routes) s left join x using (repo)")
+def x10(t):
+    r = _routes(t)
+    return linking.coverage_report(r, ag.coverage_tallies(linking.http_states(r)))
+
+
+@query("d1_diff_facts", _OLD_NEW + " select * from (select coalesce(o.name, n.name) as name, case when o.name is null then 'added' when n.name is null then 'removed' when o.cyclomatic <> n.cyclomatic then 'changed' end as status from old o full outer join new n using (kind, repo, file, name)) where status is not null")
+def d1(t):
+    old, new = _old_new(t)
+    return diffing.diff_facts(old, new, ["cyclomatic"]).select("name", "status")
+
+
+@query("d1_diff_edges", "#o as (select distinct src, dst from part_links where length(src) % 3 <> 0), n as (select distinct src, dst from part_links where length(dst) % 3 <> 1) select src, dst, 'removed' as status from o where (src, dst) not in (select (src, dst) from n) union all select src, dst, 'added' from n where (src, dst) not in (select (src, dst) from o)")
+def d1b(t):
+    p = t.part_links()
+    return diffing.diff_edges(p.filter("length(src) % 3 <> 0"), p.filter("length(dst) % 3 <> 1")).select("src", "dst", "status")
+
+
+@query("d8_conformance", "#steps as (select distinct dst as a, src as b from part_links where src <> dst), walk(name, depth) as (select name, 0 from prt where p_partkey < 12 union select b, depth + 1 from walk join steps on a = name where depth < 3), p as (select distinct name from walk where name not in (select name from prt where p_partkey < 12)), c as (select name from prt where p_partkey % 4 = 0) select name, case when name in (select name from p) and name in (select name from c) then 'matched' when name in (select name from p) then 'unrealised' else 'spillover' end as bucket from (select name from p union select name from c)", recursive=True)
+def d8(t):
+    return diffing.conformance(t.part_links(), _seeds(t, 12), t.parts().filter("p_partkey % 4 = 0").select("name"))
+
+
+@query("d10_mine_edges", "#cl as (select name, regexp_extract(dir, '^([^/]+/[^/]+)', 1) as c from prt union all select name, repo from supp union all select name, repo from cust union all select name, repo from ord), e as (select distinct rel, src, dst from all_edges where rel in ('calls', 'implements')), x as (select rel as via, a.c as f, b.c as t from e join cl a on a.name = src join cl b on b.name = dst where a.c <> b.c), l as (select via, f, t, count(*) as landed from x group by 1, 2, 3), s as (select via, f, count(*) as total from x group by 1, 2) select via, f as \"from\", t as \"to\", total, landed, case when landed / total >= 0.9 then 'allow' else 'forbid' end as form from l join s using (via, f) where total >= 10 and (landed / total >= 0.9 or landed / total <= 1 - 0.9)")
+def d10(t):
+    cluster = lambda df, c: df.select("name", c.alias("cluster"))
+    clusters = cluster(t.parts(), F.regexp_extract("dir", "^([^/]+/[^/]+)", 1))
+    for df in (t.suppliers(), t.customers(), t.orders()):
+        clusters = clusters.unionByName(cluster(df, F.col("repo")))
+    return diffing.mine_edges(t.calls().unionByName(t.implementations()), clusters)
+
+
+@query("d10_mine_props", "#w as (select symbol_kind, language, repo from facts where kind = 'symbol'), r as (select 'symbol_kind=' || a as ant, 'language=' || b as con, m, s, q from (select symbol_kind as a, language as b, count(*) as m, any_value(s) as s, any_value(q) as q from (select *, count(*) over (partition by symbol_kind) as s, count(*) over (partition by language) / (select count(*) from w) as q from w) group by 1, 2) union all select 'symbol_kind=' || a, 'repo=' || b, m, s, q from (select symbol_kind as a, repo as b, count(*) as m, any_value(s) as s, any_value(q) as q from (select *, count(*) over (partition by symbol_kind) as s, count(*) over (partition by repo) / (select count(*) from w) as q from w) group by 1, 2) union all select 'language=' || a, 'symbol_kind=' || b, m, s, q from (select language as a, symbol_kind as b, count(*) as m, any_value(s) as s, any_value(q) as q from (select *, count(*) over (partition by language) as s, count(*) over (partition by symbol_kind) / (select count(*) from w) as q from w) group by 1, 2) union all select 'language=' || a, 'repo=' || b, m, s, q from (select language as a, repo as b, count(*) as m, any_value(s) as s, any_value(q) as q from (select *, count(*) over (partition by language) as s, count(*) over (partition by repo) / (select count(*) from w) as q from w) group by 1, 2) union all select 'repo=' || a, 'symbol_kind=' || b, m, s, q from (select repo as a, symbol_kind as b, count(*) as m, any_value(s) as s, any_value(q) as q from (select *, count(*) over (partition by repo) as s, count(*) over (partition by symbol_kind) / (select count(*) from w) as q from w) group by 1, 2) union all select 'repo=' || a, 'language=' || b, m, s, q from (select repo as a, language as b, count(*) as m, any_value(s) as s, any_value(q) as q from (select *, count(*) over (partition by repo) as s, count(*) over (partition by language) / (select count(*) from w) as q from w) group by 1, 2)) select ant as antecedent, con as consequent, s as support, m as matched, round(m / s, 6) as confidence from r where s >= 10 and m / s >= 0.9 and s - m <= 20 and q < 0.9 and m / s > q")
+def d10b(t):
+    out = diffing.mine_props(t.facts().filter("kind = 'symbol'"), ["symbol_kind", "language", "repo"])
+    return out.select("antecedent", "consequent", "support", "matched", "confidence")
+
+
+@query("d13_blame", "#rev as (select o_orderpriority as line, cast(o_orderkey % 6 as integer) as k, count(*) as n from orders where o_orderkey < 4000 and (o_orderkey % 6 <> 3 or o_orderpriority <> '5-LOW') group by 1, 2), ks as (select distinct k from rev), full_ as (select l.line, ks.k, coalesce(n, 0) as n from (select distinct line from rev) l cross join ks left join rev on rev.line = l.line and rev.k = ks.k), d as (select line, k, n - coalesce(lag(n) over (partition by line order by k), 0) as delta from full_) select line, 'r' || min(k) filter (delta <> 0) as introduced, cast(sum(greatest(delta, 0)) as bigint) as added, cast(sum(greatest(-delta, 0)) as bigint) as removed, sum(delta) > 0 as present from d where contains(line, '-') group by line")
+def d13(t):
+    o = t.raw("orders").filter("o_orderkey < 4000 and (o_orderkey % 6 <> 3 or o_orderpriority <> '5-LOW')")
+    k = (F.col("o_orderkey") % 6).cast("int")
+    revisions = o.groupBy(F.col("o_orderpriority").alias("line"), k.alias("k")).agg(F.count("*").alias("n")).select(F.concat(F.lit("r"), "k").alias("revision_id"), F.timestamp_seconds(F.col("k") * 86400).alias("at"), "line", "n")
+    return history.blame(history.patches(revisions), "-")
+
+
+@query("r_tumbling", "select cast(date_trunc('hour', ts) as timestamp) as start, event_type, count(*) as n, round(sum(value), 6) as value from events group by 1, 2")
+def r_tumbling(t):
+    from ..streaming import windows
+
+    return windows.tumbling(t.raw("events"))
+
+
+@query("r_sessions", "#e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as b from events), s as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) as k from e) select user_id, count(*) as n, min(ts) as first, max(ts) as last from s group by user_id, k")
+def r_sessions(t):
+    from ..streaming import windows
+
+    return windows.sessions(t.raw("events"))
+
+
+@query("r8_invalidated", "#steps as (select distinct dst_file as a, src_file as b from part_links where src_file <> dst_file), walk(file, depth) as (select file, 0 from prt where p_partkey < 6 union select b, depth + 1 from walk join steps on a = file where depth < 20) select file, min(depth) as depth from walk group by file", recursive=True)
+def r8(t):
+    from ..streaming.protocol import invalidated
+
+    return invalidated(t.parts().filter("p_partkey < 6").select("file"), t.part_links().select(F.col("src_file").alias("src"), F.col("dst_file").alias("dst")))
+
+
+@query("rel_rollup", "select coalesce(repo, '<all>') as repo, coalesce(kind, '<all>') as kind, count(*) as n from facts group by rollup (repo, kind)")
+def rel_rollup(t):
+    return t.facts().rollup("repo", "kind").agg(F.count("*").alias("n")).select(F.coalesce("repo", F.lit("<all>")).alias("repo"), F.coalesce("kind", F.lit("<all>")).alias("kind"), "n")
+
+
+@query("rel_cube", "select coalesce(language, '<all>') as language, coalesce(kind, '<all>') as kind, count(*) as n from facts group by cube (language, kind)")
+def rel_cube(t):
+    return t.facts().cube("language", "kind").agg(F.count("*").alias("n")).select(F.coalesce("language", F.lit("<all>")).alias("language"), F.coalesce("kind", F.lit("<all>")).alias("kind"), "n")
+
+
+@query("fn_names", "select name, regexp_extract(name, '([^./]*)$', 1) as short, regexp_extract(name, case when contains(name, '#') then '^(.*)#[^#]*$' else '^(.*)\\.[^.]*$' end, 1) as owner, regexp_replace(regexp_replace(file, '/[^/]*$', ''), '^$', '.') as dir, substr(sha256(concat_ws(chr(0), repo, kind, name, file)), 1, 32) as id from facts where kind = 'symbol' and symbol_kind <> 'method'")
+def fn_names(t):
+    c = F.col
+    return t.facts().filter("kind = 'symbol' and symbol_kind <> 'method'").select("name", fn.short_name(c("name")).alias("short"), fn.owner_name(c("name")).alias("owner"), fn.dirname(c("file")).alias("dir"), fn.fact_id(c("repo"), c("kind"), c("name"), c("file")).alias("id"))
