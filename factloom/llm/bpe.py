@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,11 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPLIT_SPACE = re.compile(f"[{_SPACE}]+")
 #: The tokenizer's own pattern for the pieces of a word, white space spelled out.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + _SPACE + r"\p{L}\p{N}]+")
-_PLAIN = re.compile(r"[a-z]+")
+_STOPS = frozenset(".,;:!?")
 _LONG = 96
+_NO_RANK = 1 << 40
+_TABLE_BITS = 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def byte_alphabet() -> list[str]:
@@ -66,6 +70,18 @@ class WordBpe:
         alphabet = byte_alphabet()
         self.inner = [vocab.get(c, -1) for c in alphabet]
         self.last = [vocab.get(c + self.suffix, -1) for c in alphabet]
+        self.tokens = pa.array([self.strings.get(i, "") for i in range(max(self.strings) + 1)])
+        self._inner, self._last = np.array(self.inner), np.array(self.last)
+        ranked = sorted((rank, key, new) for key, (rank, new) in self.merges.items())
+        self._keys = np.array([x[1] for x in ranked], np.uint64)
+        self._new = np.array([x[2] for x in ranked])
+        slots = (self._keys * _ODD >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+        self._table = np.full(1 << _TABLE_BITS, -1, np.int64)  # the merge of a slot; -2 where several share it
+        self._table[slots] = np.arange(len(slots))
+        alike, counts = np.unique(slots, return_counts=True)
+        self._table[alike[counts > 1]] = -2
+        self._order = np.argsort(self._keys)
+        self._sorted = self._keys[self._order]
 
     def normalise(self, text: str) -> str:
         if not text.isascii():
@@ -91,12 +107,69 @@ class WordBpe:
     def merge(self, word: str) -> list[int]:
         """The ids of a word without white space."""
         ids: list[int] = []
-        for piece in (word,) if _PLAIN.fullmatch(word) else _PIECES.findall(word):
+        for piece in self.pieces(word):
             raw = piece.encode("utf-8", "surrogatepass")
             parts = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
             ids += self._merge_long(parts) if len(parts) > _LONG else self._merge_short(parts)
         return ids
 
+    def pieces(self, word: str) -> list[str]:
+        if word.isalpha():
+            return [word]
+        return [word[:-1], word[-1]] if word[-1] in _STOPS and word[:-1].isalpha() else _PIECES.findall(word)
+
+    def merge_many(self, words: list[str]) -> list[bytes]:
+        """The ids of many words as 32-bit numbers: each round merges the best pair of every piece, the leftmost on ties."""
+        number: dict[str, int] = {}
+        owner_of: list[int] = []
+        cuts = [0]
+        for w in words:
+            owner_of += [number.setdefault(p, len(number)) for p in self.pieces(w)]
+            cuts.append(len(owner_of))
+        if not number:
+            return [b""] * len(words)
+        raw = [p.encode("utf-8", "surrogatepass") for p in number]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        chars, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes)
+        sym, owner = self._inner[chars], np.repeat(np.arange(len(raw)), sizes)
+        sym[ends - 1] = self._last[chars[ends - 1]]
+        done_sym, done_owner = [], []
+        if (sizes > _LONG).any():
+            for i in np.flatnonzero(sizes > _LONG).tolist():
+                ids = self._merge_long(sym[ends[i] - sizes[i] : ends[i]].tolist())
+                done_sym.append(np.array(ids)), done_owner.append(np.full(len(ids), i))
+            short = (sizes <= _LONG)[owner]
+            sym, owner = sym[short], owner[short]
+        while len(sym):
+            rank = np.full(len(sym), _NO_RANK, np.int64)
+            rank[:-1] = np.where(owner[1:] == owner[:-1], self._ranks(sym[:-1], sym[1:]), _NO_RANK)
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(sym))))
+            going = least < _NO_RANK
+            done_sym.append(sym[~going]), done_owner.append(owner[~going])
+            at = np.flatnonzero(going & (rank == least))
+            at = at[np.diff(owner[at], prepend=-1) != 0]  # the leftmost of each piece
+            sym[at] = self._new[rank[at]]
+            going[at + 1] = False
+            sym, owner = sym[going], owner[going]
+        sym, owner = np.concatenate(done_sym), np.concatenate(done_owner)
+        flat, held = sym[np.argsort(owner, kind="stable")].astype("<i4"), np.bincount(owner, minlength=len(raw))
+        starts = np.cumsum(held) - held
+        piece = np.array(owner_of)
+        times = held[piece]
+        packed = flat[np.repeat(starts[piece] - np.cumsum(times) + times, times) + np.arange(times.sum())].tobytes()
+        edges = (4 * np.append(0, np.cumsum(times))[cuts]).tolist()
+        return [packed[a:b] for a, b in zip(edges, edges[1:])]
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+        slots = self._table[(keys * _ODD >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)]
+        out = np.where((slots >= 0) & (self._keys[slots] == keys), slots, _NO_RANK)
+        if len(shared := np.flatnonzero(slots == -2)):
+            at = np.minimum(np.searchsorted(self._sorted, keys[shared]), len(self._sorted) - 1)
+            out[shared] = np.where(self._sorted[at] == keys[shared], self._order[at], _NO_RANK)
+        return out
+
     def _merge_short(self, parts: list[int]) -> list[int]:
         get, none = self.merges.get, (1 << 60, -1)
         found = [get(a << 32 | b, none) for a, b in zip(parts, parts[1:])]
@@ -226,55 +299,90 @@ class Lexicon:
         self.labels = at
         self.words = words
 
-    def number(self, word: bytes) -> int:
-        """The word's place among the sorted words, or -1."""
-        state, total, find, base = self.start, 0, self.map.find, self.labels
-        first, target, output = self.first, self.target, self.output
-        for i in range(len(word)):
-            e = find(word[i : i + 1], base + first[state], base + first[state + 1])
-            if e < 0:
-                return -1
-            e -= base
-            total += output[e]
-            state = target[e]
-        return total if self.final[state] else -1
-
-    def get(self, word: bytes) -> list[int] | None:
-        n = self.number(word)
-        return None if n < 0 else self.ids[self.starts[n] : self.starts[n + 1]].tolist()
+        # edges by (state, label), for many words at once
+        of = np.repeat(np.arange(states), np.diff(np.frombuffer(self.first, np.int32)))
+        letters = np.frombuffer(view[at : at + edges], np.uint8)
+        self.keys = of.astype(np.int64) << 8 | letters
+        self.to, self.adds, self.ends = (np.frombuffer(x, np.int32) for x in (self.target, self.output, self.final))
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Each word's place among the sorted words, or -1: all words take one step along the automaton at a time."""
+        out = np.full(len(words), -1, np.int64)
+        if not words or not self.words:
+            return out
+        chars = np.frombuffer(b"".join(words) + b"\0", np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(sizes) - sizes
+        left, state, total = np.arange(len(words)), np.full(len(words), self.start, np.int64), np.zeros(len(words), np.int64)
+        step = 0
+        while len(left):
+            done = sizes[left] == step
+            if done.any():
+                ended = done & (self.ends[state] == 1)
+                out[left[ended]] = total[ended]
+                left, state, total = left[~done], state[~done], total[~done]
+            key = state << 8 | chars[starts[left] + step]
+            edge = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            there = self.keys[edge] == key
+            edge, left = edge[there], left[there]
+            state, total = self.to[edge].astype(np.int64), total[there] + self.adds[edge]
+            step += 1
+        return out
+
+    def ids_of(self, number: int) -> bytes:
+        return self.ids[self.starts[number] : self.starts[number + 1]].tobytes()
 
 
 class Encoder:
     def __init__(self, path: str, lexicon: bytes | None):
         self.bpe = tokenizer(path)
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        self.memo: dict[str, tuple[bytes, str]] = {}
-
-    def word(self, word: str) -> tuple[bytes, str]:
-        """The word's ids as 32-bit numbers, and its tokens joined by one space."""
-        ids = self.lexicon.get(word.encode("utf-8", "surrogatepass")) if self.lexicon and len(word) <= MEMO_WORD_CHARS else None
-        if ids is None:
-            ids = self.bpe.merge(word)
-        strings = self.bpe.strings
-        got = array("i", ids).tobytes(), " ".join([strings[i] for i in ids])
-        if len(word) <= MEMO_WORD_CHARS:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            self.memo[word] = got
-        return got
-
-    def encode(self, text: str) -> tuple[bytes, str]:
-        memo, ids, strings = self.memo, [], []
-        for part, special in self.bpe.segments(text):
-            if special >= 0:
-                ids.append(array("i", [special]).tobytes())
-                strings.append(self.bpe.strings[special])
-                continue
-            for w in self.bpe.words(self.bpe.normalise(part)):
-                got = memo.get(w) or self.word(w)
-                ids.append(got[0])
-                strings.append(got[1])
-        return b"".join(ids), " ".join(strings)
+        self.ids: dict[str, bytes] = {}
+
+    def learn(self, words: list[str]) -> None:
+        """Keep each word's ids as 32-bit numbers: from the lexicon, else merged."""
+        if self.lexicon:
+            numbers = self.lexicon.numbers([w.encode("utf-8", "surrogatepass") for w in words])
+            for i in np.flatnonzero(numbers >= 0).tolist():
+                self.ids[words[i]] = self.lexicon.ids_of(int(numbers[i]))
+            words = [words[i] for i in np.flatnonzero(numbers < 0).tolist()]
+        self.ids.update(zip(words, self.bpe.merge_many(words), strict=True))
+
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        """Of each text the ids."""
+        bpe = self.bpe
+        parts = [[(special, bpe.words(bpe.normalise(part)) if special < 0 else []) for part, special in bpe.segments(t)] for t in texts]
+        if len(self.ids) > MEMO_WORDS:
+            self.ids.clear()
+        fresh = list(set().union(*(words for text in parts for _, words in text)).difference(self.ids))
+        self.learn(fresh)
+        ids, out = self.ids.__getitem__, []
+        for text in parts:
+            out.append(b"".join([b"".join(map(ids, words)) if special < 0 else array("i", [special]).tobytes() for special, words in text]))
+        for w in fresh:
+            if len(w) > MEMO_WORD_CHARS:
+                del self.ids[w]
+        offsets = np.cumsum([0] + [len(x) // 4 for x in out], dtype=np.int64).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), np.int32)))
+
+
+def decode_ids(bpe: WordBpe, ids: pa.ListArray) -> pa.Array:
+    """The tokens of each list joined by one space, as the tokenizer without a decoder joins them; ids that the vocabulary lacks are left out."""
+    flat = ids.flatten()
+    known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(bpe.tokens)))
+    if not pc.all(known, min_count=0).as_py():
+        at = np.cumsum(np.append(0, known.to_numpy(zero_copy_only=False)))
+        lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+        ids = pa.ListArray.from_arrays(pa.array(at[np.append(0, np.cumsum(lengths))].astype(np.int32)), flat.filter(known))
+        flat = ids.flatten()
+    said = pa.ListArray.from_arrays(ids.offsets if ids.offset == 0 and ids.null_count == 0 else pa.array(np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())).astype(np.int32)), bpe.tokens.take(flat))
+    return pc.binary_join(said, " ")
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, lexicon: bytes | None) -> Encoder:
+    """One encoder for all tasks of a worker process, so that what it has learned is kept."""
+    return Encoder(path, lexicon)
 
 
 def word_counts(documents: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -319,15 +427,10 @@ def encode(documents: DataFrame, path: str, *, lexicon: bytes | None = None, dec
     empty table gives an empty table; other columns are not read.
     """
     shared = documents.sparkSession.sparkContext.broadcast(build_lexicon(documents, path, text=text) if lexicon is None else lexicon)
-    held: list[Encoder] = []
 
     def each(keys, texts):
-        if not held:
-            held.append(Encoder(path, shared.value))
-        got = [held[0].encode(t) for t in texts]
-        offsets = np.cumsum([0] + [len(g[0]) // 4 for g in got], dtype=np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(g[0] for g in got), np.int32)))
-        return (keys, ids, [g[1] for g in got]) if decoded else (keys, ids)
+        ids = encoder(path, shared.value).encode(texts)
+        return (keys, ids, decode_ids(tokenizer(path), ids)) if decoded else (keys, ids)
 
     kind = documents.select(key).schema[0].dataType.simpleString()
     return map_texts(documents, each, f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded, key=key, text=text)
@@ -342,10 +445,8 @@ def decode(encoded: DataFrame, path: str, *, key: str = "doc_id", ids: str = "id
     only = encoded.select(F.col(key).alias("doc_id"), F.col(ids).alias("ids"))
 
     def run(batches):
-        strings = tokenizer(path).strings
         for batch in batches:
-            texts = [" ".join([strings[i] for i in x or () if i in strings]) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), decode_ids(tokenizer(path), batch.column(1))], names=["doc_id", "decoded"])
 
     return only.mapInArrow(run, f"doc_id {kind}, decoded string")
 
