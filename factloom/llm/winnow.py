@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, shuffle_parts
+from .common import shuffle_parts
 
 #: Both are powers of two, so that doubling reaches them.
 GRAM_WORDS = 4
@@ -92,26 +92,13 @@ def fingerprint_documents(documents: DataFrame, *, key: str = "doc_id", text: st
     return with_prints(documents.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")), "_text", "_p").select("doc_id", unpacked("_p").alias("fingerprint"))
 
 
-def successors(ids: DataFrame, parts: int) -> DataFrame:
-    """``doc_id, next_id`` for distinct whole-number ids: the next in descending order, and the first after the last.
-
-    The ids are cut into ranges at quantiles of all of them; each range is
-    ordered by itself and the driver only holds one id of each range.
-    """
-    cuts = ids.agg(F.percentile_approx("doc_id", F.array(*(F.lit((i + 1) / parts) for i in range(parts - 1))), 10 * parts)).first()[0] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    place = F.lit(0)
-    if cuts:
-        place = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col("doc_id")))
-    placed = ids.withColumn("_range", place)
-    heads = dict(placed.groupBy("_range").agg(F.max("doc_id")).collect())
-    if not heads:
-        return ids.select("doc_id", F.col("doc_id").alias("next_id"))
-    order = sorted(heads, reverse=True)
-    after = {r: heads[order[(k + 1) % len(order)]] for k, r in enumerate(order)}
-    head = F.create_map(*(F.lit(x) for pair in after.items() for x in pair))
-    within = Window.partitionBy("_range").orderBy(F.desc("doc_id"))
-    return placed.select("doc_id", F.coalesce(F.lead("doc_id").over(within), head[F.col("_range")]).alias("next_id"))
+def range_of(key: str, cuts: list[int]) -> Column:
+    """How many of the sorted cuts lie below a key, by binary search."""
+    if not cuts:
+        return F.lit(0)
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    held = F.lit(cuts).cast("array<bigint>")
+    return F.aggregate(F.lit(steps), F.lit(0), lambda low, step: F.when(F.get(held, low + step - 1) < F.col(key), low + step).otherwise(low))
 
 
 def edited_fingerprints(documents: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,37 +106,52 @@ def edited_fingerprints(documents: DataFrame, *, key: str = "doc_id", text: str
 
     The edited text has its last third of code points replaced by as many
     first code points (or all) of the next document in descending key, the
-    first after the last.  Keys are whole numbers.  Where a key is repeated,
-    the next document is the row of that key with the least hash of its text.
-    Null keys count as one key below all others; null texts are empty.  One row comes out for each row that
-    goes in.
+    first after the last.  Keys are whole numbers; rows of one key follow each
+    other by the hash of their text; null keys come after all others; null
+    texts are empty.  One row comes out for each row that goes in.
+
+    The keys are cut into ranges at quantiles of all of them.  The texts are
+    shuffled once, by range, with a copy of the row that heads the range after; each
+    range is then put in order by itself, and the driver only holds one key of each.
     """
     spark = documents.sparkSession
     lowest = -(2**63)
-    rows = documents.select(F.coalesce(F.col(key).cast("long"), F.lit(lowest)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    known = checkpoint(rows.groupBy("doc_id").agg(F.max(F.length("text")).alias("longest"), F.min("text_hash").alias("text_hash")))
-    follow = successors(known.select("doc_id"), min(200, shuffle_parts(spark)))
-    wanted = known.join(follow, "doc_id").select(F.col("doc_id").alias("before"), F.floor(F.col("longest") / 3).cast("int").alias("length"), "next_id")
-    wanted = checkpoint(wanted.join(known.select(F.col("doc_id").alias("next_id"), F.col("text_hash").alias("pick")), "next_id"))
-    base = with_prints(rows, "text", "prints").repartition(shuffle_parts(spark), "doc_id")
-    given = base.join(wanted, (base["doc_id"] == wanted["next_id"]) & (base["text_hash"] == wanted["pick"]))
-    given = given.select(F.col("before").alias("doc_id"), F.substring("text", F.lit(1), F.col("length")).alias("given"), hashes("prints").alias("next_hashes")).dropDuplicates(["doc_id"])
+    parts = shuffle_parts(spark)
+    rows = documents.select(F.coalesce(F.col(key).cast("long"), F.lit(lowest)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    ranges = 4 * parts
+    cuts = rows.agg(F.percentile_approx("doc_id", F.lit([i / ranges for i in range(1, ranges)]), 10 * ranges)).first()[0]
+    cuts = sorted(set(cuts or []))
+    placed = rows.withColumn("part", range_of("doc_id", cuts))
+    heads = {r["part"]: r["head"] for r in placed.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
+    order = sorted(heads, reverse=True)
+    own = F.struct(F.col("part"), F.lit(False).alias("last"))
+    places = F.array(own)
+    if order:
+        before = {heads[r]: order[k - 1] for k, r in enumerate(order)}  # the head of each range also follows the range above
+        above = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[F.col("doc_id")]
+        places = F.when(above.isNull(), places).otherwise(F.array(own, F.struct(above.alias("part"), F.lit(True).alias("last"))))
+    placed = placed.select("doc_id", "text", F.explode(places).alias("at")).select("doc_id", "text", "at.part", "at.last")
+    dealt = placed.repartition(parts, "part").withColumn("text_hash", F.xxhash64("text"))
+    dealt = with_prints(dealt, "text", "prints").withColumn("hashes", hashes("prints"))
+    within = Window.partitionBy("part").orderBy("last", F.desc("doc_id"), "text_hash")
+    follow = F.lead(F.struct("text", "hashes")).over(within)
     third = F.floor(F.length("text") / 3).cast("int")
-    both = base.join(given, "doc_id").withColumn("n_chars", F.length("text").cast("long"))
-    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("given", F.lit(1), third)))
-    both = with_prints(both.drop("text", "given"), "edited", "edited_prints")
-    return both.select(F.when(F.col("doc_id") != lowest, F.col("doc_id")).alias("doc_id"), "n_chars", "text_hash", "edited", "prints", "edited_prints", "next_hashes")
+    both = dealt.withColumn("next", follow).filter(~F.col("last")).withColumn("n_chars", F.length("text").cast("long"))
+    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("next.text", F.lit(1), third)))
+    both = both.withColumn("next_hashes", F.col("next.hashes")).drop("text", "next")
+    both = with_prints(both, "edited", "edited_prints")
+    return both.select(F.when(F.col("doc_id") != lowest, F.col("doc_id")).alias("doc_id"), "n_chars", "text_hash", "edited", "prints", "hashes", "edited_prints", "next_hashes")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    sets = found.withColumn("_own", hashes("prints")).withColumn("_edited", hashes("edited_prints"))
+    sets = found.withColumn("_edited", hashes("edited_prints"))
     return sets.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         printed("prints").alias("fingerprint"),
         printed("edited_prints").alias("edited_fingerprint"),
-        likeness("_own", "_edited").alias("near_edited"),
-        likeness("_own", "next_hashes").alias("near_next"),
+        likeness("hashes", "_edited").alias("near_edited"),
+        likeness("hashes", "next_hashes").alias("near_next"),
         F.lower(F.hex("text_hash")).alias("text_hash"),
     )
