@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..checkpoints import cut
 
 LARGE = 8
+#: Graphs of at most so many distinct edges are solved in one task; larger ones by label rounds over all tasks.
+SMALL_EDGES = 200_000
 
 
 def _spread(edges: DataFrame, labels: DataFrame, rounds: int) -> DataFrame:
@@ -22,14 +24,101 @@ def _spread(edges: DataFrame, labels: DataFrame, rounds: int) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
-def strongly_connected(edges: DataFrame, *, rounds: int = 200) -> DataFrame:
+def _tarjan(pairs: list[tuple[str, str]]) -> dict[str, str]:
+    """Each node's least fellow member; no recursion, so chains may be long."""
+    after: dict[str, list[str]] = {}
+    for a, b in pairs:
+        after.setdefault(a, []).append(b)
+        after.setdefault(b, [])
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    held, on, out = [], set(), {}
+    for start in after:
+        if start in index:
+            continue
+        work = [(start, iter(after[start]))]
+        index[start] = low[start] = len(index)
+        held.append(start), on.add(start)
+        while work:
+            node, rest = work[-1]
+            for b in rest:
+                if b not in index:
+                    index[b] = low[b] = len(index)
+                    held.append(b), on.add(b)
+                    work.append((b, iter(after[b])))
+                    break
+                if b in on:
+                    low[node] = min(low[node], index[b])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    members = []
+                    while True:
+                        members.append(held.pop())
+                        on.discard(members[-1])
+                        if members[-1] == node:
+                            break
+                    out.update(dict.fromkeys(members, min(members)))
+    return out
+
+
+def _chains(pairs: list[tuple[str, str]]) -> list[tuple[str, int, int]]:
+    """(component, weight, depth) of a small graph."""
+    member = _tarjan(pairs)
+    size: dict[str, int] = {}
+    for c in member.values():
+        size[c] = size.get(c, 0) + 1
+    weight = {c: 0 if n > LARGE else n for c, n in size.items()}
+    after: dict[str, set[str]] = {c: set() for c in size}
+    into: dict[str, set[str]] = {c: set() for c in size}
+    for a, b in pairs:
+        x, y = member[a], member[b]
+        if x != y and size[x] <= LARGE:
+            after[x].add(y), into[y].add(x)
+    depth, left = dict(weight), {c: len(n) for c, n in after.items()}
+    ready = [c for c, n in left.items() if n == 0]
+    while ready:
+        c = ready.pop()
+        for a in into[c]:
+            depth[a] = max(depth[a], weight[a] + depth[c])
+            left[a] -= 1
+            if left[a] == 0:
+                ready.append(a)
+    return [(c, weight[c], depth[c]) for c in size]
+
+
+def _in_one_task(pairs: DataFrame, solve, schema: str) -> DataFrame:
+    """Run a solver over a graph whose size was checked."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+        found = solve(sorted(rows))
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t.type) for i, t in enumerate(arrow)], schema=arrow)
+
+    return pairs.coalesce(1).mapInArrow(run, schema)
+
+
+def _distinct_pairs(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("a is not null and b is not null").distinct()
+
+
+def strongly_connected(edges: DataFrame, *, rounds: int = 200, small: int = SMALL_EDGES) -> DataFrame:
     """``name, component``: each node of ``edges(src, dst)`` with the least name of its component.
 
-    Nodes without a way in or out are trimmed first.  Then least names spread
+    Up to ``small`` distinct edges are solved in one task.  Beyond, nodes without a way in or out are trimmed first.  Then least names spread
     forward; within each such colour, what reaches the colour's root backward
     is a component and leaves the graph.
     """
-    graph = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
+    graph = cut(_distinct_pairs(edges))
+    if graph.limit(small + 1).count() <= small:
+        return _in_one_task(graph, lambda rows: list(_tarjan(rows).items()), "name string, component string")
     nodes = cut(graph.select(F.col("a").alias("name")).union(graph.select(F.col("b").alias("name"))).distinct())
     done = None
     for _ in range(rounds):
@@ -57,13 +146,16 @@ def cycles(edges: DataFrame) -> DataFrame:
     return found.filter("size > 1").withColumn("clustered", F.col("size") > LARGE)
 
 
-def longest_chains(edges: DataFrame, *, rounds: int = 500) -> DataFrame:
+def longest_chains(edges: DataFrame, *, rounds: int = 500, small: int = SMALL_EDGES) -> DataFrame:
     """``component, weight, depth``: the heaviest chain that starts at each component of the condensation.
 
     A component weighs as much as it has members; more than eight weigh
     nothing and end the chain.
     """
-    member = cut(strongly_connected(edges))
+    pairs = cut(_distinct_pairs(edges))
+    if pairs.limit(small + 1).count() <= small:
+        return _in_one_task(pairs, _chains, "component string, weight int, depth int")
+    member = cut(strongly_connected(edges, small=small))
     weight = cut(member.groupBy("component").agg(F.count("*").alias("size")).select("component", F.when(F.col("size") > LARGE, 0).otherwise(F.col("size")).cast("int").alias("weight"), (F.col("size") > LARGE).alias("large")))
     a = member.select(F.col("name").alias("src"), F.col("component").alias("a"))
     b = member.select(F.col("name").alias("dst"), F.col("component").alias("b"))
