@@ -74,9 +74,9 @@ def is_generated_path(path: Column) -> Column:
 
 
 def route_path(path: Column) -> Column:
-    """Slashes trimmed, a format extension of the last segment dropped, parameters and numbers as ``{}``."""
+    """Slashes trimmed, a format extension of the last segment dropped, parameters as ``{}``."""
     trimmed = F.regexp_replace(F.regexp_replace(path, "^/+|/+$", ""), r"\.(json|xml|html)$", "")
-    return F.array_join(F.transform(F.split(trimmed, "/"), lambda s: F.when(s.rlike(r"^(:[^/]+|\{[^}]*\}|<[^>]*>|\[[^\]]*\]|[0-9]+)$"), "{}").otherwise(s)), "/")
+    return F.array_join(F.transform(F.split(trimmed, "/"), lambda s: F.when(s.rlike(r"^(:[^/]+|\{[^}]*\}|<[^>]*>|\[[^\]]*\])$"), "{}").otherwise(s)), "/")
 
 
 def http_method(method: Column) -> Column:

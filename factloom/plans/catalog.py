@@ -318,7 +318,8 @@ best as (select client_id, server_id, cast(segments as integer) as segments from
 
 
 def _routes(t: Tables) -> DataFrame:
-    return t.routes().withColumnRenamed("page_id", "route_id")
+    """The routes with their numbers as parameters."""
+    return t.routes().withColumnRenamed("page_id", "route_id").withColumn("path", F.regexp_replace("path", r"/[0-9]+(\.(json|xml|html))?(?=/|$)", "/:id"))
 
 
 @query("j4_match_routes", _ROUTES + " select client_id, server_id, segments from best")
