@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word memos are emptied when they reach this many entries, so a worker's memory is bounded.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 200_000
 #: Longer words are never kept in a memo.
 MEMO_WORD_CHARS = 64
 #: Documents handled at once by the array-based operators, in characters.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
