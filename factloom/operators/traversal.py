@@ -25,7 +25,7 @@ def steps(edges: DataFrame, direction: str = "forward", rels: list[str] | None =
 
 def walk(edges: DataFrame, seeds: DataFrame, *, direction: str = "forward", rels: list[str] | None = None, depth: int = DEPTH, limit: int = MOST_DEPTH) -> DataFrame:
     """``name, depth`` of all that is reached from ``seeds(name)`` within ``depth`` hops, seeds at 0."""
-    moves = steps(edges, direction, rels)
+    moves = steps(edges, direction, rels).persist()  # every hop joins it; what an executor loses is computed again
     visited = cut(seeds.select("name").distinct().withColumn("depth", F.lit(0)))
     frontier = visited
     for hop in range(1, min(depth, limit) + 1):
@@ -34,6 +34,7 @@ def walk(edges: DataFrame, seeds: DataFrame, *, direction: str = "forward", rels
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
+    moves.unpersist()
     return visited
 
 
@@ -55,7 +56,7 @@ def traverse(edges: DataFrame, facts: DataFrame, seeds: DataFrame, *, direction:
 def find_path(edges: DataFrame, start: str, end: str, *, depth: int = 10) -> DataFrame:
     """The shortest forward path by hops as ``step, name``; empty if there is none within ``depth`` (20 at most); of equal ones, each parent is the least by name."""
     spark = edges.sparkSession
-    moves = steps(edges)
+    moves = steps(edges).persist()
     visited = cut(spark.createDataFrame([(start, None, 0)], "name string, parent string, depth int"))
     frontier = visited
     found = start == end
@@ -68,6 +69,7 @@ def find_path(edges: DataFrame, start: str, end: str, *, depth: int = 10) -> Dat
             break
         visited = visited.unionByName(frontier)
         found = not frontier.filter(F.col("name") == end).isEmpty()
+    moves.unpersist()
     out, at = [], end if found else None
     while at is not None:  # one row for each hop: MOST_DEPTH at most
         row = visited.filter(F.col("name") == at).first()
@@ -96,6 +98,7 @@ def closures(edges: DataFrame, roots: DataFrame, *, rels: list[str] | None = Non
     moves = steps(edges, "forward", rels)
     if without is not None:
         moves = moves.filter((F.col("a") != without) & (F.col("b") != without))
+    moves = moves.persist()
     visited = cut(roots.select(F.col("name").alias("root"), F.col("name")).distinct().withColumn("depth", F.lit(0)))
     frontier = visited
     for hop in range(1, depth + 1):
@@ -104,6 +107,7 @@ def closures(edges: DataFrame, roots: DataFrame, *, rels: list[str] | None = Non
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
+    moves.unpersist()
     return visited
 
 
