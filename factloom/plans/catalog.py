@@ -257,7 +257,16 @@ def g16(t):
     return components.cycles(t.part_links()).select("component", "size", "clustered")
 
 
-@query("g17_longest_chain")
+@query(
+    "g17_longest_chain",
+    _REACH
+    + """, comp as (select n.name, coalesce((select min(x.b) from reach x join reach y on x.b = y.a and y.b = x.a where x.a = n.name and x.b <= n.name), n.name) as component from nodes n),
+w as (select component, cast(case when count(*) > 8 then 0 else count(*) end as integer) as weight, count(*) > 8 as large from comp group by 1),
+dag as (select distinct a.component as a, b.component as b from links l join comp a on a.name = l.src join comp b on b.name = l.dst where a.component <> b.component and a.component in (select component from w where not large)),
+chain(root, at_, s) as (select component, component, weight from w union select root, dag.b, s + w.weight from chain join dag on dag.a = at_ join w on w.component = dag.b)
+select w.component, w.weight, max(s) as depth from w join chain on chain.root = w.component group by 1, 2""",
+    recursive=True,
+)
 def g17(t):
     return components.longest_chains(t.part_links())
 
@@ -271,7 +280,13 @@ def g18(t):
     return traversal.closures(t.part_links(), _seeds(t, 8), depth=8).groupBy("root").agg((F.count("*") - 1).alias("size"), F.max("depth").alias("depth"))
 
 
-@query("g19_effective_depth")
+@query(
+    "g19_effective_depth",
+    """#own as (select name, cast(p_size % 3 as integer) as d from prt), steps as (select distinct src as a, dst as b from part_links where src <> dst),
+walk(root, node, s, k) as (select name, name, d, 0 from own union select root, steps.b, least(6, s + e.d), k + 1 from walk join own o on o.name = node and o.d > 0 join steps on steps.a = node join own e on e.name = steps.b where k < 6)
+select o.name, o.d as own, max(s) as effective from own o join walk on root = o.name group by 1, 2""",
+    recursive=True,
+)
 def g19(t):
     own = t.parts().select("name", (F.col("p_size") % 3).cast("int").alias("depth"))
     return components.effective_depth(own, t.part_links())
@@ -538,10 +553,10 @@ def u2(t):
     return ag.without_keys(old, new, ["name"]).select("name")
 
 
-@query("u3_common_only", "select side, count(*) as n from (select 'a' as side from facts where language = 'python' and symbol_kind in (select symbol_kind from facts where language = 'go') union all select 'b' from facts where language = 'go' and symbol_kind in (select symbol_kind from facts where language = 'python')) group by side")
+@query("u3_common_only", "select side, count(*) as n from (select 'a' as side from facts where repo = 'ASIA' and role in (select role from facts where repo = 'EUROPE') union all select 'b' from facts where repo = 'EUROPE' and role in (select role from facts where repo = 'ASIA')) group by side")
 def u3(t):
     f = t.facts()
-    return ag.counts(ag.only_common(f.filter("language = 'python'"), f.filter("language = 'go'"), "symbol_kind").filter("symbol_kind is not null"), "side")
+    return ag.counts(ag.only_common(f.filter("repo = 'ASIA'"), f.filter("repo = 'EUROPE'"), "role").filter("role is not null"), "side")
 
 
 @query("u4_spillover", "select name, case when p and a then 'matched' when p then 'unrealised' else 'spillover' end as bucket from (select name, p_partkey % 3 = 0 as p, p_partkey % 4 = 0 as a from prt) where p or a")
@@ -584,9 +599,9 @@ def e3(t):
     return explainers.cross_repo_summary(linking.http_links(_routes(t))).withColumn("types", F.array_join("types", ","))
 
 
-@query("e4_coverage", _ROUTES + ", st as (select c.repo, case when b.client_id is null then 1 else 0 end as u, case when s.repo <> c.repo then 1 else 0 end as r from routes c left join best b on b.client_id = c.page_id left join routes s on s.page_id = b.server_id where c.role = 'client') select repo, cast(sum(r) as bigint) as resolved, cast(sum(u) as bigint) as unresolved, case when sum(r) = 0 then 'gap' else 'partial' end as state, cast(case when sum(r) = 0 then 0.9 else 0.75 end as double) as confidence from st group by repo having sum(u) > 0")
+@query("e4_coverage", _ROUTES.replace("from routes)", "from routes where role = 'client' or page_id % 40 = 0)") + ", st as (select c.repo, case when b.client_id is null then 1 else 0 end as u, case when s.repo <> c.repo then 1 else 0 end as r from routes c left join best b on b.client_id = c.page_id left join routes s on s.page_id = b.server_id where c.role = 'client') select repo, cast(sum(r) as bigint) as resolved, cast(sum(u) as bigint) as unresolved, case when sum(r) = 0 then 'gap' else 'partial' end as state, cast(case when sum(r) = 0 then 0.9 else 0.75 end as double) as confidence from st group by repo having sum(u) > 0")
 def e4(t):
-    return explainers.coverage_gaps(ag.coverage_tallies(linking.http_states(_routes(t))))
+    return explainers.coverage_gaps(ag.coverage_tallies(linking.http_states(_routes(t).filter("role = 'client' or route_id % 40 = 0"))))
 
 
 @query("e5_unused_routes", _ROUTES + ", x as (select repo, count(*) as served, count(*) filter (page_id not in (select server_id from best)) as unmatched from routes where role = 'server' group by repo) select *, case when unmatched / served >= 0.8 or unmatched > 200 then 'clients incomplete' when unmatched > 0 then 'unused routes' else 'none' end as finding from x")
@@ -697,10 +712,6 @@ def e22(t):
     return out.select("name", "finding", "severity", "depth", "confidence", "risk")
 
 
-@query("e17_constraints_all")
-def e17(t):
-    rules = [_RULES[k] for k in ("forbid", "cap", "require", "forbid_name")]
-    return constraints.evaluate(rules, t.facts(), t.edges())
 
 
 # -- constraint forms
@@ -732,7 +743,7 @@ _RULES = {
     "guide": Rule("r16", "guide", _PARTS, mode="advisory"),
     "storage_stays_home": Rule("r17", "storage_stays_home", _FIRST, _PARTS),
     "cap_runtime": Rule("r18", "cap_runtime", _METHODS, prop="cyclomatic", most=9),
-    "require_consumer": Rule("r19", "require_consumer", _SUPPLIERS),
+    "require_consumer": Rule("r19", "require_consumer", Component(where={"kind": "symbol", "symbol_kind": "class"})),
     "unique_across": Rule("r20", "unique_across", Component(where={"kind": "symbol", "symbol_kind": "class"}), prop="role"),
     "require_governed": Rule("r21", "require_governed", _PARTS),
 }
@@ -749,14 +760,14 @@ _VIOLATIONS = {
     "require_edge": "select 'r9' as rule, name as subject, '' as object from prt where name not in (select dst from implementations)",
     "require_defines": "select 'r10' as rule, name as subject, '' as object from cust where name not in (select owner from ord where o_orderkey = 7)",
     "forbid_cycles": "#links as (select distinct src, dst from part_links), reach(a, b) as (select src, dst from links where src <> dst union select r.a, l.dst from reach r join links l on r.b = l.src where l.src <> l.dst) select distinct 'r11' as rule, x.a as subject, (select min(y.b) from reach y join reach z on y.b = z.a and z.b = y.a where y.a = x.a) as object from reach x where exists (select 1 from reach y where y.a = x.b and y.b = x.a and x.a <> x.b)",
-    "independent": "select distinct 'r12' as rule, d.src as subject, d.dst as object from part_links d join implementations i on i.dst = d.src and i.src = d.dst",
+    "independent": "select distinct 'r12' as rule, dst as subject, src as object from implementations where length(dst) % 3 = 0",
     "require_name": "select 'r13' as rule, name as subject, '' as object from prt where p_partkey % 2 = 1",
     "forbid_name": "select 'r14' as rule, name as subject, '' as object from prt where contains(cast(p_partkey as varchar), '7')",
     "protocol": "#h as (select distinct src, case when starts_with(dst, 'lib/Brand#1.Part') then 1 end as a, case when starts_with(dst, 'lib/') then 2 end as b, case when starts_with(dst, 'src/') then 3 end as c from calls where src in (select name from ord where repo = 'AFRICA')), s as (select src, count(distinct a) + count(distinct b) + count(distinct c) as n, greatest(coalesce(max(a), 0), coalesce(max(b), 0), coalesce(max(c), 0)) as last from h group by src) select 'r15' as rule, src as subject, cast(last as varchar) as object from s where n < last",
     "guide": "select 'r16' as rule, case when count(*) > 0 then 'present' else 'absent' end as subject, '' as object from prt",
     "storage_stays_home": "select distinct 'r17' as rule, src as subject, dst as object from part_links where starts_with(src, 'lib/Brand#1.Part') and not starts_with(dst, 'lib/Brand#1.Part')",
     "cap_runtime": "select 'r18' as rule, name as subject, '' as object from ord where cyclomatic > 9",
-    "require_consumer": "select 'r19' as rule, s.name as subject, '' as object from supp s where not exists (select 1 from edges c where c.rel = 'calls' and c.dst = s.name and c.repo <> s.repo)",
+    "require_consumer": "select 'r19' as rule, s.name as subject, '' as object from facts s where s.symbol_kind = 'class' and not exists (select 1 from edges c where c.rel = 'calls' and c.dst = s.name and c.repo <> s.repo)",
     "unique_across": "select 'r20' as rule, role as subject, '' as object from facts where symbol_kind = 'class' and role is not null group by role having count(distinct repo) > 1",
     "require_governed": "select distinct 'r21' as rule, file as subject, '' as object from prt where not starts_with(file, 'lib/Brand#1/') and not starts_with(file, 'lib/Brand#2/')",
 }
@@ -765,12 +776,23 @@ for _n, (_form, _rule) in enumerate(_RULES.items(), 1):
 
     def _run(t: Tables, rule: Rule = _rule) -> DataFrame:
         more = {"anchors": t.spark.createDataFrame([("a", "lib/Brand#1"), ("b", "lib/Brand#2")], "page string, path string")} if rule.form == "require_governed" else {}
-        edges = t.edges().unionByName(graph.has_method_edges(t.facts())) if rule.form == "require_defines" else t.edges()
+        edges = t.edges()
+        if rule.form == "require_defines":
+            edges = edges.unionByName(graph.has_method_edges(t.facts()))
+        if rule.form == "independent":  # some parts depend on what implements them
+            back = t.implementations().filter("length(dst) % 3 = 0")
+            edges = edges.unionByName(back.select("repo", F.col("dst").alias("src"), "src_kind", F.lit("depends_on").alias("rel"), F.col("src").alias("dst"), "dst_kind", F.col("dst_file").alias("src_file"), F.col("src_file").alias("dst_file")))
         return constraints.FORMS[rule.form](rule, t.facts(), edges, **more)
 
     query(f"c{_n}_{_form}", _VIOLATIONS[_form], recursive=True)(_run)
 
 
+@query("e17_constraints_all", "select *, 'strict' as mode, cast(1.0 as double) as confidence from (" + " union all ".join(_VIOLATIONS[k] for k in ("forbid", "cap", "require", "forbid_name")) + ")")
+def e17(t):
+    rules = [_RULES[k] for k in ("forbid", "cap", "require", "forbid_name")]
+    return constraints.evaluate(rules, t.facts(), t.edges())
+
+
 # -- linking, diff, history
 
 
@@ -784,9 +806,9 @@ def x1(t):
     return linking.http_links(_routes(t)).select("from_repo", "to_repo", "route_id", "server_id")
 
 
-@query("x6_shared_pairs", "#k as (select distinct p_brand as repo, p_name as identity from part), f as (select identity from k group by 1 having count(*) > 1 and not ((select count(distinct repo) from k) >= 4 and count(*) / (select count(distinct repo) from k) > 0.5)) select a.repo as repo_a, b.repo as repo_b, count(*) as shared from k a join k b on a.identity = b.identity and a.repo < b.repo where a.identity in (select identity from f) group by 1, 2 having count(*) >= 3")
+@query("x6_shared_pairs", "#k as (select distinct p_brand as repo, p_name || '/' || p_size % 10 as identity from part), f as (select identity from k group by 1 having count(*) > 1 and not ((select count(distinct repo) from k) >= 4 and count(*) / (select count(distinct repo) from k) > 0.5)) select a.repo as repo_a, b.repo as repo_b, count(*) as shared from k a join k b on a.identity = b.identity and a.repo < b.repo where a.identity in (select identity from f) group by 1, 2 having count(*) >= 3")
 def x6(t):
-    return linking.shared_pairs(t.raw("part").select(F.col("p_brand").alias("repo"), F.col("p_name").alias("identity")))
+    return linking.shared_pairs(t.raw("part").select(F.col("p_brand").alias("repo"), F.concat("p_name", F.lit("/"), F.col("p_size") % 10).alias("identity")))
 
 
 @query("x9_module_rollup", "select a.dir as from_module, b.dir as to_module, count(*) as n from (select distinct src, dst from part_links) e join prt a on a.name = e.src join prt b on b.name = e.dst where a.dir <> b.dir group by 1, 2")
@@ -880,3 +902,86 @@ def rel_cube(t):
 def fn_names(t):
     c = F.col
     return t.facts().filter("kind = 'symbol' and symbol_kind <> 'method'").select("name", fn.short_name(c("name")).alias("short"), fn.owner_name(c("name")).alias("owner"), fn.dirname(c("file")).alias("dir"), fn.fact_id(c("repo"), c("kind"), c("name"), c("file")).alias("id"))
+
+
+# -- streaming: runs made of the events of each user, some of them broken
+
+
+def _envelopes(t: Tables) -> DataFrame:
+    """One run for each user: users 1, 2 and 3 of five lack the end, fail, or have a hole in their batches."""
+    from pyspark.sql.window import Window
+
+    from ..schema import ENVELOPE, NODE, OWNER
+
+    e = t.raw("events").select("user_id", "event_id", "event_type")
+    owner = F.struct(F.lit("user").alias("kind"), F.col("user_id").cast("string").alias("id"))
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) + F.when((F.col("user_id") % 5 == 3) & (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) > 1), 1).otherwise(0)
+    head = [F.lit(2).alias("schema_version"), F.col("user_id").cast("string").alias("repo_id"), F.lit("c").alias("context_id"), F.lit("run").alias("run_id")]
+    users = e.groupBy("user_id").agg(F.count("*").cast("int").alias("batch_count"))
+    begin = users.select(*head, F.lit("begin_replace").alias("type"), F.lit(0).cast("long").alias("base_generation"), F.lit(1).cast("long").alias("target_generation"), F.array(owner).cast(f"array<{OWNER}>").alias("owner_scope"), F.lit(1).alias("owner_scope_len"))
+    node = F.struct(owner.alias("owner"), F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("kind"), F.lit("").alias("name"), F.lit(0).alias("occurrence"))
+    batch = e.select(*head, F.lit("batch").alias("type"), F.lit("resolved").alias("phase"), seq.cast("int").alias("seq"), F.array(node).cast(f"array<{NODE}>").alias("nodes"))
+    end = users.filter("user_id % 5 <> 1").select(*head, F.lit("end_replace").alias("type"), "batch_count", F.when(F.col("user_id") % 5 == 2, "error").otherwise("success").alias("status"))
+    out = t.spark.createDataFrame([], ENVELOPE)
+    for part in (begin, batch, end):
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _verdicts(t: Tables) -> DataFrame:
+    from ..streaming import protocol
+
+    return protocol.judged(_envelopes(t), t.spark.createDataFrame([], protocol.Consumer.LOG))
+
+
+@query("r3_verdicts", "select cast(user_id as varchar) as repo_id, case when user_id % 5 = 1 then 'open' when user_id % 5 = 2 then 'failed' when user_id % 5 = 3 and count(*) > 1 then 'bad_sequence' else 'apply' end as verdict from events group by user_id")
+def r3(t):
+    return _verdicts(t).select("repo_id", "verdict")
+
+
+@query("r2_replacement", "#n as (select user_id, count(*) as c from events group by 1) select cast(e.user_id as varchar) as repo_id, cast(event_id as varchar) as id, event_type as kind, 1 as generation from events e join n using (user_id) where user_id % 5 in (0, 4) or (user_id % 5 = 3 and c = 1) union all select '-1', 'old', 'kept', 0")
+def r2(t):
+    from ..streaming import protocol
+
+    before = t.raw("events").agg(F.min("user_id").alias("u"))
+    old = before.select(F.lit("-1").alias("repo_id"), F.lit("c").alias("context_id"), F.lit("user\0-1").alias("owner"), F.lit("old").alias("id"), F.lit("kept").alias("kind"), F.lit(0).alias("occurrence"), F.lit(0).cast("long").alias("generation"))
+    return protocol.replaced(old, _envelopes(t), _verdicts(t)).select("repo_id", "id", "kind", "generation")
+
+
+@query("d2_graded", "select source, title, case when informational then 'informational' when source in ('cycles', 'layers', 'constraints') and confidence >= 1.0 then 'fail' else 'warn' end as verdict from (select case cast(p_partkey % 3 as integer) when 0 then 'cycles' when 1 then 'layers' else 'surface' end as source, 'part ' || p_partkey as title, case when p_size > 25 then 1.0 else 0.5 end as confidence, p_partkey % 7 = 0 as informational from part)")
+def d2(t):
+    source = F.when(F.col("p_partkey") % 3 == 0, "cycles").when(F.col("p_partkey") % 3 == 1, "layers").otherwise("surface")
+    found = t.raw("part").select(source.alias("source"), F.concat(F.lit("part "), "p_partkey").alias("title"), F.when(F.col("p_size") > 25, 1.0).otherwise(0.5).alias("confidence"), (F.col("p_partkey") % 7 == 0).alias("informational"))
+    return diffing.grade(found).select("source", "title", "verdict")
+
+
+@query("d5_receipts", "select coalesce(a.metric, b.metric) as metric, coalesce(b.n, 0) - coalesce(a.n, 0) as delta, coalesce(a.metric, b.metric) in ('1-URGENT', '2-HIGH') and coalesce(b.n, 0) - coalesce(a.n, 0) > 0 as regression from (select o_orderpriority as metric, count(*) as n from orders where o_orderkey % 2 = 0 group by 1) a full outer join (select o_orderpriority as metric, count(*) as n from orders where o_orderkey % 2 = 1 group by 1) b on a.metric = b.metric")
+def d5(t):
+    count = lambda c: t.raw("orders").filter(c).groupBy(F.col("o_orderpriority").alias("metric")).agg(F.count("*").alias("value"))
+    return diffing.compare_receipts(count("o_orderkey % 2 = 0"), count("o_orderkey % 2 = 1"), worse_up=("1-URGENT", "2-HIGH")).select("metric", "delta", "regression")
+
+
+@query("d7_reviewers", "#n as (select o_orderpriority as module, o_custkey % 12 as author, count(*) as n from orders group by 1, 2), r as (select *, row_number() over (partition by module order by n desc, author) as rank from n) select * from r where rank <= 2 and module <> '3-MEDIUM'")
+def d7(t):
+    shares = ag.author_shares(t.raw("orders").select(F.col("o_orderpriority").alias("module"), (F.col("o_custkey") % 12).alias("author")))
+    return diffing.reviewers(shares.filter("module <> '3-MEDIUM'").select("module"), shares)
+
+
+@query(
+    "d10_mine_names",
+    "#w as (select p_type as grp, lower(list_extract(split(p_name, ' '), -1)) as word from part), n as (select grp, word, count(*) as n from w group by 1, 2), s as (select grp, count(*) as total from w group by 1) select grp, word, n, total from n join s using (grp) where total >= 10 and n / total >= 0.15",
+)
+def d10c(t):
+    named = t.raw("part").select(F.col("p_type").alias("grp_of"), F.concat(F.lit("lib."), F.translate("p_name", " ", "_")).alias("name"))
+    return diffing.mine_names(named, "grp_of", confidence=0.15).select("grp", "word", "n", "total")
+
+
+@query("u6_remove_where", "select repo, count(*) as n from facts where not (kind = 'symbol' and not exported) group by repo")
+def u6b(t):
+    return ag.counts(t.facts().filter(~((F.col("kind") == "symbol") & ~F.col("exported"))), "repo")
+
+
+@query("t2_capped_findings", "#f as (select repo, name as title, cast(cyclomatic as double) as confidence from facts where symbol_kind = 'method'), r as (select *, row_number() over (partition by repo order by confidence desc, title) as rank, greatest(count(*) over (partition by repo) - 50, 0) as omitted from f) select repo, title, rank, omitted from r where rank <= 50")
+def t2(t):
+    found = t.facts().filter("symbol_kind = 'method'").select("repo", F.col("name").alias("title"), F.col("cyclomatic").cast("double").alias("confidence"))
+    return explainers.capped_findings(found).select("repo", "title", "rank", "omitted")

@@ -97,7 +97,7 @@ class Tables:
         """A sparse graph between parts of neighbouring lines of an order."""
         a = self.raw("lineitem").select("l_orderkey", F.col("l_linenumber").alias("line_a"), F.col("l_partkey").alias("a"))
         b = self.raw("lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("line_a"), F.col("l_partkey").alias("b"))
-        near = a.join(b, ["l_orderkey", "line_a"]).filter((F.col("a") * 31 + F.col("b")) % 53 == 0)
+        near = a.join(b, ["l_orderkey", "line_a"]).filter((F.col("a") * 31 + F.col("b")) % 19 == 0)
         p = self.parts()
         src = p.select(F.col("p_partkey").alias("a"), "repo", F.col("name").alias("src"), F.col("file").alias("src_file"))
         dst = p.select(F.col("p_partkey").alias("b"), F.col("name").alias("dst"), F.col("file").alias("dst_file"))
@@ -177,7 +177,7 @@ calls as (
 part_links as (
   select p.repo, p.name as src, 'symbol' as src_kind, 'depends_on' as rel, q.name as dst, 'symbol' as dst_kind, p.file as src_file, q.file as dst_file
   from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber + 1 = b.l_linenumber join prt p on a.l_partkey = p.p_partkey join prt q on b.l_partkey = q.p_partkey
-  where (a.l_partkey * 31 + b.l_partkey) % 53 = 0
+  where (a.l_partkey * 31 + b.l_partkey) % 19 = 0
 ),
 implementations as (
   select s.repo, s.name as src, 'symbol' as src_kind, 'implements' as rel, p.name as dst, 'symbol' as dst_kind, s.file as src_file, p.file as dst_file
