@@ -4,7 +4,10 @@ A text is the average of the embeddings of its words' character n-grams, each
 hashed to a bucket; a linear layer gives the class scores.  Training is
 stochastic gradient descent in numpy over a bounded sample of labelled rows.
 A temperature and a rejection threshold are calibrated on rows of that sample
-that training did not see.
+that training did not see.  A softmax is sure of texts in no learned language,
+too, so a text must also be familiar: its n-grams must be about as likely under
+the chosen language as those of calibration rows, by a bound set against rows
+whose language is left out and words of shuffled letters.
 """
 
 from __future__ import annotations
@@ -31,6 +34,11 @@ SIZES = (1, 2, 3, 4)
 SEED = 17
 #: Share of known-good calibration rows that the threshold may refuse.
 REFUSED = 0.0005
+#: Share of an n-gram that a language's rows don't have.
+UNSEEN = 1 / (16 * BUCKETS)
+#: Share of the negatives that the bound of familiarity must turn away where it is set between them and good rows.
+TURNED_AWAY = 0.99
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -73,6 +81,15 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    #: BUCKETS x classes: the logarithm of an n-gram's share; for each class its mean over a text, variance between texts and by n-gram.
+    known: np.ndarray | None = None
+    usual: np.ndarray | None = None
+    least_familiar: float = -np.inf
+
+    def familiarity(self, mean: np.ndarray, n: float, best: int) -> float:
+        """How many deviations a text of n n-grams is from the usual mean logarithm of its language; below 0: less known."""
+        centre, between, each = self.usual[best]
+        return float((mean[best] - centre) / np.sqrt(between + each / n))
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = (logits + self.bias) / self.temperature
@@ -124,11 +141,63 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
     p = model.probabilities(logits)
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == target])
     if len(right):
-        # never above an even split between the best classes, so that calibration on easy rows keeps hard ones
-        model.threshold = float(min(right[int(REFUSED * len(right))] * 0.9, 1.2 / len(classes), 0.5))
+        model.threshold = float(right[int(REFUSED * len(right))] * 0.9)
+    calibrate_familiarity(model, kept, held, logits, target)
     return model
 
 
+def calibrate_familiarity(model: Model, kept: list, held: list, logits: np.ndarray, target: np.ndarray) -> None:
+    """Fit the shares of n-grams by language on ``kept`` and the bound on ``held``, against negatives."""
+    k = len(model.classes)
+    number = {c: i for i, c in enumerate(model.classes)}
+    share, rows = np.zeros((BUCKETS, k)), np.zeros(k)
+    for lang, ids, x in kept:
+        share[ids, number[lang]] += x
+        rows[number[lang]] += 1
+    model.known = np.log(share / np.maximum(rows, 1) + UNSEEN)
+    own = kept is held  # too few rows to hold any back: each is scored by the others
+    means, sizes = np.zeros((len(held), k)), np.zeros(len(held))
+    for i, (_, ids, x) in enumerate(held):
+        table = model.known[ids].copy()
+        if own and rows[target[i]] > 1:
+            c = target[i]
+            table[:, c] = np.log(np.maximum(share[ids, c] - x, 0) / (rows[c] - 1) + UNSEEN)
+        means[i], sizes[i] = x @ table, max(1, round(1 / float(x.min())))
+    best = logits + model.bias
+    model.usual = np.zeros((k, 3))
+    for c in range(k):
+        at = np.flatnonzero(target == c)
+        if not len(at):
+            model.usual[c] = (0.0, np.inf, 0.0)
+            continue
+        weight = sizes[at] / (sizes[at] + 100)
+        centre = float(np.average(means[at, c], weights=weight))
+        off = (means[at, c] - centre) ** 2
+        design = np.column_stack([np.ones(len(at)), 1 / sizes[at]])
+        between, each = (max(0.0, float(v)) for v in np.linalg.lstsq(design * weight[:, None], off * weight, rcond=None)[0])
+        model.usual[c] = centre, max(between, 1e-3), max(each, 1.0)
+    good = np.sort([model.familiarity(means[i], sizes[i], t) for i, t in enumerate(target) if best[i].argmax() == t])
+    if not len(good):
+        return
+    bad = []
+    for i, t in enumerate(target):  # as if its language had not been learned
+        if k > 1:
+            others = best[i].copy()
+            others[t] = -np.inf
+            bad.append(model.familiarity(means[i], sizes[i], int(others.argmax())))
+    rng = np.random.default_rng(SEED)
+    for c in range(k):
+        letters = np.array([share[next(grams([a]))[0][1], c] for a in _ALPHABET]) + 1e-9
+        for _ in range(100):
+            words = ["".join(rng.choice(list(_ALPHABET), size=n, p=letters / letters.sum())) for n in rng.integers(3, 10, 40)]
+            ids, x = features(" ".join(words))
+            n = sum(int((~missing).sum()) for _, missing in grams(words))
+            bad.append(model.familiarity(x @ model.known[ids], n, int((x @ model.table[ids] + model.bias).argmax())))
+    low, high = float(good[int(REFUSED * len(good))]), float(np.quantile(bad, TURNED_AWAY))
+    # halfway to the negatives where they are apart; where they overlap, good rows stay
+    model.least_familiar = (low + high) / 2 if high < low else low
+
+
 def training_rows(documents: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", rows: int = TRAIN_ROWS) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """Features of the bounded sample.  Texts stay on the executors; each row sends ``BUCKETS`` entries at most."""
     labelled = documents.filter(col(label).isNotNull() & col(text).isNotNull())
@@ -162,7 +231,7 @@ class Predictor:
         self.model = model
         self.place: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
-        self.table = np.column_stack([model.table, np.ones(len(model.table))]) if model else None
+        self.table = np.column_stack([model.table, model.known, np.ones(len(model.table))]) if model else None
 
     def learn(self, words: list[str]) -> None:
         """Append a row for each new word: the sum over its n-grams of the table's rows, and their number."""
@@ -192,9 +261,11 @@ class Predictor:
             total = np.zeros(self.table.shape[1])
             for start in range(0, len(words), 100_000):
                 total += self.rows[0][[place[w] for w in words[start : start + 100_000]]].sum(axis=0)
-            p = model.probabilities(total[:-1] / total[-1])
+            mean, k = total[:-1] / total[-1], len(model.classes)
+            p = model.probabilities(mean[:k])
             best = int(p.argmax())
-            langs.append(model.classes[best]), scores.append(float(p[best])), accepted.append(bool(p[best] >= model.threshold))
+            sure = p[best] >= model.threshold and model.familiarity(mean[k:], total[-1], best) >= model.least_familiar
+            langs.append(model.classes[best]), scores.append(float(p[best])), accepted.append(bool(sure))
         return langs, scores, accepted
 
 
@@ -204,7 +275,7 @@ def predict(documents: DataFrame, model: Model | None, *, key: str = "doc_id", t
     ``und`` with score 0 and not accepted if the text is null or empty, has no
     letter, or nothing was learned.  Otherwise the likeliest learned language
     (ties: the first in order) and its calibrated probability; ``accepted`` is
-    false below the calibrated threshold.  Repeated rows give repeated rows; an
+    false below the calibrated threshold or the bound of familiarity.  Repeated rows give repeated rows; an
     empty table gives an empty table; other columns aren't read.
     """
     held: list[Predictor] = []
