@@ -80,7 +80,7 @@ def forbid_reach(rule, facts, edges):
     members = rule.subject.members(facts)
     if members.select("name").distinct().limit(REACH_CAP + 1).count() > REACH_CAP:
         return notice(rule, facts, "too many members")
-    reached = traversal.closures(edges, members, rels=[rule.via]).filter("depth > 0")
+    reached = traversal.closures(edges, members, rels=[rule.via], depth=traversal.MOST_DEPTH).filter("depth > 0")
     return _rows(reached.join(_names(rule.to.members(facts), "name"), "name", "left_semi"), rule, "root", "name")
 
 

@@ -7,6 +7,8 @@ most.  Caps hide nodes after the walk and never stop it.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,17 +25,18 @@ def steps(edges: DataFrame, direction: str = "forward", rels: list[str] | None =
     return used.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct()
 
 
-def walk(edges: DataFrame, seeds: DataFrame, *, direction: str = "forward", rels: list[str] | None = None, depth: int = DEPTH, limit: int = MOST_DEPTH) -> DataFrame:
-    """``name, depth`` of all that is reached from ``seeds(name)`` within ``depth`` hops, seeds at 0."""
+def walk(edges: DataFrame, seeds: DataFrame, *, direction: str = "forward", rels: list[str] | None = None, depth: int | None = DEPTH, limit: int = MOST_DEPTH) -> DataFrame:
+    """``name, depth`` of all that is reached from ``seeds(name)`` within ``depth`` hops (``None``: to the end), seeds at 0."""
     moves = steps(edges, direction, rels).persist()  # every hop joins it; what an executor loses is computed again
     visited = cut(seeds.select("name").distinct().withColumn("depth", F.lit(0)))
     frontier = visited
-    for hop in range(1, min(depth, limit) + 1):
+    for hop in count(1) if depth is None else range(1, min(depth, limit) + 1):
         found = moves.join(frontier.select(F.col("name").alias("a")), "a").select(F.col("b").alias("name")).distinct()
         frontier = cut(found.join(visited.select("name"), "name", "left_anti").withColumn("depth", F.lit(hop)))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
+        visited = visited if hop % 16 else cut(visited)  # a long walk would scan one part for each hop
     moves.unpersist()
     return visited
 
@@ -93,20 +96,21 @@ def seed_rollup(facts: DataFrame, edges: DataFrame, seed: str) -> DataFrame:
     return facts.filter(F.col("name") == seed).select("name").union(methods).union(maker).distinct()
 
 
-def closures(edges: DataFrame, roots: DataFrame, *, rels: list[str] | None = None, depth: int = MOST_DEPTH, without: str | None = None) -> DataFrame:
-    """``root, name, depth`` for every root at once, optionally as if one node weren't there."""
+def closures(edges: DataFrame, roots: DataFrame, *, rels: list[str] | None = None, depth: int | None = None, without: str | None = None) -> DataFrame:
+    """``root, name, depth`` for every root at once, to the end unless ``depth`` is given, optionally as if one node weren't there."""
     moves = steps(edges, "forward", rels)
     if without is not None:
         moves = moves.filter((F.col("a") != without) & (F.col("b") != without))
     moves = moves.persist()
     visited = cut(roots.select(F.col("name").alias("root"), F.col("name")).distinct().withColumn("depth", F.lit(0)))
     frontier = visited
-    for hop in range(1, depth + 1):
+    for hop in count(1) if depth is None else range(1, depth + 1):
         found = frontier.join(moves, frontier["name"] == moves["a"]).select("root", F.col("b").alias("name")).distinct()
         frontier = cut(found.join(visited.select("root", "name"), ["root", "name"], "left_anti").withColumn("depth", F.lit(hop)))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
+        visited = visited if hop % 16 else cut(visited)  # a long walk would scan one part for each hop
     moves.unpersist()
     return visited
 
@@ -121,7 +125,7 @@ def dominated(edges: DataFrame, root: str, candidate: str, *, rels: list[str] |
 
 def reached_from_roots(edges: DataFrame, facts: DataFrame, roots: DataFrame, *, rels: list[str] | None = None) -> DataFrame:
     """Each fact's name with whether any root reaches it."""
-    reached = walk(edges, roots, rels=rels, depth=MOST_DEPTH).select("name").withColumn("_r", F.lit(True))
+    reached = walk(edges, roots, rels=rels, depth=None).select("name").withColumn("_r", F.lit(True))
     return facts.select("name").distinct().join(reached, "name", "left").select("name", F.coalesce("_r", F.lit(False)).alias("reached"))
 
 

@@ -161,7 +161,7 @@ def fork(consumer: Consumer, path: str, expected: tuple[str, str, int, str]) ->
     return out
 
 
-def invalidated(changed: DataFrame, imports: DataFrame, *, depth: int = 20) -> DataFrame:
+def invalidated(changed: DataFrame, imports: DataFrame, *, depth: int | None = None) -> DataFrame:
     """Dirty files: those changed and all that read them, directly or not: changed(file), imports(src, dst)."""
     from ..operators.traversal import walk
 
