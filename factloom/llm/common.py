@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ MEMO_WORDS = 200_000
 MEMO_WORD_CHARS = 64
 #: Documents handled at once by the array-based operators, in characters.
 BLOCK_CHARS = 2_000_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_BASE = np.uint64(0x100000001B3)
+_BYTES = np.random.default_rng(5).integers(1, 2**63, 256).astype(np.uint64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +33,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     import tempfile
 
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="factloom-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -89,6 +95,31 @@ def blocks(batch: pa.RecordBatch, column: int = 1, most: int = BLOCK_CHARS) -> I
         yield batch.slice(start)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit values spread over all bits."""
+    with np.errstate(over="ignore"):
+        x = (x ^ x >> np.uint64(29)) * _ODD
+        return x ^ x >> np.uint64(32)
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word (maximal runs free of ASCII white space, A-Z lower-cased) and the number of words of each text."""
+    of = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    counts = np.array([len(ws) for ws in of], np.int64)
+    data = np.frombuffer(b"".join([b" ".join(ws) + b" " for ws in of if ws]), np.uint8)
+    ends = np.flatnonzero(data == 0x20)
+    if not len(ends):
+        return np.zeros(0, np.uint64), counts
+    starts = np.append(0, ends[:-1] + 1)
+    lengths = ends - starts + 1
+    powers = np.full(int(lengths.max()), _BASE)
+    powers[0] = 1
+    with np.errstate(over="ignore"):
+        powers = np.multiply.accumulate(powers)
+        place = np.arange(len(data)) - np.repeat(starts, lengths)
+        return mixed(np.add.reduceat(_BYTES[data] * powers[place], starts)), counts
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -1,16 +1,14 @@
 """The training-data operators against brute-force versions, and the defined results for odd input."""
 
 import hashlib
-import math
 import random
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
-from factloom.llm import bpe, decontaminate, language, licenses, preference, pst, secrets, simhash, token_counts
+from factloom.llm import bpe, decontaminate, language, licenses, preference, secrets, simhash, token_counts
 from factloom.llm.graph import components
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -271,44 +269,6 @@ def test_contaminated_documents_go(spark):
     assert decontaminate.occurrences(frame(spark, texts).limit(0), bench).count() == 0
 
 
-# -- language models
-
-
-def test_lm_scores(spark):
-    rnd = random.Random(4)
-    words = [f"w{i}é" for i in range(50)]
-    texts = [" ".join(rnd.choice(words[: rnd.randrange(3, 50)]) for _ in range(rnd.randrange(0, 80))) for _ in range(300)] + [None, "", "Unseen UNSEEN word"]
-    got = {r["doc_id"]: r for r in pst.score_texts(frame(spark, texts)).collect()}
-    tokens = {i: [*(t or "").encode().lower().split(), b"\n"] for i, t in enumerate(texts)}
-    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
-    count = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
-    n, v = sum(count.values()), len(count)
-    for i, ws in tokens.items():
-        r = got[i]
-        assert r["held_out"] == held[i] and r["n_tokens"] == len(ws) and r["train_tokens"] == n
-        assert r["n_known"] == sum(count[w] > 0 for w in ws)
-        assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), abs=1e-6)
-        assert r["score"] < 0
-    assert pst.score_texts(frame(spark, texts).limit(0)).count() == 0
-
-
-def test_tree_distributions_sum_to_one():
-    s = pst.stream(["the cat sat on the mat " * 40, "a dog and the cat", ""])
-    keys, n = np.unique(s.codes(), return_counts=True)
-    levels = [pst.merged([(keys & np.uint64((1 << 8 * (d + 1)) - 1), n)]) for d in range(pst.DEPTH + 1)]
-    tree = pst.Tree(levels[0], levels[1:])
-    for context in [b"\n\n\n\n\n", b" the ", b"zzzzz", b"e cat"]:
-        codes = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64)
-        assert tree.probabilities(codes).sum() == pytest.approx(1.0)
-        assert tree.logs(codes) == pytest.approx(np.log10(tree.probabilities(codes)))
-
-
-def test_lm_without_training_rows(spark):
-    got = pst.score_texts(frame(spark, ["a b"]), F.lit(False)).first()
-    assert got["held_out"]
-    assert got["train_tokens"] == 0 and got["n_known"] == 0
-
-
 # -- language identification
 
 
