@@ -1,18 +1,20 @@
 """Licence scans: Dice coefficient over word bigrams between normalised regions of a text and licence templates.
 
-Regions are the lines of a text and, wherever they lie, the stretches of a
-template's size that hold enough of its bigrams.  Size bounds prune
-the templates: with x and y bigrams the coefficient is at most
-2 min(x, y) / (x + y), so only templates of a size that can reach the least
-coefficient are compared.
+A region is any run of a text's words, whatever its lines.  Size bounds prune:
+with x and y bigrams the coefficient is at most 2 min(x, y) / (x + y), so a
+template is only compared where enough of its bigrams lie close enough together
+for a region of an allowed size, and only with such regions.
 """
 
 from __future__ import annotations
 
+import heapq
+import os
 import re
 from bisect import bisect_right
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_texts
@@ -54,6 +56,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list "
         "of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     ),
+    (
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
     (
         "Zlib",
         "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
@@ -73,6 +79,21 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either "
         "version 2 of the License, or (at your option) any later version.",
     ),
+    (
+        "LGPL-2.1-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either "
+        "version 2.1 of the License, or (at your option) any later version.",
+    ),
+    (
+        "AGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -105,7 +126,6 @@ class Matcher:
         self.least = least
         self.templates = [(name, bigrams(words(text))) for name, text in templates]
         self.sizes = [x.total() for _, x in self.templates]
-        self.longest = max(self.sizes, default=0) * (2 - least) / least
         self.of: dict[tuple[str, str], list[int]] = {}
         for n, (_, grams) in enumerate(self.templates):
             for g in grams:
@@ -115,85 +135,107 @@ class Matcher:
         """The sizes of regions that can reach the least coefficient with template n."""
         return self.sizes[n] * self.least / (2 - self.least), self.sizes[n] * (2 - self.least) / self.least
 
-    def best(self, ws: list[str], among) -> tuple[float, int] | None:
-        """The likeliest template of a region (ties: the first), compared only where size allows."""
-        size, grams, top = len(ws) - 1, None, None
-        for n in sorted(among):
-            low, high = self.bounds(n)
-            if low <= size <= high:
-                grams = grams or bigrams(ws)
-                d = dice(grams, self.templates[n][1])
-                if d >= self.least and (top is None or d > top[0]):
-                    top = (d, n)
-        return top
-
-    def windows(self, at: list[int], n: int) -> list[tuple[int, int]]:
-        """Stretches of template n's size, as first and last hit, with enough of its bigrams; the fullest of overlapping ones."""
-        size, need = self.sizes[n], self.least * self.sizes[n]
-        out: list[tuple[int, int, int]] = []
-        end = 0
-        for start in range(len(at)):
-            while end < len(at) and at[end] - at[start] < size:
-                end += 1
-            if end - start >= need:
-                if out and at[start] < at[out[-1][1]] + 1:
-                    if end - start > out[-1][2]:
-                        out[-1] = (start, end - 1, end - start)
-                else:
-                    out.append((start, end - 1, end - start))
-        return [(at[a], at[b]) for a, b, _ in out]
+    def clusters(self, at: np.ndarray, n: int) -> list[np.ndarray]:
+        """The hits of template n, cut where two are further apart than a region's words without a hit can be; those with too few are left out.
+
+        A region of r bigrams with h hits reaches the coefficient if
+        2 h >= least (r + size) and h <= size, so it has r - h <= 2 (1 - least) size / least others at most.
+        """
+        size = self.sizes[n]
+        gap = 2 * (1 - self.least) * size / self.least
+        parts = np.split(at, np.flatnonzero(np.diff(at) - 1 > gap + 1e-9) + 1)
+        return [p for p in parts if len(p) >= self.bounds(n)[0] - 1e-9]
+
+    def regions(self, at: np.ndarray, grams: list[tuple[str, str]], n: int) -> list[tuple[float, int, int]]:
+        """(coefficient, first, last bigram) of regions without a common word among the hits ``at`` of template n.
+
+        The likeliest region is taken (of equal ones the longest, then the
+        first), then the likeliest of those disjoint from it, and so on.
+        """
+        size, template = self.sizes[n], self.templates[n][1]
+        low, high = self.bounds(n)
+        # a hit counts in a region if fewer than the template's number of equal ones lie before it there
+        seen: dict[tuple[str, str], list[int]] = {}
+        blocked = np.full(len(at), -1)  # the last start at which it no longer counts
+        for i, g in enumerate(grams):
+            before = seen.setdefault(g, [])
+            if len(before) >= template[g]:
+                blocked[i] = before[-template[g]]
+            before.append(i)
+
+        def best(start: int, stop: int) -> tuple[float, int, int] | None:
+            """The likeliest region that begins with a hit and ends before another."""
+            end = min(stop, int(np.searchsorted(at, at[start] + high + 1e-9, "right")))
+            hits = np.cumsum(blocked[start:end] < start)
+            if not len(hits) or hits[-1] < low - 1e-9:
+                return None
+            lengths = at[start:end] - at[start] + 1
+            dice = 2 * hits / (lengths + size)
+            k = len(dice) - 1 - int(np.argmax(dice[::-1]))
+            return (-float(dice[k]), -int(lengths[k]), start, start + k) if dice[k] >= self.least else None
+
+        heap = [x for s in range(len(at)) if (x := best(s, len(at)))]
+        heapq.heapify(heap)
+        taken: list[tuple[int, int]] = []  # sorted, disjoint
+        out = []
+        while heap:
+            d, length, s, e = heapq.heappop(heap)
+            k = bisect_right(taken, (s, len(at)))
+            if k and at[taken[k - 1][1]] + 1 >= at[s]:  # they would share a word
+                continue
+            stop = int(np.searchsorted(at, at[taken[k][0]] - 1)) if k < len(taken) else len(at)
+            if e >= stop:
+                if again := best(s, stop):
+                    heapq.heappush(heap, again)
+                continue
+            taken.insert(k, (s, e))
+            out.append((-d, int(at[s]), int(at[e])))
+        return out
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """``(licence, coefficient, start, end)`` by start; of overlapping regions the likeliest (then the longest, the first) stays."""
-        ws: list[str] = []
-        hits: list[int] = []
-        lines: list[tuple[int, int]] = []  # first word and place of each line
-        offset, of = 0, self.of
-        for line in text.split("\n"):
-            own = _WORD.findall(line.lower())
-            lines.append((len(ws), offset))
-            if ws and own and (ws[-1], own[0]) in of:
-                hits.append(len(ws) - 1)
-            hits += [len(ws) + i for i, g in enumerate(zip(own, own[1:])) if g in of]
-            ws += own
-            offset += len(line) + 1
-        if not hits:
-            return []
-        found: dict[tuple[int, int], tuple[float, int]] = {}
-
-        def region(first: int, last: int, among) -> None:
-            if top := self.best(ws[first : last + 1], among):
-                old = found.get((first, last))
-                if old is None or (-top[0], top[1]) < (-old[0], old[1]):
-                    found[first, last] = top
-
-        firsts = [x[0] for x in lines]
-        for line in sorted({bisect_right(firsts, i) - 1 for i in hits}):
-            first, last = firsts[line], (firsts[line + 1] if line + 1 < len(firsts) else len(ws)) - 1
-            among = {n for k in range(first, last) for n in of.get((ws[k], ws[k + 1]), ())} if last - first <= self.longest else ()
-            region(first, last, among)
+        lowered = text.lower()
+        same = len(lowered) == len(text)  # some letters become two in lower case: places are then found word by word
+        spans = [m.span() for m in _WORD.finditer(lowered)]
+        ws = [lowered[a:b] for a, b in spans]
+        of = self.of
+        pairs = list(zip(ws, ws[1:]))
         places: dict[int, list[int]] = {}
-        for i in hits:
-            for n in of[ws[i], ws[i + 1]]:
+        for i, g in enumerate(pairs):
+            for n in of.get(g, ()):
                 places.setdefault(n, []).append(i)
+        found: dict[tuple[int, int], tuple[float, int]] = {}
         for n, at in places.items():
-            for first, last in self.windows(at, n):
-                region(first, last + 1, [n])
+            if len(at) < self.bounds(n)[0] - 1e-9:
+                continue
+            for part in self.clusters(np.array(at), n):
+                for d, first, last in self.regions(part, [pairs[i] for i in part.tolist()], n):
+                    old = found.get((first, last))
+                    if old is None or (-d, n) < (-old[0], old[1]):
+                        found[first, last] = (d, n)
         kept: list[tuple[int, int]] = []
         for r in sorted(found, key=lambda r: (-found[r][0], r[0] - r[1], r[0])):
-            if all(r[1] < o[0] or r[0] > o[1] for o in kept):
-                kept.append(r)
-
-        def place(word: int) -> tuple[int, int]:
-            line = bisect_right(firsts, word) - 1
-            at = lines[line][1]
-            end = text.find("\n", at)
-            raw = text[at : end if end >= 0 else len(text)]
-            spans = [m.span() for m in _WORD.finditer(raw)]
-            a, b = spans[min(word - firsts[line], len(spans) - 1)]
-            return at + a, at + b
-
-        return [(self.templates[found[r][1]][0], found[r][0], place(r[0])[0], place(r[1])[1]) for r in sorted(kept)]
+            k = bisect_right(kept, r)
+            if (not k or kept[k - 1][1] + 1 < r[0]) and (k == len(kept) or r[1] + 1 < kept[k][0]):
+                kept.insert(k, r)
+
+        if not same and kept:
+            shift = np.cumsum([0] + [len(c.lower()) for c in text])
+            back = lambda i: int(np.searchsorted(shift, i, "right")) - 1
+        else:
+            back = lambda i: i
+        return [(self.templates[found[r][1]][0], found[r][0], back(spans[r[0]][0]), back(spans[r[1] + 1][1] - 1) + 1) for r in kept]
+
+
+def templates_from(folder: str) -> tuple[tuple[str, str], ...]:
+    """Further templates: the files of a folder, each a licence's text under its name."""
+    out = []
+    for name in sorted(os.listdir(folder)):
+        path = os.path.join(folder, name)
+        if os.path.isfile(path):
+            with open(path, encoding="utf-8", errors="replace") as f:
+                out.append((name, f.read()))
+    return tuple(out)
 
 
 def scan_licenses(documents: DataFrame, *, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from factloom.llm import bpe, decontaminate, language, licenses, preference, secrets, simhash, token_counts
+from factloom.llm import bpe, decontaminate, language, preference, secrets, simhash, token_counts
 from factloom.llm.graph import components
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -177,33 +177,6 @@ def test_components_of_a_chain(spark):
     assert components(edges.limit(0)).count() == 0
 
 
-# -- licences
-
-
-def test_licenses(spark):
-    notice = dict(licenses.TEMPLATES)["GPL-3.0"]
-    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 200)
-    texts = ["plain words of the text", f"before\n{notice}\nafter", "x " + mit.replace(", ", ",\n* ") + " y", None, "", notice.upper()]
-    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(frame(spark, texts)).collect()}
-    assert [len(got[i]) for i in range(6)] == [0, 1, 1, 0, 0, 1]
-    assert texts[1][got[1][0]["start"] : got[1][0]["end"]] == notice.rstrip(".")
-    assert got[2][0]["license"] == "MIT" and got[2][0]["dice"] == 1.0
-
-
-def test_pruning_by_size_loses_no_line():
-    rnd = random.Random(5)
-    matcher = licenses.Matcher()
-    vocabulary = sorted({w for _, t in licenses.TEMPLATES for w in licenses.words(t)})
-    for name, text in licenses.TEMPLATES:
-        ws = licenses.words(text)
-        for _ in range(4):
-            line = [rnd.choice(vocabulary) if rnd.random() < 0.05 else w for w in ws]
-            best = max((licenses.dice(licenses.bigrams(line), g), -n) for n, (_, g) in enumerate(matcher.templates))
-            found = matcher.best(line, range(len(matcher.templates)))
-            assert (found is None) == (best[0] < licenses.LEAST)
-            assert found is None or found == (best[0], -best[1])
-
-
 # -- preferences
 
 
