@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import MEMO_WORDS, col, keep_texts, map_texts
 
-#: At most this many labelled rows are fitted, those with the smallest hash of their key: the one bound of this operator.
+#: At most this many distinct labelled rows are fitted, those with the smallest hash of key and text: the one bound of this operator.
 TRAIN_ROWS = 3_000
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
@@ -199,14 +199,28 @@ def calibrate_familiarity(model: Model, kept: list, held: list, logits: np.ndarr
 
 
 def training_rows(documents: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", rows: int = TRAIN_ROWS) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Features of the bounded sample.  Texts stay on the executors; each row sends ``BUCKETS`` entries at most."""
+    """Features of the bounded sample: ``rows`` distinct rows (by key, text and label) with the least hash, no more, however many share a key.
+
+    Texts stay on the executors; each row sends ``BUCKETS`` entries at most.
+    """
     labelled = documents.filter(col(label).isNotNull() & col(text).isNotNull())
-    order = F.xxhash64(col(key).cast("string"))
-    picked = labelled.select(order.alias("_h"), col(key).alias("_k"), col(label).cast("string").alias("_l"), F.xxhash64(col(text)).alias("_t")).orderBy("_h", "_k", "_t", "_l").limit(rows)
-    edge = picked.agg(F.max("_h")).first()[0]
+    order = F.xxhash64(F.coalesce(col(key).cast("string"), F.lit("")), col(text))
+    hashed = labelled.select(order.alias("h"), col(label).cast("string").alias("lang"), col(text).alias("_t"))
+
+    def least(batches):
+        """A task's first distinct rows: no more than ``rows`` leave it."""
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = (now if held is None else pa.concat_tables([held, now])).group_by(["h", "lang"]).aggregate([]).sort_by([("h", "ascending"), ("lang", "ascending")]).slice(0, rows)
+        if held is not None:
+            yield from held.to_batches()
+
+    edge = hashed.select("h", "lang").mapInArrow(least, "h long, lang string").distinct().orderBy("h", "lang").limit(rows).agg(F.max("h")).first()[0]
     if edge is None:
         return []
-    sample = labelled.filter(order <= edge).select(order.alias("_h"), col(label).cast("string").alias("_l"), col(text).alias("_t"))
+    # repeated rows are put together before their features are made
+    sample = hashed.filter(F.col("h") <= edge).groupBy("h", "lang").agg(F.first("_t").alias("_t"))
 
     def run(batches):
         for batch in batches:
@@ -218,10 +232,9 @@ def training_rows(documents: DataFrame, *, key: str = "doc_id", text: str = "tex
                     names=["h", "lang", "ids", "share"],
                 )
 
-    got = sample.mapInArrow(run, "h long, lang string, ids array<int>, share array<float>").toArrow()
-    out = [(h, lang, np.array(i, np.int32), np.array(s, np.float32)) for h, lang, i, s in zip(got.column("h").to_pylist(), got.column("lang").to_pylist(), (x.values.to_numpy() for x in got.column("ids")), (x.values.to_numpy() for x in got.column("share")), strict=True)]
-    out.sort(key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes(), r[3].tobytes()))
-    return [r[1:] for r in out]
+    # the last hash may stand for several rows: the limit holds all the same
+    got = sample.mapInArrow(run, "h long, lang string, ids array<int>, share array<float>").orderBy("h", "lang").limit(rows).toArrow()
+    return [(lang, np.array(i, np.int32), np.array(s, np.float32)) for lang, i, s in zip(got.column("lang").to_pylist(), (x.values.to_numpy() for x in got.column("ids")), (x.values.to_numpy() for x in got.column("share")), strict=True)]
 
 
 class Predictor:

@@ -81,8 +81,12 @@ def brute_count(word: str, initial: set[str], continuing: set[str]) -> int | Non
     return pieces
 
 
+#: Stands before every word; a vocabulary may hold it as a piece of its own.
+MARK = "\u2581"
+
+
 def read_pieces(path: str) -> tuple[list[str], list[str]]:
-    """Word-initial and continuation pieces of a sentencepiece model: those with and without its word mark."""
+    """Word-initial and continuation pieces of a sentencepiece model: those that begin with its word mark, kept, and those that don't."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -91,11 +95,8 @@ def read_pieces(path: str) -> tuple[list[str], list[str]]:
         if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
             continue
         piece = model.id_to_piece(i)
-        if piece.startswith("\u2581"):
-            initial.append(piece[1:])
-        else:
-            continuing.append(piece)
-    return [x for x in initial if x], continuing
+        (initial if piece.startswith(MARK) else continuing).append(piece)
+    return initial, continuing
 
 
 @lru_cache(maxsize=2)
@@ -106,8 +107,10 @@ def automaton(path: str) -> tuple[LongestMatch, dict[str, int]]:
 def token_counts(documents: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_words, n_tokens, n_unknown``.
 
-    Words are the maximal runs free of ASCII white space.  A word that the
-    vocabulary cannot spell counts as one token and as unknown.  A null or
+    Words are the maximal runs free of ASCII white space, each behind the word
+    mark; the mark alone is a token where the vocabulary has it and no longer
+    piece begins the word.  A word that the vocabulary cannot spell counts as
+    one token and as unknown.  A null or
     empty text has no words (three zeros); repeated rows give repeated rows; an
     empty table gives an empty table; other columns are not read.
     """
@@ -121,7 +124,7 @@ def token_counts(documents: DataFrame, vocabulary: str, *, key: str = "doc_id",
             for w in words:
                 n = memo.get(w)
                 if n is None:
-                    found = matcher.count(w.decode("utf-8", "surrogatepass"))
+                    found = matcher.count(MARK + w.decode("utf-8", "surrogatepass"))
                     n = -1 if found is None else found
                     if len(w) <= MEMO_WORD_CHARS:
                         if len(memo) >= MEMO_WORDS:

@@ -46,11 +46,23 @@ def test_token_counts(spark):
     got = {r["doc_id"]: r for r in token_counts.token_counts(frame(spark, texts), PIECES).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
-        found = [token_counts.brute_count(w.decode(), initial, inside) for w in (t or "").encode().split()]
+        found = [token_counts.brute_count(token_counts.MARK + w.decode(), initial, inside) for w in (t or "").encode().split()]
         assert (got[i]["n_words"], got[i]["n_tokens"], got[i]["n_unknown"]) == (len(found), sum(1 if f is None else f for f in found), sum(f is None for f in found))
     assert token_counts.token_counts(frame(spark, texts).limit(0), PIECES).count() == 0
 
 
+def test_words_behind_the_bare_mark(spark):
+    """A word that no piece with the mark begins is the mark and pieces from inside words, as the library has them."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    words = ["\u00e7", "\u00f1", "\u00f1es", "\u00dfe", "the"]
+    got = {r["doc_id"]: r for r in token_counts.token_counts(frame(spark, words), PIECES).collect()}
+    for i, w in enumerate(words):
+        assert got[i]["n_unknown"] == 0 and got[i]["n_tokens"] >= 1
+    assert got[0]["n_tokens"] == len(library.encode(words[0])) == 2
+
+
 # -- encoding
 
 

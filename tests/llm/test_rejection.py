@@ -36,3 +36,16 @@ def test_one_learned_language_refuses_others():
     predict = language.Predictor(model).predict
     assert sum(predict([text("en") for _ in range(100)])[2]) >= 98
     assert sum(predict([text("fi") for _ in range(100)])[2]) <= 2
+
+
+def test_the_bound_holds_for_equal_and_null_keys(spark):
+    """Rows of one key, without a key, or repeated don't send more than the bound."""
+    rnd = random.Random(2)
+    said = {k: v.split() for k, v in MORE.items()}
+    text = lambda lang: " ".join(rnd.choice(said[lang]) for _ in range(12))
+    rows = [(None if i % 3 else 7, text(lang), lang) for i in range(400) for lang in ("en", "de")] + [(1, "the same text", "en")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.training_rows(df, rows=100)
+    assert len(got) == 100 and {r[0] for r in got} == {"en", "de"}
+    assert len(language.training_rows(df, rows=5000)) == len({(k, t, lang) for k, t, lang in rows})
+    assert language.training_rows(df.filter("lang is null")) == []

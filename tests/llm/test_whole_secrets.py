@@ -30,3 +30,26 @@ def test_whole_keys_and_tokens_go(spark):
     assert {got[k] for k in (1, 2, 4, 5, 6, 8)} == {"before <secret> after"}
     assert got[3].split() == ["before", "<secret>", "and", "then", "after"]
     assert got[7] == "before <secret> between <secret> after"
+
+
+def test_no_length_hides_a_secret(spark):
+    """Every rule finds a secret of 100,000 characters, and nothing of it is left; repeated rows stay repeated."""
+    rnd = random.Random(5)
+    run = lambda n, among=string.ascii_letters + string.digits: "".join(rnd.choice(among) for _ in range(n))
+    n = 100_000
+    planted = {
+        "assign": "password=" + run(n), "access": "AKIA" + run(n, "ABC123"), "hex": run(n, "0123456789abcdef"), "github": "ghp_" + run(n), "slack": "xoxb-" + run(n),
+        "stripe": "sk_live_" + run(n), "jwt": f"eyJ{run(n)}.eyJ{run(n)}.{run(n)}", "bearer": "Bearer " + run(n), "url_login": f"://{run(n)}:{run(n)}@",
+        "private_key": "-----BEGIN " + "VERY LONG " * 20 + "PRIVATE KEY-----\n" + run(n) + "\n-----END " + "VERY LONG " * 20 + "PRIVATE KEY-----",
+    }
+    rows = [(i, f"before {s} after", 1) for i, s in enumerate(planted.values())]
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id long, text string, spans int")
+    found = {r["doc_id"]: {x["kind"] for x in r["spans"]} for r in secrets.scan_secrets(docs).collect()}
+    for i, kind in enumerate(planted):
+        assert kind in found[i]
+    clean = secrets.redact_secrets(docs)
+    got = clean.collect()
+    assert len(got) == len(rows) + 2 and clean.columns == docs.columns
+    for r in got:
+        assert r["text"].startswith("before") and r["text"].endswith(" after") and len(r["text"]) < 40
+    assert secrets.scan_secrets(clean).filter("size(spans) > 0").count() == 0
