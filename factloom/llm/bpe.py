@@ -18,7 +18,7 @@ import tempfile
 import unicodedata
 from array import array
 from collections import Counter
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,14 @@ _TABLE_BITS = 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+@lru_cache(maxsize=1)
+def newer() -> re.Pattern:
+    """Code points that Python's Unicode tables don't know, and the two whose combining class has changed since: the library is asked about them."""
+    unknown = [unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)]
+    edges = np.flatnonzero(np.diff(np.array([False, *unknown, False], np.int8)))
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in edges.reshape(-1, 2).tolist()) + "\u1ac3\u1ac4]")
+
+
 def byte_alphabet() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself if visible Latin-1, else from U+0100 on."""
     seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -82,9 +90,19 @@ class WordBpe:
         self._table[alike[counts > 1]] = -2
         self._order = np.argsort(self._keys)
         self._sorted = self._keys[self._order]
+        self.path = path
+
+    @cached_property
+    def library(self):
+        """The library's own normaliser and splitter, for code points whose properties Python's tables lack."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def normalise(self, text: str) -> str:
         if not text.isascii():
+            if newer().search(text):
+                return self.library.normalizer.normalize_str(text)
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # lower-casing goes by code point: no final sigma
                 text = text.replace("Σ", "σ")
@@ -116,6 +134,8 @@ class WordBpe:
     def pieces(self, word: str) -> list[str]:
         if word.isalpha():
             return [word]
+        if not word.isascii() and newer().search(word):
+            return [word[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(word)]
         return [word[:-1], word[-1]] if word[-1] in _STOPS and word[:-1].isalpha() else _PIECES.findall(word)
 
     def merge_many(self, words: list[str]) -> list[bytes]:

@@ -85,6 +85,21 @@ def test_bpe_equals_library(spark):
     assert bpe.encode(frame(spark, texts).limit(0), WORD_BPE).count() == 0
 
 
+def test_code_points_newer_than_pythons_tables():
+    """Letters, capitals and marks that only the library's tables know are encoded as it does."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORD_BPE)
+    library.no_truncation(), library.no_padding()
+    encoder, rnd = bpe.Encoder(WORD_BPE, None), random.Random(7)
+    odd = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and bpe.newer().match(chr(c))]
+    few = [0x558, 0x88F, 0xC5C, 0x1C89, 0x1AC3, 0x1AC4, 0xA7CE, 0xA7DC, 0x10D50, 0x16EA0, 0x105C9, 0x113C5, 0x16121]
+    texts = [f"a{chr(c)}b {chr(c)} x{chr(c)}1" for c in few + rnd.sample(odd, 300)]
+    texts += ["e\u0301" + "".join(rnd.choice(["a", " ", "\u0323", "\u0301", "5", chr(rnd.choice(few))]) for _ in range(8)) for _ in range(300)]
+    got = encoder.encode(texts).to_pylist()
+    assert [list(x) for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_long_and_short_merges_agree():
     t = bpe.tokenizer(WORD_BPE)
     rnd = random.Random(1)
