@@ -1,6 +1,9 @@
 """Winnowing fingerprints of whole texts, in DataFrame functions alone.
 
-The grams are k = 4 consecutive words.  Their hash is the cyclic polynomial of
+The grams are k = 4 consecutive words.  A word of more than 32 code points, as in
+scripts without blanks or in encoded data, is cut where its content says: after
+each ASCII vowel or digit and each code point beyond ASCII, and 32 code points
+after the last cut.  A gram's hash is the cyclic polynomial of
 the word hashes (the rolling hash of the gram), built by doubling so that
 every step is one pass over an array; it is mixed once more so that small
 values are spread evenly.  In each window of w = 8 grams the least hash is
@@ -10,6 +13,8 @@ words that two texts share gives them a common fingerprint.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,8 +24,11 @@ from .common import shuffle_parts
 #: Both are powers of two, so that doubling reaches them.
 GRAM_WORDS = 4
 WINDOW_GRAMS = 8
-_PLACE = 2147483647
+LONG_WORD = 32
+_CUT = r"(?<=[aeiouAEIOU0-9]|[^\x00-\x7F])|(?<=\G.{32})"
 _BLANK = " \t\n\x0b\f\r"
+#: Of a packed number the low bits that hold how far from a window's end its least gram lies.
+_LOW, _LOW_BITS = 7, 3
 
 
 def _turned(x: Column, by: int) -> Column:
@@ -33,47 +41,54 @@ def _joined(step: int):
 
 
 def _lesser(step: int):
-    return lambda x, i: F.least(x, F.get("_h", i + step))
+    """The lesser of a window and the one ``step`` grams on; on ties the later, whose low bits are less."""
+    return lambda x, i: F.least(x, F.get("_h", i + step) - step)
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text, long ones cut."""
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(_BLANK))
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))
+    cut = F.flatten(F.transform(words, lambda w: F.when(F.length(w) <= LONG_WORD, F.array(w)).otherwise(F.filter(F.split(w, _CUT), lambda x: x != ""))))
+    return F.when(F.regexp_like(text, F.lit("[^\\x20\\x09-\\x0D]{%d}" % (LONG_WORD + 1))), cut).otherwise(words)
 
 
 def with_prints(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Append ``out``: the chosen grams of ``text`` as packed numbers, 32 bits of hash above 31 bits of counted-down position.
+    """Append ``out``: the chosen grams of ``text`` as an array of (hash of 60 bits, position of the first word from 0).
 
-    The least packed number of a window is then the rightmost of the least
-    hashes.  A text of fewer than k words is one gram, one of fewer than w grams one window; a text
-    without words, or null, has none.
+    A number holds a gram's hash above three bits that say how far from the
+    window's end it lies, so the least number of a window is the rightmost of
+    its least hashes.  A text of fewer than k words is one gram, one of fewer
+    than w grams one window; a text without words, or null, has none.
     """
-    trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(_BLANK))
-    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))
-    df = df.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w)))
+    df = df.withColumn("_h", F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w)))
     df = df.withColumn("_n", F.size("_h"))
     step = 1
     while step < GRAM_WORDS:
         df = df.withColumn("_h", F.transform("_h", _joined(step)))
         step *= 2
     grams = F.slice("_h", F.lit(1), F.greatest(F.lit(1), F.col("_n") - (GRAM_WORDS - 1)))
-    df = df.withColumn("_h", F.transform(grams, lambda x, i: F.shiftleft(F.xxhash64(x).bitwiseAND(F.lit(0xFFFFFFFF)), 31).bitwiseOR((F.lit(_PLACE) - i).cast("long"))))
+    df = df.withColumn("_h", F.transform(grams, lambda x: F.shiftleft(F.shiftrightunsigned(F.xxhash64(x), _LOW_BITS + 1), _LOW_BITS).bitwiseOR(F.lit(_LOW).cast("long"))))
     df = df.withColumn("_n", F.size("_h"))
     step = 1
     while step < WINDOW_GRAMS:
         df = df.withColumn("_h", F.transform("_h", _lesser(step)))
         step *= 2
-    return df.withColumn(out, F.array_distinct(F.slice("_h", F.lit(1), F.greatest(F.lit(1), F.col("_n") - (WINDOW_GRAMS - 1))))).drop("_h", "_n")
+    low = lambda v: v.bitwiseAND(F.lit(_LOW).cast("long")).cast("int")
+    # a window chooses the gram of the window before it if its low bits are one more
+    chosen = lambda v, i: F.when((i == 0) | (low(v) - low(F.get("_h", i - 1)) != 1), F.struct(F.shiftrightunsigned(v, _LOW_BITS).alias("hash"), (i + _LOW - low(v)).alias("position")))
+    df = df.withColumn("_h", F.slice("_h", F.lit(1), F.greatest(F.lit(1), F.col("_n") - (WINDOW_GRAMS - 1))))
+    return df.withColumn(out, F.filter(F.transform("_h", chosen), lambda s: s.isNotNull())).drop("_h", "_n")
 
 
-def hashes(packed: Column | str) -> Column:
-    """The distinct hashes of packed fingerprints, positions dropped."""
-    return F.array_distinct(F.transform(packed, lambda v: F.shiftrightunsigned(v, 31)))
+def hashes(prints: Column | str) -> Column:
+    """The distinct hashes of a fingerprint, positions dropped."""
+    return F.array_distinct(F.transform(prints, lambda s: s["hash"]))
 
 
-def unpacked(packed: Column | str) -> Column:
-    """Fingerprints as an array of (hash, position of the gram's first word from 0)."""
-    return F.transform(packed, lambda v: F.struct(F.shiftrightunsigned(v, 31).alias("hash"), (F.lit(_PLACE) - v.bitwiseAND(F.lit(_PLACE))).alias("position")))
-
-
-def printed(packed: Column | str) -> Column:
+def printed(prints: Column | str) -> Column:
     """``hash@position`` in hexadecimal, comma-joined in the order of the text."""
-    return F.array_join(F.transform(packed, lambda v: F.concat(F.lower(F.hex(F.shiftrightunsigned(v, 31))), F.lit("@"), F.lower(F.hex(F.lit(_PLACE) - v.bitwiseAND(F.lit(_PLACE)))))), ",")
+    return F.array_join(F.transform(prints, lambda s: F.concat(F.lower(F.hex(s["hash"])), F.lit("@"), F.lower(F.hex(s["position"])))), ",")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -89,7 +104,12 @@ def fingerprint_documents(documents: DataFrame, *, key: str = "doc_id", text: st
     Null, empty and blank texts have an empty fingerprint; repeated rows are
     repeated; an empty table gives an empty table; other columns aren't read.
     """
-    return with_prints(documents.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")), "_text", "_p").select("doc_id", unpacked("_p").alias("fingerprint"))
+    return with_prints(documents.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")), "_text", "_p").select("doc_id", F.col("_p").alias("fingerprint"))
+
+
+def _numbers(values: list[int | None]) -> Column:
+    """Whole numbers as one constant of the plan, however many."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
 
 
 def range_of(key: str, cuts: list[int]) -> Column:
@@ -97,7 +117,7 @@ def range_of(key: str, cuts: list[int]) -> Column:
     if not cuts:
         return F.lit(0)
     steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
-    held = F.lit(cuts).cast("array<bigint>")
+    held = _numbers(cuts)
     return F.aggregate(F.lit(steps), F.lit(0), lambda low, step: F.when(F.get(held, low + step - 1) < F.col(key), low + step).otherwise(low))
 
 
@@ -127,9 +147,9 @@ def edited_fingerprints(documents: DataFrame, *, key: str = "doc_id", text: str
     own = F.struct(F.col("part"), F.lit(False).alias("last"))
     places = F.array(own)
     if order:
-        before = {heads[r]: order[k - 1] for k, r in enumerate(order)}  # the head of each range also follows the range above
-        above = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[F.col("doc_id")]
-        places = F.when(above.isNull(), places).otherwise(F.array(own, F.struct(above.alias("part"), F.lit(True).alias("last"))))
+        before = {r: order[k - 1] for k, r in enumerate(order)}  # the head of each range also follows the range above
+        head, above = (F.get(_numbers([of.get(r) for r in range(len(cuts) + 1)]), F.col("part")) for of in (heads, before))
+        places = F.when(head == F.col("doc_id"), F.array(own, F.struct(above.cast("int").alias("part"), F.lit(True).alias("last")))).otherwise(places)
     placed = placed.select("doc_id", "text", F.explode(places).alias("at")).select("doc_id", "text", "at.part", "at.last")
     dealt = placed.repartition(parts, "part").withColumn("text_hash", F.xxhash64("text"))
     dealt = with_prints(dealt, "text", "prints").withColumn("hashes", hashes("prints"))
