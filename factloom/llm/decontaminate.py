@@ -23,6 +23,8 @@ Q = 10
 EDIT_SHARE = 0.08
 #: Items are searched in blocks of at most so many characters: the bound of what is broadcast at once.
 BLOCK_ITEM_CHARS = 4_000_000
+#: A q-gram that makes more pairs of a spot in the text and a place in an item is counted by bands instead; the result is the same.
+MANY_PAIRS = 20_000
 _HASH_BITS = 22
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,20 +125,50 @@ class Searcher:
             n = np.searchsorted(self.grams, h[spots], "right") - lo
             spots, lo, n = spots[n > 0], lo[n > 0], n[n > 0]
         if len(spots):
+            last: dict[int, tuple[object, int, int, int]] = {}  # of each item, the occurrence before
             for region in self.regions(spots, lo, n):
-                if hit := self.verify(codes, *region):
-                    item, start, end, edits = hit
-                    found.append((item, int(at[start]), int(at[end - 1]) + 1, edits))
+                number, _, high = region
+                before = last.get(number)
+                if before and high + self.items[number].edits < before[2]:
+                    continue  # all that this band can give begins inside it
+                hit = self.verify(codes, *region)
+                if not hit:
+                    continue
+                if before and hit[1] < before[2]:
+                    if hit[3] < before[3]:
+                        last[number] = hit
+                    continue
+                if before:
+                    found.append((before[0], int(at[before[1]]), int(at[before[2] - 1]) + 1, before[3]))
+                last[number] = hit
+            found += [(i, int(at[start]), int(at[end - 1]) + 1, edits) for i, start, end, edits in last.values()]
         return sorted(set(found), key=lambda x: (x[1], x[2], str(x[0])))
 
     def regions(self, spots: np.ndarray, lo: np.ndarray, n: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, least and greatest diagonal) of the bands that hold enough different q-grams of an item."""
+        """(item, least and greatest diagonal) of the bands that hold enough different q-grams of an item, by item and diagonal."""
+        order = np.argsort(lo, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(lo[order]) > 0))
+        times = np.diff(np.append(first, len(order)))
+        many = times * n[order][first] > MANY_PAIRS
+        out: list[tuple[int, int, int]] = []
+        if many.any():
+            spots_of = {int(lo[order][a]): spots[order][a : a + k] for a, k in zip(first.tolist(), times.tolist(), strict=True)}
+            heavy = np.unique(np.concatenate([self.owner[lo[order][a] : lo[order][a] + n[order][a]] for a in first[many].tolist()]))
+            for i in heavy.tolist():
+                out += self._repeated(i, spots_of)
+            # all items of a many-paired gram are among these, so it goes as a whole
+            keep = np.empty(len(lo), bool)
+            keep[order] = ~np.repeat(many, times)
+            spots, lo, n = spots[keep], lo[keep], n[keep]
         every = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        spot = np.repeat(spots, n)
+        if many.any():
+            other = ~np.isin(self.owner[every], heavy)
+            every, spot = every[other], spot[other]
         item, place = self.owner[every], self.place[every]
-        diagonal = np.repeat(spots, n) - place
+        diagonal = spot - place
         width = self.edits[item] + 1
         low = np.floor_divide(diagonal, width)
-        out: list[tuple[int, int, int]] = []
         key_item, key_band, key_place = np.concatenate([item, item]), np.concatenate([low, low - 1]), np.concatenate([place, place])
         order = np.lexsort((key_place, key_band, key_item))
         i, b, p = key_item[order], key_band[order], key_place[order]
@@ -152,6 +184,25 @@ class Searcher:
             out.append((int(i[s]), int(b[s]) * w, int(b[s]) * w + 2 * w - 1))
         return out
 
+    def _repeated(self, number: int, spots_of: dict[int, np.ndarray]) -> list[tuple[int, int, int]]:
+        """The bands of one item whose q-grams occur many times over: places are counted by band, and no pair of a spot and a place is made."""
+        item = self.items[number]
+        w, h = item.edits + 1, gram_hashes(item.codes, self.q)
+        base = -(len(h) // w) - 2
+        top = max(int(x[-1]) for x in spots_of.values()) // w + 2
+        counts = np.zeros(top - base + 1, np.int32)
+        for gram in np.unique(h).tolist():
+            spots = spots_of.get(int(np.searchsorted(self.grams, np.uint64(gram))))
+            if spots is None:
+                continue
+            places = np.flatnonzero(h == np.uint64(gram))
+            for r in np.unique(places % w).tolist():
+                low = np.unique(np.floor_divide(spots - r, w))
+                bands = np.union1d(low, low - 1) - base
+                for k in (places[places % w == r] // w).tolist():
+                    counts[bands - k] += 1
+        return [(number, b * w, b * w + 2 * w - 1) for b in (np.flatnonzero(counts >= item.least) + base).tolist()]
+
     def verify(self, codes: np.ndarray, number: int, low: int, high: int) -> tuple[object, int, int, int] | None:
         item = self.items[number]
         n = len(item.codes)
@@ -224,7 +275,8 @@ def occurrences(documents: DataFrame, benchmark: DataFrame, *, q: int = Q, share
     normalised characters may differ by ``share`` of n edits, and by no more
     than (n - q) / q, so that the lemma's bound holds.  Items shorter than q
     match only a document that is nothing else; null and blank items match
-    nothing; null and empty texts hold nothing.  Equal occurrences of one document are one row;
+    nothing; null and empty texts hold nothing.  Occurrences of one item don't
+    overlap: from the left, of two that do the one with fewer edits stays.  Equal occurrences of one document are one row;
     a repeated document repeats its rows.  Empty tables give no rows; other columns are not read.
     """
     kind = documents.select(F.col(key)).schema[0].dataType.simpleString()
