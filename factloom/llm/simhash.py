@@ -30,6 +30,7 @@ MOST_BITS = 4
 VERIFY_COST = 0.05
 #: A partition's ball may have so many values: a bound on the plan's size, met by two partitions for any tau up to 6.
 MOST_PROBES = 6_000
+SAMPLE_ROWS, SAMPLE_PAIRS = 8_192, 400_000
 
 
 def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -116,8 +117,23 @@ def group_bits(n: int, both: np.ndarray, m: int) -> list[tuple[int, ...]]:
     return out
 
 
-def allocate(n: int, both: np.ndarray, tau: int = MOST_BITS) -> list[Partition]:
-    """The cheapest partitions and thresholds for n fingerprints."""
+def sampled_pairs(prints: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarray:
+    """Differing bits of pairs within a bounded sample of fingerprints (those with the least hash), from which candidates are estimated; results don't depend on it."""
+    got = prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(rows).toArrow().column("fp").to_numpy().view(np.uint64)
+    if len(got) < 2:
+        return np.zeros(0, np.uint64)
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, len(got), (2, SAMPLE_PAIRS))
+    return (got[a] ^ got[b])[a != b]
+
+
+def allocate(n: int, both: np.ndarray, tau: int = MOST_BITS, pairs: np.ndarray | None = None) -> list[Partition]:
+    """The cheapest partitions and thresholds for n fingerprints.
+
+    The share of pairs within a threshold of a partition is that of independent
+    bits or that of the sampled ``pairs``, whichever is greater: bits that go
+    together are grouped, and agree far more often than independent ones.
+    """
     p = np.diag(both) / max(1, n)
     differ = 2 * p * (1 - p)
     best: tuple[float, list[Partition]] = (float("inf"), [])
@@ -131,6 +147,9 @@ def allocate(n: int, both: np.ndarray, tau: int = MOST_BITS) -> list[Partition]:
                 chance[1:] = chance[1:] * (1 - differ[b]) + chance[:-1] * differ[b]
                 chance[0] *= 1 - differ[b]
             within = np.cumsum(chance)
+            if pairs is not None and len(pairs):
+                apart_by = np.bitwise_count(pairs & np.uint64(Partition(bits, 0).mask))
+                within = np.maximum(within, np.cumsum(np.bincount(apart_by, minlength=BITS + 1))[: tau + 2] / len(pairs))
             costs.append([0.0] + [n * ball(len(bits), t) + VERIFY_COST * n * n / 2 * within[t] if ball(len(bits), t) <= MOST_PROBES else float("inf") for t in range(tau + 1)])
         ways: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
         for cost in costs:
@@ -160,19 +179,23 @@ def links(prints: DataFrame, parts: list[Partition], tau: int = MOST_BITS) -> Da
     """``a, b``: links between distinct fingerprints that join all that are within ``tau`` bits.
 
     ``prints(fp, copies)`` are distinct.  In each bucket the most copied value
-    is the hub: every member and prober within ``tau`` of it gets that link,
-    and pairs that both have it are left out, so a dense group of n values
-    gets about n links and not all its pairs.
+    is the hub: every prober within ``tau`` of it gets that link, and two values
+    that both have it are neither linked nor compared, so a dense group of n
+    values costs about n comparisons and not all its pairs.
     """
     keys = F.array(*(F.struct(F.lit(i).alias("part"), F.lit(signed(p.mask)).alias("mask")) for i, p in enumerate(parts)))
     tries = F.array(*(F.struct(F.lit(i).alias("part"), F.lit(signed(p.mask)).alias("mask"), F.lit(signed(e)).alias("error")) for i, p in enumerate(parts) for e in p.errors()))
     index = prints.select(F.col("fp").alias("b"), "copies", F.inline(keys)).select("part", F.col("b").bitwiseAND(F.col("mask")).alias("value"), "b", "copies")
     hubs = index.groupBy("part", "value").agg(F.max(F.struct("copies", "b")).alias("top")).select("part", "value", F.col("top.b").alias("hub"))
-    index = index.select("part", "value", "b").join(hubs, ["part", "value"])
     probes = prints.select(F.col("fp").alias("a"), F.inline(tries)).select("part", F.col("a").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("error")).alias("value"), "a")
-    by_hub = (apart("a", "hub") <= tau) & (apart("b", "hub") <= tau)
-    wanted = (F.col("a") != F.col("b")) & (apart("a", "b") <= tau) & ((F.col("b") == F.col("hub")) | ((F.col("a") < F.col("b")) & ~by_hub))
-    return probes.join(index, ["part", "value"]).filter(wanted).select("a", "b")
+    probes = probes.join(hubs, ["part", "value"]).withColumn("near", apart("a", "hub") <= tau)
+    index = index.select("part", "value", "b").join(hubs, ["part", "value"]).withColumn("near", apart("b", "hub") <= tau)
+    to_hub = probes.filter(F.col("near") & (F.col("a") != F.col("hub"))).select("a", F.col("hub").alias("b"))
+    # members near the hub and probers near it never meet: the side says whom a prober meets
+    asking = probes.select("part", "value", "near", "a")
+    asked = index.filter("b <> hub").select("part", "value", "b", F.explode(F.when(F.col("near"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("near"))
+    rest = asking.join(asked, (asking["part"] == asked["part"]) & (asking["value"] == asked["value"]) & (asking["near"] == asked["near"]) & (F.col("a") < F.col("b")) & (apart("a", "b") <= tau))
+    return to_hub.unionByName(rest.select("a", "b"))
 
 
 def near_duplicates(documents: DataFrame, *, tau: int = MOST_BITS, shingle_words: int = SHINGLE_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -187,11 +210,11 @@ def near_duplicates(documents: DataFrame, *, tau: int = MOST_BITS, shingle_words
     rows = checkpoint(fingerprints(documents, shingle_words=shingle_words, key=key, text=text))
     prints = checkpoint(rows.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")))
     n, both = bit_counts(prints)
-    found = components(links(prints, allocate(n, both, tau), tau)) if n else None
+    found = components(links(prints, allocate(n, both, tau, sampled_pairs(prints)), tau)) if n else None
     if found is None:
         return rows.select("doc_id", "fp", F.col("doc_id").alias("component_id"))
     labelled = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    lowest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    lowest = checkpoint(labelled.groupBy("label").agg(F.min("least").alias("component_id")))  # apart from the join, so that a hot label can be split there
     return rows.join(labelled.join(lowest, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 

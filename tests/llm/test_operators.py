@@ -325,3 +325,28 @@ def test_trigram_queries():
     assert rules["hex"] == ()
     assert rules["access"] == ((frozenset({"aki", "kia"}),),)
     assert any(frozenset({"tok", "oke", "ken"}) in clause for clause in rules["assign"])
+
+
+def test_repeated_grams_are_counted_by_bands(monkeypatch):
+    """Periodic items and texts give the same regions either way, in little time; occurrences don't overlap."""
+    import time
+
+    rnd = random.Random(4)
+    periods = ["ab", "abcab", "x", "lorem ipsum "]
+    items = [(i, p * (k // len(p) + 1)) for i, (p, k) in enumerate((p, k) for p in periods for k in (40, 300))] + [(20, "".join(rnd.choice("abcdefgh ") for _ in range(120)))]
+    texts = ["".join(rnd.choice([p * 30, items[-1][1], "zq", " "]) for _ in range(12)) for p in periods for _ in range(6)]
+    found = {}
+    for most in (0, 10**12):
+        monkeypatch.setattr(decontaminate, "MANY_PAIRS", most)
+        searcher = decontaminate.Searcher(items)
+        found[most] = [searcher.find(t) for t in texts]
+    assert found[0] == found[10**12] and any(found[0])
+    for hits in found[0]:
+        for i in {h[0] for h in hits}:
+            own = sorted(h[1:3] for h in hits if h[0] == i)
+            assert all(a[1] <= b[0] for a, b in zip(own, own[1:]))
+    monkeypatch.undo()
+    searcher = decontaminate.Searcher([(1, "ab" * 500), (2, "q" * 1000)])
+    began = time.perf_counter()
+    hits = searcher.find("ab" * 50_000 + "q" * 40_000)
+    assert {h[0] for h in hits} == {1, 2} and len(hits) >= 130 and time.perf_counter() - began < 20
