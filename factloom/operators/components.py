@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 
 LARGE = 8
-#: Graphs of at most so many distinct edges are solved in one task; larger ones by label rounds over all tasks.
+#: What is left of a graph is solved in one task once it has at most so many edges between distinct nodes.
 SMALL_EDGES = 200_000
 
 
-def _spread(edges: DataFrame, labels: DataFrame, rounds: int) -> DataFrame:
-    """Least label along edges within equal ``part`` until nothing changes: edges(a, b), labels(name, part, label)."""
-    for _ in range(rounds):
-        offered = edges.join(labels.select(F.col("name").alias("a"), "part", "label"), "a").join(labels.select(F.col("name").alias("b"), F.col("part").alias("part_b"), F.col("label").alias("own")), "b")
-        better = offered.filter("part = part_b and label < own").groupBy(F.col("b").alias("name")).agg(F.min("label").alias("better"))
-        better = cut(better)
-        if better.isEmpty():
-            return labels
-        labels = cut(labels.join(better, "name", "left").select("name", "part", F.coalesce("better", "label").alias("label")))
-    raise RuntimeError("labels did not settle")
+def _least(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """For each node the least label among the nodes that reach it: edges(a, b), nodes(name, label).
+
+    Every node also keeps a pointer to some node that reaches it, and pointers
+    are followed twice as far each round, so that on chains and rings the number of rounds grows
+    with the logarithm of their length.  Runs until nothing changes.
+    """
+    labels = nodes.select(F.col("name").alias("a"), F.col("label").alias("_l"))
+    before = edges.join(labels, "a").groupBy(F.col("b").alias("name")).agg(F.min(F.struct("_l", "a")).alias("m")).select("name", F.col("m.a").alias("at"))
+    state = cut(nodes.join(before, "name", "left").select("name", "label", F.coalesce("at", "name").alias("at")))
+    while True:
+        offered = edges.join(state.select(F.col("name").alias("a"), F.col("label").alias("_l")), "a").groupBy(F.col("b").alias("name")).agg(F.min("_l").alias("offered"))
+        ahead = state.select(F.col("name").alias("at"), F.col("label").alias("_far"), F.col("at").alias("_at"))
+        now = state.join(offered, "name", "left").join(ahead, "at")
+        now = cut(now.select("name", F.least("label", "offered", "_far").alias("label"), F.col("_at").alias("at"), (F.least("label", "offered", "_far") < F.col("label")).alias("moved")))
+        state = now.drop("moved")
+        if now.filter("moved").isEmpty():
+            return state.select("name", "label")
 
 
 def _tarjan(pairs: list[tuple[str, str]]) -> dict[str, str]:
@@ -64,31 +74,6 @@ def _tarjan(pairs: list[tuple[str, str]]) -> dict[str, str]:
     return out
 
 
-def _chains(pairs: list[tuple[str, str]]) -> list[tuple[str, int, int]]:
-    """(component, weight, depth) of a small graph."""
-    member = _tarjan(pairs)
-    size: dict[str, int] = {}
-    for c in member.values():
-        size[c] = size.get(c, 0) + 1
-    weight = {c: 0 if n > LARGE else n for c, n in size.items()}
-    after: dict[str, set[str]] = {c: set() for c in size}
-    into: dict[str, set[str]] = {c: set() for c in size}
-    for a, b in pairs:
-        x, y = member[a], member[b]
-        if x != y and size[x] <= LARGE:
-            after[x].add(y), into[y].add(x)
-    depth, left = dict(weight), {c: len(n) for c, n in after.items()}
-    ready = [c for c, n in left.items() if n == 0]
-    while ready:
-        c = ready.pop()
-        for a in into[c]:
-            depth[a] = max(depth[a], weight[a] + depth[c])
-            left[a] -= 1
-            if left[a] == 0:
-                ready.append(a)
-    return [(c, weight[c], depth[c]) for c in size]
-
-
 def _in_one_task(pairs: DataFrame, solve, schema: str) -> DataFrame:
     """Run a solver over a graph whose size was checked."""
     import pyarrow as pa
@@ -109,35 +94,44 @@ def _distinct_pairs(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("a is not null and b is not null").distinct()
 
 
-def strongly_connected(edges: DataFrame, *, rounds: int = 200, small: int = SMALL_EDGES) -> DataFrame:
+def strongly_connected(edges: DataFrame, *, small: int = SMALL_EDGES) -> DataFrame:
     """``name, component``: each node of ``edges(src, dst)`` with the least name of its component.
 
-    Up to ``small`` distinct edges are solved in one task.  Beyond, nodes without a way in or out are trimmed first.  Then least names spread
-    forward; within each such colour, what reaches the colour's root backward
-    is a component and leaves the graph.
+    Each round gives the nodes labels in a fresh random order and finds, for every
+    node, the least label that reaches it and the least that it reaches.  Where
+    both are one, the node is in that label's component; otherwise only edges between
+    nodes with the same two labels can lie within a component.  Every part loses at
+    least its least node, and parts halve as in a quicksort.  What remains is
+    solved in one task as soon as ``small`` edges can hold it.
     """
     graph = cut(_distinct_pairs(edges))
-    if graph.limit(small + 1).count() <= small:
-        return _in_one_task(graph, lambda rows: list(_tarjan(rows).items()), "name string, component string")
     nodes = cut(graph.select(F.col("a").alias("name")).union(graph.select(F.col("b").alias("name"))).distinct())
-    done = None
-    for _ in range(rounds):
-        inner = graph.filter("a <> b")
+    inner, found = graph.filter("a <> b"), None
+    for turn in count():
+        # no component passes through a node without a way in or out
         core = inner.select(F.col("a").alias("name")).intersect(inner.select(F.col("b").alias("name")))
-        alone = cut(nodes.join(core, "name", "left_anti").select("name", F.col("name").alias("component")))
-        if alone.isEmpty():
-            if nodes.isEmpty():
-                break
-            colours = _spread(inner, nodes.select("name", F.lit("").alias("part"), F.col("name").alias("label")), rounds)
-            back = inner.select(F.col("b").alias("a"), F.col("a").alias("b"))
-            roots = colours.select("name", F.col("label").alias("part"), F.when(F.col("name") == F.col("label"), F.lit(0)).otherwise(F.lit(1)).alias("label"))
-            reached = _spread(back, roots, rounds)
-            alone = cut(reached.filter("label = 0").select("name", F.col("part").alias("component")))
-        done = alone if done is None else done.unionByName(alone)
-        nodes = cut(nodes.join(alone.select("name"), "name", "left_anti"))
-        gone = alone.select("name")
-        graph = cut(graph.join(gone.withColumnRenamed("name", "a"), "a", "left_anti").join(gone.withColumnRenamed("name", "b"), "b", "left_anti").select("a", "b"))
-    return done if done is not None else nodes.select("name", F.col("name").alias("component"))
+        inner = cut(inner.join(core.withColumnRenamed("name", "a"), "a", "left_semi").join(core.withColumnRenamed("name", "b"), "b", "left_semi").select("a", "b"))
+        left = inner.limit(small + 1).count()
+        if left <= small:
+            if left:
+                solved = _in_one_task(inner, lambda rows: list(_tarjan(rows).items()), "name string, root string")
+                found = solved if found is None else found.unionByName(solved)
+            break
+        ends = inner.select(F.col("a").alias("name")).union(inner.select(F.col("b").alias("name"))).distinct()
+        labelled = cut(ends.select("name", F.struct(F.xxhash64("name", F.lit(turn)).alias("h"), "name").alias("label")))
+        ahead = _least(inner, labelled).withColumnRenamed("label", "ahead")
+        back = _least(inner.select(F.col("b").alias("a"), F.col("a").alias("b")), labelled).withColumnRenamed("label", "back")
+        both = cut(ahead.join(back, "name"))
+        done = both.filter("ahead = back").select("name", F.col("ahead.name").alias("root"))
+        found = done if found is None else found.unionByName(done)
+        part = both.filter("ahead <> back").select("name", F.struct("ahead", "back").alias("part"))
+        x, y = part.select(F.col("name").alias("a"), F.col("part").alias("pa")), part.select(F.col("name").alias("b"), F.col("part").alias("pb"))
+        inner = cut(inner.join(x, "a").join(y, "b").filter("pa = pb").select("a", "b"))
+    if found is None:
+        return nodes.select("name", F.col("name").alias("component"))
+    least = found.groupBy("root").agg(F.min("name").alias("component"))
+    member = found.join(least, "root").select("name", "component")
+    return nodes.join(member, "name", "left").select("name", F.coalesce("component", "name").alias("component"))
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -146,45 +140,55 @@ def cycles(edges: DataFrame) -> DataFrame:
     return found.filter("size > 1").withColumn("clustered", F.col("size") > LARGE)
 
 
-def longest_chains(edges: DataFrame, *, rounds: int = 500, small: int = SMALL_EDGES) -> DataFrame:
+def _heaviest(nodes: DataFrame, steps: DataFrame) -> DataFrame:
+    """The heaviest way from each node of an acyclic graph: nodes(name, own, more), steps(a, b) to ``name, best``.
+
+    A way's weight is ``own`` of all its nodes and ``more`` of its last.  Only what
+    changed is passed on, until nothing does.
+    """
+    best = cut(nodes.select("name", "own", (F.col("own") + F.col("more")).alias("best")))
+    moved = best
+    for turn in count(1):
+        offered = steps.join(moved.select(F.col("name").alias("b"), F.col("best").alias("_b")), "b").groupBy(F.col("a").alias("name")).agg(F.max("_b").alias("_o"))
+        moved = cut(best.join(offered, "name").filter(F.col("own") + F.col("_o") > F.col("best")).select("name", "own", (F.col("own") + F.col("_o")).alias("best")))
+        if moved.isEmpty():
+            return best.select("name", "best")
+        best = best.join(moved.select("name"), "name", "left_anti").unionByName(moved)
+        best = best if turn % 4 else cut(best)
+
+
+def longest_chains(edges: DataFrame, *, small: int = SMALL_EDGES) -> DataFrame:
     """``component, weight, depth``: the heaviest chain that starts at each component of the condensation.
 
     A component weighs as much as it has members; more than eight weigh
     nothing and end the chain.
     """
-    pairs = cut(_distinct_pairs(edges))
-    if pairs.limit(small + 1).count() <= small:
-        return _in_one_task(pairs, _chains, "component string, weight int, depth int")
     member = cut(strongly_connected(edges, small=small))
-    weight = cut(member.groupBy("component").agg(F.count("*").alias("size")).select("component", F.when(F.col("size") > LARGE, 0).otherwise(F.col("size")).cast("int").alias("weight"), (F.col("size") > LARGE).alias("large")))
+    size = member.groupBy("component").agg(F.count("*").alias("size"))
+    weight = cut(size.select(F.col("component").alias("name"), F.when(F.col("size") > LARGE, 0).otherwise(F.col("size")).cast("int").alias("own"), F.lit(0).alias("more"), (F.col("size") > LARGE).alias("large")))
     a = member.select(F.col("name").alias("src"), F.col("component").alias("a"))
     b = member.select(F.col("name").alias("dst"), F.col("component").alias("b"))
-    sinks = weight.filter("large").select(F.col("component").alias("a"))
-    dag = cut(edges.select("src", "dst").join(a, "src").join(b, "dst").filter("a <> b").select("a", "b").distinct().join(sinks, "a", "left_anti"))
-    best = weight.select("component", "weight", F.col("weight").alias("depth"))
-    for _ in range(rounds):
-        through = dag.join(best.select(F.col("component").alias("b"), F.col("depth").alias("after")), "b").groupBy(F.col("a").alias("component")).agg(F.max("after").alias("after"))
-        now = cut(best.join(through, "component", "left").select("component", "weight", "depth", F.greatest(F.col("depth"), F.col("weight") + F.coalesce("after", F.lit(0))).alias("now")))
-        moved = not now.filter("now > depth").isEmpty()
-        best = now.select("component", "weight", F.col("now").alias("depth"))
-        if not moved:
-            return best
-    raise RuntimeError("chains did not settle")
-
-
-def effective_depth(own: DataFrame, calls: DataFrame, *, most: int = 6) -> DataFrame:
+    ending = weight.filter("large").select(F.col("name").alias("a"))
+    steps = cut(edges.select("src", "dst").join(a, "src").join(b, "dst").filter("a <> b").select("a", "b").distinct().join(ending, "a", "left_anti"))
+    return weight.join(_heaviest(weight, steps), "name").select(F.col("name").alias("component"), F.col("own").alias("weight"), F.col("best").alias("depth"))
+
+
+def effective_depth(own: DataFrame, calls: DataFrame, *, small: int = SMALL_EDGES) -> DataFrame:
     """``name, own, effective``: a method's loop depth with that of what it calls inside loops.
 
     ``own(name, depth)``; ``calls(src, dst)`` are calls made in a loop.  The
-    deepest chain counts; a method on its own chain is not entered twice, which
-    ``most`` levels bound.
+    deepest chain counts, however long.  A call within a cycle of calls
+    counts the callee's own depth alone, so a cycle is cut where it is entered and recursion once
+    adds the method's own depth; calls of unknown names count nothing.
     """
-    best = own.select("name", F.col("depth").alias("own"), F.col("depth").alias("effective"))
-    inner = calls.filter("src <> dst").select("src", "dst").distinct()
-    for _ in range(most):
-        through = inner.join(best.select(F.col("name").alias("dst"), F.col("effective").alias("below")), "dst").groupBy(F.col("src").alias("name")).agg(F.max("below").alias("below"))
-        now = cut(best.join(through, "name", "left").select("name", "own", "effective", F.least(F.lit(most), F.greatest(F.col("effective"), F.when(F.col("own") > 0, F.col("own") + F.coalesce("below", F.lit(0))).otherwise(0))).alias("now")))
-        if now.filter("now > effective").isEmpty():
-            break
-        best = now.select("name", "own", F.col("now").alias("effective"))
-    return best
+    held = cut(own.groupBy("name").agg(F.max("depth").alias("own")))
+    known = held.select("name")
+    inner = calls.select("src", "dst").distinct().join(known.withColumnRenamed("name", "src"), "src", "left_semi").join(known.withColumnRenamed("name", "dst"), "dst", "left_semi")
+    inner = cut(inner.join(held.filter("own > 0").select(F.col("name").alias("src")), "src", "left_semi").select("src", "dst"))
+    member = cut(strongly_connected(inner, small=small))
+    a, b = member.select(F.col("name").alias("src"), F.col("component").alias("ca")), member.select(F.col("name").alias("dst"), F.col("component").alias("cb"))
+    placed = cut(inner.join(a, "src").join(b, "dst"))
+    within = placed.filter("ca = cb").join(held.select(F.col("name").alias("dst"), F.col("own").alias("_d")), "dst").groupBy(F.col("src").alias("name")).agg(F.max("_d").alias("more"))
+    nodes = held.join(within, "name", "left").select("name", "own", F.coalesce("more", F.lit(0)).alias("more"))
+    best = _heaviest(nodes, placed.filter("ca <> cb").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return held.join(best, "name").select("name", "own", F.col("best").alias("effective"))

@@ -79,7 +79,37 @@ def test_caps_hide_but_do_not_stop(spark):
     assert {r["depth"]: r["n"] for r in traversal.impact(edges, spark.createDataFrame([("far",)], "name string")).collect()} == {1: 1, 2: 1}
 
 
+def depths(own, calls):
+    """Own depth and the deepest callee's; calls within a cycle count the callee's own depth."""
+    same, memo = sccs(calls), {}
+
+    def of(n):
+        if n not in memo:
+            inner = [own[b] if same[a] == same[b] else of(b) for a, b in calls if a == n and b in own] if own[n] else []
+            memo[n] = own[n] + max(inner, default=0)
+        return memo[n]
+
+    return {n: of(n) for n in own}
+
+
 def test_effective_depth(spark):
-    own = spark.createDataFrame([("a", 1), ("b", 2), ("c", 0), ("d", 1)], "name string, depth int")
-    calls = spark.createDataFrame([("a", "b"), ("c", "b"), ("d", "d")], "src string, dst string")
-    assert {r["name"]: r["effective"] for r in components.effective_depth(own, calls).collect()} == {"a": 3, "b": 2, "c": 0, "d": 1}
+    cases = [({"a": 1, "b": 2, "c": 0, "d": 1, "x": 1, "y": 1}, [("a", "b"), ("c", "b"), ("d", "d"), ("x", "y"), ("y", "x"), ("a", "gone")])]
+    cases.append(({f"m{i}": 1 for i in range(9)}, [(f"m{i}", f"m{i + 1}") for i in range(8)]))
+    rnd = random.Random(5)
+    cases.append(({f"n{i:02}": rnd.randrange(3) for i in range(14)}, [p for p in graph(6)]))
+    for own, calls in cases:
+        got = components.effective_depth(spark.createDataFrame(list(own.items()), "name string, depth int"), spark.createDataFrame(calls, "src string, dst string"), small=0)
+        assert {r["name"]: r["effective"] for r in got.collect()} == depths(own, [c for c in calls if own.get(c[0])])
+    assert depths(cases[0][0], cases[0][1]) == {"a": 3, "b": 2, "c": 0, "d": 2, "x": 2, "y": 2} and depths(*cases[1])["m0"] == 9
+
+
+def test_distributed_components_of_long_paths_and_rings(spark):
+    """No round limit leaves nodes out: a path, a ring, rings on a path, and single nodes, without the one-task shortcut until few edges are left."""
+    path = [(f"p{i:03}", f"p{i + 1:03}") for i in range(150)]
+    ring = [(f"r{i:03}", f"r{(i + 1) % 80:03}") for i in range(80)]
+    mixed = [("p140", "p130"), ("p020", "r000"), ("s", "s"), ("t", "p000")]
+    pairs = path + ring + mixed
+    random.Random(1).shuffle(pairs)
+    got = {r["name"]: r["component"] for r in components.strongly_connected(frame(spark, pairs), small=20).collect()}
+    want = {x: x for p in pairs for x in p} | {f"r{i:03}": "r000" for i in range(80)} | {f"p{i}": "p130" for i in range(130, 141)}
+    assert got == want
