@@ -15,6 +15,7 @@ MEMO_WORDS = 200_000
 MEMO_WORD_CHARS = 64
 #: Documents handled at once by the array-based operators, in characters.
 BLOCK_CHARS = 2_000_000
+_HASHED_BYTES = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 _BYTES = np.random.default_rng(5).integers(1, 2**63, 256).astype(np.uint64)
@@ -40,9 +41,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage with a copy in the shared checkpoint folder.
+
+    The size that the planner guessed for what made it isn't handed on: in a loop
+    of joins that guess is a product that grows to thousands of digits.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    held = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
 
 
 def map_texts(df: DataFrame, each: Callable, schema: str, *, key: str = "doc_id", text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
@@ -104,12 +111,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word (maximal runs free of ASCII white space, A-Z lower-cased) and the number of words of each text."""
-    of = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    counts = np.array([len(ws) for ws in of], np.int64)
-    data = np.frombuffer(b"".join([b" ".join(ws) + b" " for ws in of if ws]), np.uint8)
+    counts, parts, held, size = np.zeros(len(texts), np.int64), [], [], 0
+    for i, t in enumerate(texts):
+        ws = t.encode("utf-8", "surrogatepass").lower().split()
+        counts[i] = len(ws)
+        if ws:
+            held.append(b" ".join(ws) + b" ")
+            size += len(held[-1])
+        if size > _HASHED_BYTES or i == len(texts) - 1:  # the arrays below are wide, so few bytes at a time
+            parts.append(_hashes(np.frombuffer(b"".join(held), np.uint8)))
+            held, size = [], 0
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), counts
+
+
+def _hashes(data: np.ndarray) -> np.ndarray:
+    """Of each word that ends with a blank."""
     ends = np.flatnonzero(data == 0x20)
     if not len(ends):
-        return np.zeros(0, np.uint64), counts
+        return np.zeros(0, np.uint64)
     starts = np.append(0, ends[:-1] + 1)
     lengths = ends - starts + 1
     powers = np.full(int(lengths.max()), _BASE)
@@ -117,7 +136,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         powers = np.multiply.accumulate(powers)
         place = np.arange(len(data)) - np.repeat(starts, lengths)
-        return mixed(np.add.reduceat(_BYTES[data] * powers[place], starts)), counts
+        return mixed(np.add.reduceat(_BYTES[data] * powers[place], starts))
 
 
 def _quoted(name: str) -> str:
