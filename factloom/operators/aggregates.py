@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def statistics(df: DataFrame, value: str, *keys: str, digits: int = 6) -> DataFrame:
+    """``keys, mean, deviation``: the mean and the population deviation of a value by group, rounded so that the order of summing makes no difference."""
+    return df.groupBy(*keys).agg(F.round(F.avg(value), digits).alias("mean"), F.round(F.stddev_pop(value), digits).alias("deviation"))
+
+
 def outliers(df: DataFrame, value: str, *, k: float = 2.0, strict: bool = True, floor: float | None = None) -> DataFrame:
     """Rows above mean + k population standard deviations of all rows, with ``threshold`` rounded to nine places."""
     limits = df.agg(F.round(F.avg(value) + k * F.stddev_pop(value), 9).alias("threshold"))
@@ -95,6 +100,11 @@ def agreement(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def capped_evidence(findings: DataFrame, evidence: DataFrame, key: str, member: str, *, most: int = 8) -> DataFrame:
+    """Each finding with its first ``most`` pieces of evidence in order and the number of those left out; findings without any have none."""
+    return findings.join(sampled_lists(evidence, [key], member, most=most), key, "left").withColumn("more", F.coalesce("more", F.lit(0)))
+
+
 def top(df: DataFrame, n: int, *order) -> DataFrame:
     """The first n rows of a total order."""
     return df.orderBy(*order).limit(n)
@@ -122,6 +132,11 @@ def debounced(changes: DataFrame, keys: list[str], at: str, *, gap: str = "2 min
     return changes.groupBy(*keys, session.alias("w")).agg(F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last")).drop("w")
 
 
+def remove_where(store: DataFrame, condition: Column) -> DataFrame:
+    """The facts that don't meet a condition; one that is unknown isn't met."""
+    return store.filter(~F.coalesce(condition, F.lit(False)))
+
+
 def replace_repo(store: DataFrame, repo: str, fresh: DataFrame) -> DataFrame:
     """Append mode: the repository's facts are replaced, the others stay."""
     return store.filter(~F.col("repo").eqNullSafe(F.lit(repo))).unionByName(fresh)

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..checkpoints import cut
 from ..functions.names import ancestors, glob_regex, short_name
 from . import components, traversal
 from .filters import where
 
 VIAS = ("calls", "depends_on", "implements", "imports")
-REACH_CAP = 500
 
 
 @dataclass(frozen=True)
@@ -76,11 +76,15 @@ def forbid(rule, facts, edges):
 
 
 def forbid_reach(rule, facts, edges):
-    """Any path from the subject to the target; a subject beyond the cap gives a notice, as walks start from each member."""
-    members = rule.subject.members(facts)
-    if members.select("name").distinct().limit(REACH_CAP + 1).count() > REACH_CAP:
-        return notice(rule, facts, "too many members")
-    reached = traversal.closures(edges, members, rels=[rule.via], depth=traversal.MOST_DEPTH).filter("depth > 0")
+    """Any path from the subject to the target, of any length and from any number of members.
+
+    Only steps that can still lead to the target are walked: what reaches it is found
+    first, in one walk backward.
+    """
+    members, target = rule.subject.members(facts), rule.to.members(facts)
+    leading = cut(traversal.walk(edges, target, direction="reverse", rels=[rule.via], depth=None).select("name"))
+    led = edges.join(leading.withColumnRenamed("name", "src"), "src", "left_semi").join(leading.withColumnRenamed("name", "dst"), "dst", "left_semi")
+    reached = traversal.closures(led, members.join(leading, "name", "left_semi"), rels=[rule.via]).filter("depth > 0")
     return _rows(reached.join(_names(rule.to.members(facts), "name"), "name", "left_semi"), rule, "root", "name")
 
 

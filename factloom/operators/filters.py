@@ -55,6 +55,15 @@ def query_advanced(
     return out
 
 
+def lookup(facts: DataFrame, *, kind: str | None = None, file: str | None = None, name: str | None = None, repo: str | None = None, relation: str | None = None) -> DataFrame:
+    """Facts by exact value of one indexed column, or of several; ``relation``: with such an embedded relation."""
+    out = facts
+    for column, value in (("kind", kind), ("file", file), ("name", name), ("repo", repo)):
+        if value is not None:
+            out = out.filter(F.col(column) == value)
+    return _with_relation(out, relation, None) if relation is not None else out
+
+
 def page(facts: DataFrame, order: list[str], *, offset: int = 0, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Rows from ``offset`` in a total order, at most ``limit`` (500 at most), each with the count before paging."""
     limit = min(max(limit, 1), MOST_LIMIT)

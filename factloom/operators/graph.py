@@ -22,7 +22,7 @@ def explode_relations(facts: DataFrame) -> DataFrame:
 def strip_module_path(edges: DataFrame, names: DataFrame, modules: DataFrame) -> DataFrame:
     """Call targets that start with their repository's module path lose it if what remains is declared."""
     known = names.select(F.col("name").alias("_short")).distinct()
-    cut = edges.join(F.broadcast(modules.select("repo", "module_path")), "repo", "left").withColumn(
+    cut = edges.join(modules.select("repo", "module_path").distinct(), "repo", "left").withColumn(
         "_try", F.when((F.col("rel") == "calls") & F.startswith(F.col("dst"), F.concat("module_path", F.lit("/"))), F.expr("substring(dst, length(module_path) + 2)"))
     )
     return cut.join(known, F.col("_try") == F.col("_short"), "left").withColumn("dst", F.coalesce("_short", "dst")).drop("_try", "_short", "module_path")
@@ -64,14 +64,19 @@ def fan_out(edges: DataFrame) -> DataFrame:
     return edges.filter(~F.col("rel").isin(*NOT_FAN_OUT_RELATIONS)).groupBy(F.col("src").alias("name")).agg(F.count("*").alias("fan_out"))
 
 
-def forward(edges: DataFrame, names: list[str], rels: list[str] | None = None) -> DataFrame:
-    out = edges.filter(F.col("src").isin(names))
-    return out.filter(F.col("rel").isin(rels)) if rels else out
+def forward(edges: DataFrame, names: DataFrame | list[str], rels: list[str] | None = None) -> DataFrame:
+    """Edges out of the named ends: a few names, or any number as ``names(name)``."""
+    return _at(edges, "src", names, rels)
 
 
-def reverse(edges: DataFrame, names: list[str], rels: list[str] | None = None) -> DataFrame:
-    out = edges.filter(F.col("dst").isin(names))
-    return out.filter(F.col("rel").isin(rels)) if rels else out
+def reverse(edges: DataFrame, names: DataFrame | list[str], rels: list[str] | None = None) -> DataFrame:
+    """Edges into the named ends: a few names, or any number as ``names(name)``."""
+    return _at(edges, "dst", names, rels)
+
+
+def _at(edges: DataFrame, end: str, names: DataFrame | list[str], rels: list[str] | None) -> DataFrame:
+    out = edges.filter(F.col("rel").isin(rels)) if rels else edges
+    return out.filter(F.col(end).isin(names)) if isinstance(names, list) else out.join(names.select(F.col("name").alias(end)).distinct(), end, "left_semi")
 
 
 def module_graph(dependencies: DataFrame, modules: DataFrame, *, without: tuple[str, ...] = ()) -> DataFrame:

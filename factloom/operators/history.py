@@ -58,9 +58,8 @@ def log_graph(log: DataFrame) -> DataFrame:
     first = log.groupBy("branch").agg(F.min("at").alias("_first"))
     lanes = first.withColumn("lane", F.row_number().over(Window.orderBy("_first", "branch")) - 1)  # one row for each branch
     gap = F.coalesce((F.unix_timestamp("at") - F.unix_timestamp(F.lag("at").over(Window.partitionBy("branch").orderBy("at", "revision_id")))) > 86400, F.lit(False))
-    epoch = F.sum(gap.cast("int")).over(Window.partitionBy("branch").orderBy("at", "revision_id"))
     marked = log.withColumn("_gap", gap)
-    return marked.withColumn("epoch", F.sum(F.col("_gap").cast("int")).over(Window.partitionBy("branch").orderBy("at", "revision_id"))).drop("_gap").join(lanes.drop("_first"), "branch") if epoch is not None else log
+    return marked.withColumn("epoch", F.sum(F.col("_gap").cast("int")).over(Window.partitionBy("branch").orderBy("at", "revision_id"))).drop("_gap").join(lanes.drop("_first"), "branch")
 
 
 def at_date(log: DataFrame, when: str) -> DataFrame:

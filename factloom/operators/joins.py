@@ -53,7 +53,9 @@ def match_routes(clients: DataFrame, servers: DataFrame, *, least_segments: int
         out = df.select(F.col("route_id").alias(name), http_method(F.col("method")).alias(f"{name}_method"), F.explode(_suffixes(path)).alias("suffix"))
         return out.withColumn("segments", F.size(F.split("suffix", "/"))).filter(F.col("segments") >= least_segments)
 
-    both = keyed(clients, "client_id").join(keyed(servers, "server_id"), ["suffix", "segments"])
+    # of the servers with one suffix and method only the least can win, so a common suffix is a few rows
+    served = keyed(servers, "server_id").groupBy("suffix", "segments", "server_id_method").agg(F.min("server_id").alias("server_id"))
+    both = keyed(clients, "client_id").join(served, ["suffix", "segments"])
     fits = both.filter((F.col("client_id_method") == F.col("server_id_method")) | (F.col("client_id_method") == "*") | (F.col("server_id_method") == "*"))
     best = fits.groupBy("client_id").agg(F.min(F.struct((-F.col("segments")).alias("s"), "server_id")).alias("b"))
     return best.select("client_id", F.col("b.server_id").alias("server_id"), (-F.col("b.s")).cast("int").alias("segments"))
@@ -86,13 +88,18 @@ def prefix_join(files: DataFrame, anchors: DataFrame) -> DataFrame:
     return files.select("file", F.explode(ancestors(F.col("file"))).alias("path")).join(anchors, "path")
 
 
-def shared_code(tokens: DataFrame, *, least: float = 0.5) -> DataFrame:
+def shared_code(tokens: DataFrame, *, least: float = 0.5, most_repo_share: float = 0.5, least_repos_for_filter: int = 4) -> DataFrame:
     """Pairs of equal identities in different repositories whose token sets are alike: ``identity, repo_a, repo_b, similarity``.
 
     ``tokens(repo, identity, tokens)`` has one row for each repository and identity.
+    Identities that more than a share of all repositories declare say nothing and
+    are left out, once there are enough repositories to tell.
     """
     from ..functions.names import jaccard
+    from .linking import Vocabulary, shared_identities
 
+    telling = shared_identities(tokens, Vocabulary(most_repo_share=most_repo_share, least_repos_for_filter=least_repos_for_filter))
+    tokens = tokens.join(telling.select("identity"), "identity", "left_semi")
     a = tokens.select("identity", F.col("repo").alias("repo_a"), F.col("tokens").alias("ta"))
     b = tokens.select("identity", F.col("repo").alias("repo_b"), F.col("tokens").alias("tb"))
     return a.join(b, "identity").filter("repo_a < repo_b").withColumn("similarity", jaccard(F.col("ta"), F.col("tb"))).filter(F.col("similarity") >= least).select("identity", "repo_a", "repo_b", "similarity")

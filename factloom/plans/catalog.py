@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import names as fn
 from ..operators import aggregates as ag
 from ..operators import components, constraints, diffing, explainers, filters, graph, history, joins, linking, traversal
@@ -46,7 +47,7 @@ def f1(t):
     "select name, kind, symbol_kind from facts where kind in ('symbol', 'module') and repo = 'LIB' and (starts_with(file, 'lib/Brand#1') or file = 'lib/Brand#2') and (name, kind) in (select (dst, dst_kind) from edges union select (src, src_kind) from edges where rel in ('depends_on', 'declares')) and (name, kind) in (select (src, src_kind) from edges where rel = 'declares')",
 )
 def f2(t):
-    return filters.query_advanced(t.facts(), kinds=["symbol", "module"], repo="LIB", files=["lib/Brand#2"], prefix="lib/Brand#1", relation="declares", edges=t.edges()).select("name", "kind", "symbol_kind")
+    return filters.query_advanced(t.facts(), kinds=["symbol", "module"], repo="LIB", files=["lib/Brand#2"], prefix="lib/Brand#1", relation="declares", edges=t.edges("declares")).select("name", "kind", "symbol_kind")
 
 
 @query("f2_prop_value", "select name, role from facts where kind = 'symbol' and role = 'BUILDING'")
@@ -70,9 +71,16 @@ def f4b(t):
     return filters.with_related(f.filter("symbol_kind = 'interface'"), t.edges(), f).select("name", "kind").distinct()
 
 
-@query("f5_lookup", "select repo, count(*) as n, count(distinct file) as files from facts group by repo")
+@query("f5_lookup", "select name, kind, repo, file from facts where kind = 'symbol' and repo = 'ASIA' union all select name, kind, repo, file from facts where file = 'lib/Brand#1' union all select name, kind, repo, file from facts where name = 'service:EUROPE'")
 def f5(t):
-    return t.facts().groupBy("repo").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"))
+    f = t.facts().select("name", "kind", "repo", "file")
+    return filters.lookup(f, kind="symbol", repo="ASIA").unionByName(filters.lookup(f, file="lib/Brand#1")).unionByName(filters.lookup(f, name="service:EUROPE"))
+
+
+@query("f5_by_relation", "select distinct src as name from part_links")
+def f5b(t):
+    embedded = t.part_links().groupBy(F.col("src").alias("name")).agg(F.collect_set(F.struct(F.lit("depends_on").alias("kind"), F.col("dst").alias("target"))).alias("relations"))
+    return filters.lookup(embedded, relation="depends_on").select("name")
 
 
 @query("f6_where", "select name, cyclomatic from facts where symbol_kind = 'method' and cyclomatic >= 6 and coalesce(role, '') <> '' and loop_depth < 2")
@@ -94,11 +102,34 @@ def f8(t):
     return paths.select("file", fn.is_test_path(F.col("file")).alias("test"))
 
 
-@query("f10_resolve", "select name, 'symbol' as kind, 1 as tier, cast(1.15 as double) as score, 1 as rank, cast(0.9 as double) as confidence from cust where c_custkey = 1")
+@query(
+    "f10_resolve",
+    """#m as (select name, kind, case when lower(name) = 'customer1' then 2 when lower(regexp_extract(name, '([^./]*)$', 1)) = 'customer1' or ends_with(lower(name), '.customer1') or ends_with(lower(name), '/customer1') then 1 end as tier, symbol_kind, file from facts),
+s as (select name, kind, max(tier) as tier, max(tier + case when kind = 'class' or symbol_kind = 'class' then 0.15 else -0.15 end) as score from m where tier is not null group by 1, 2),
+r as (select *, row_number() over (order by score desc, name, kind) as rank, lead(score) over (order by score desc, name, kind) as second from s)
+select name, kind, tier, cast(score as double) as score, cast(rank as integer) as rank, cast(case when rank = 1 then case when second is null then case when tier = 2 then 1.0 else 0.9 end when tier = 2 and second < 2 then 1.0 else score / (score + second) end end as double) as confidence from r where rank <= 10""",
+)
 def f10(t):
     return filters.resolve_name(t.facts(), "kind:class Customer1")
 
 
+@query(
+    "f10_resolve_many",
+    """#s as (select name, kind, 1 as tier, max(1 + case when contains(file, 'Brand#1') then 0.1 else -0.1 end) as score from facts where repo = 'LIB' and lower(regexp_extract(name, '([^./]*)$', 1)) in ('brand#1') group by 1, 2),
+r as (select *, row_number() over (order by score desc, name, kind) as rank, lead(score) over (order by score desc, name, kind) as second from s)
+select name, kind, tier, cast(score as double) as score, cast(rank as integer) as rank, cast(case when rank = 1 then case when second is null then 0.9 else score / (score + second) end end as double) as confidence from r where rank <= 10""",
+)
+def f10b(t):
+    return filters.resolve_name(t.facts(), "repo:LIB file:Brand#1 Brand#1")
+
+
+@query("f9_insights", "select 'part ' || p_partkey as title, case when p_partkey % 3 = 0 then 'cycles' else 'surface' end as source from part where p_partkey % 3 = 0 and case when p_size > 25 then 1.0 else 0.5 end >= 0.6 and p_brand = 'Brand#1'")
+def f9(t):
+    p = t.raw("part")
+    found = p.select(F.when(F.col("p_partkey") % 3 == 0, "cycles").otherwise("surface").alias("source"), F.concat(F.lit("part "), "p_partkey").alias("title"), F.when(F.col("p_size") > 25, 1.0).otherwise(0.5).alias("confidence"), F.array(F.struct(F.concat("p_brand", F.lit("/x.go")).alias("file"))).alias("evidence"))
+    return filters.insights_where(found, source="cycles", repo="Brand#1", least=0.6).select("title", "source")
+
+
 @query(
     "f11_explore",
     """#own as (select name, symbol_kind from facts where kind = 'symbol' and regexp_replace(file, '/[^/]*$', '') = 'lib/Brand#1')
@@ -142,9 +173,19 @@ def g4(t):
     return graph.has_method_edges(t.facts()).select("src", "dst")
 
 
-@query("g5_dedup", "select count(*) as n from edges")
+@query("g5_dedup", "select rel, count(*) as n, (select count(*) from calls) as rows from (select distinct src, src_kind, rel, dst, dst_kind from calls) group by rel")
 def g5(t):
-    return t.edges().agg(F.count("*").alias("n"))
+    calls = t.calls()
+    rows = calls.agg(F.count("*").alias("rows"))
+    return graph.dedup(calls).groupBy("rel").agg(F.count("*").alias("n")).join(F.broadcast(rows))
+
+
+@query("g2_strip_module_path", "select p.name as src, case when q.p_partkey % 2 = 0 then q.name else 'mod/' || q.name end as dst from part_links e join prt p on p.name = e.src join prt q on q.name = e.dst")
+def g2(t):
+    links = t.part_links()
+    calls = links.select("repo", "src", F.lit("calls").alias("rel"), F.concat(F.lit("mod/"), "dst").alias("dst"))
+    declared = t.parts().filter("p_partkey % 2 = 0")
+    return graph.strip_module_path(calls, declared, t.parts().select("repo", F.lit("mod").alias("module_path")).distinct()).select("src", "dst")
 
 
 @query("g6_fan_in_top", "select dst as name, count(*) as fan_in from edges where rel not in ('instantiates', 'implemented_by') group by 1 order by 2 desc, 1 limit 10")
@@ -157,10 +198,14 @@ def g6b(t):
     return graph.fan_out(t.edges()).filter("fan_out > 8")
 
 
-@query("g7_reverse", "select src, rel, dst from edges where rel in ('declares', 'implements') and dst in (select name from prt where p_partkey < 20)")
+@query("g7_reverse", "select src, rel, dst from edges where rel in ('declares', 'implements') and dst in (select name from prt)")
 def g7(t):
-    wanted = t.parts().filter("p_partkey < 20").select(F.col("name").alias("dst"))
-    return t.edges().filter(F.col("rel").isin("declares", "implements")).join(wanted, "dst", "left_semi").select("src", "rel", "dst")
+    return graph.reverse(t.edges("declares", "implements"), t.parts(), ["declares", "implements"]).select("src", "rel", "dst")
+
+
+@query("g7_forward", "select src, rel, dst from edges where rel = 'implements' and src in (select name from supp where s_acctbal > 0)")
+def g7b(t):
+    return graph.forward(t.edges("implements"), t.suppliers().filter("s_acctbal > 0"), ["implements"]).select("src", "rel", "dst")
 
 
 @query("g8_module_graph", "select importer as src, target as dst, count(*) as n from dependencies where coupling not in ('association', 'reference') and importer in (select dir from nat where nk % 5 <> 4) and target in (select dir from nat where nk % 5 <> 4) group by 1, 2")
@@ -200,6 +245,22 @@ def g10(t):
     return traversal.find_path(links, start, goal, depth=6).agg(F.lit(start).alias("start"), F.lit(goal).alias("goal"), F.max("step").alias("hops"))
 
 
+@query(
+    "g10_path",
+    """#steps as (select distinct src as a, dst as b from part_links where src <> dst), walk(name, depth) as (select min(src), 0 from part_links union select b, depth + 1 from walk join steps on a = name where depth < 6),
+near as (select name, min(depth) as depth from walk group by name), goal as (select name, depth from near order by depth desc, name desc limit 1),
+parent as (select b as name, min(a) as up from steps join near x on x.name = a join near y on y.name = b where y.depth = x.depth + 1 group by b),
+back(step, name) as (select depth, name from goal union all select step - 1, up from back join parent using (name) where step > 0) select cast(step as integer) as step, name from back""",
+    recursive=True,
+)
+def g10b(t):
+    links = t.part_links()
+    start = links.agg(F.min("src")).first()[0]
+    reached = traversal.walk(links, t.spark.createDataFrame([(start,)], "name string"), depth=6)
+    goal = reached.orderBy(F.desc("depth"), F.desc("name")).first()["name"]
+    return traversal.find_path(links, start, goal, depth=6)
+
+
 @query(
     "g11_impact",
     "#steps as (select distinct dst as a, src as b from edges where src <> dst), walk(name, depth) as (select name, 0 from prt where p_partkey < 3 union select b, depth + 1 from walk join steps on a = name where depth < 3), found as (select name, min(depth) as depth from walk group by name) select depth, count(*) as n from found where depth > 0 group by depth",
@@ -218,7 +279,7 @@ def g12(t):
 
 @query(
     "g13_endpoint_chain",
-    """#rt as (select page_id, 'page' || page_id as route, case when page_id % 7 = 0 then null else page_id end as handler_key from pages where page_id < 40),
+    """#rt as (select page_id, 'page' || page_id as route, case when page_id % 7 = 0 then null else page_id end as handler_key from pages),
 h as (select r.route, o.name as handler from rt r left join ord o on r.handler_key = o.o_orderkey),
 steps as (select distinct src as a, dst as b from (select * from calls union all select * from part_links) where src <> dst),
 walk(root, name, depth) as (select distinct handler, handler, 0 from h where handler is not null union select root, b, depth + 1 from walk join steps on a = name where depth < 3),
@@ -228,7 +289,7 @@ select route, handler, least(count(distinct model), 25) as models, count(distinc
     recursive=True,
 )
 def g13(t):
-    pages = t.raw("pages").filter("page_id < 40").select(F.concat(F.lit("page"), "page_id").alias("route"), F.when(F.col("page_id") % 7 != 0, F.col("page_id")).alias("handler_key"))
+    pages = t.raw("pages").select(F.concat(F.lit("page"), "page_id").alias("route"), F.when(F.col("page_id") % 7 != 0, F.col("page_id")).alias("handler_key"))
     handlers = t.orders().select(F.col("o_orderkey").alias("handler_key"), "name")
     edges = t.calls().unionByName(t.part_links())
     tables = t.parts().filter("p_size > 25").select(F.col("name").alias("model"), F.col("p_type").alias("table"))
@@ -282,9 +343,15 @@ def g18(t):
 
 @query(
     "g19_effective_depth",
-    """#own as (select name, cast(p_size % 3 as integer) as d from prt), steps as (select distinct src as a, dst as b from part_links where src <> dst),
-walk(root, node, s, k) as (select name, name, d, 0 from own union select root, steps.b, least(6, s + e.d), k + 1 from walk join own o on o.name = node and o.d > 0 join steps on steps.a = node join own e on e.name = steps.b where k < 6)
-select o.name, o.d as own, max(s) as effective from own o join walk on root = o.name group by 1, 2""",
+    _REACH
+    + """, own as (select name, cast(p_size % 3 as integer) as d from prt),
+live as (select l.src, l.dst from links l join own on own.name = l.src and own.d > 0),
+lreach(a, b) as (select src, dst from live where src <> dst union select r.a, l.dst from lreach r join live l on r.b = l.src where l.src <> l.dst),
+same as (select x.a, x.b from lreach x join lreach y on x.a = y.b and x.b = y.a union select distinct src, src from live),
+inner_ as (select l.src, max(o.d) as more from live l join same s on s.a = l.src and s.b = l.dst join own o on o.name = l.dst group by 1),
+steps as (select l.src, l.dst from live l where (l.src, l.dst) not in (select (a, b) from same)),
+way(root, node, s) as (select name, name, d from own union select root, o.name, s + o.d from way join steps on steps.src = node join own o on o.name = steps.dst)
+select own.name, own.d as own, cast(max(s + coalesce(more, 0)) as integer) as effective from own join way on root = own.name left join inner_ on inner_.src = node group by 1, 2""",
     recursive=True,
 )
 def g19(t):
@@ -302,6 +369,20 @@ def g20(t):
     return traversal.reached_from_roots(t.part_links(), symbols, _seeds(t, 10))
 
 
+@query(
+    "g20_reached_deep",
+    "#steps as (select p_partkey as a, p_partkey + 1 as b from part where p_partkey % 64 <> 63), walk(k) as (select p_partkey from part where p_partkey % 128 = 0 union select b from walk join steps on a = k) select name, p_partkey in (select k from walk) as reached from prt",
+    recursive=True,
+)
+def g20b(t):
+    name = lambda k: F.concat(F.lit("k"), F.col(k).cast("string"))
+    p = t.parts()
+    chain = p.filter("p_partkey % 64 <> 63").select(name("p_partkey").alias("src"), F.concat(F.lit("k"), (F.col("p_partkey") + 1).cast("string")).alias("dst"), F.lit("calls").alias("rel"))
+    keyed = p.select(name("p_partkey").alias("name"), F.col("name").alias("part"))
+    reached = traversal.reached_from_roots(chain, keyed.select("name"), p.filter("p_partkey % 128 = 0").select(name("p_partkey").alias("name")))
+    return reached.join(keyed, "name").select(F.col("part").alias("name"), "reached")
+
+
 # -- joins
 
 
@@ -381,10 +462,11 @@ def j10(t):
 
 @query(
     "j11_shared_code",
-    "#tok as (select distinct p_type as identity, p_brand as repo, w from (select p_type, p_brand, unnest(split(p_name, ' ')) as w from part)), sets as (select identity, repo, count(*) as n from tok group by 1, 2), both_ as (select a.identity, a.repo as repo_a, b.repo as repo_b, count(*) as c from tok a join tok b on a.identity = b.identity and a.w = b.w and a.repo < b.repo group by 1, 2, 3) select x.identity, repo_a, repo_b, round(c / (sa.n + sb.n - c), 9) as similarity from both_ x join sets sa on sa.identity = x.identity and sa.repo = repo_a join sets sb on sb.identity = x.identity and sb.repo = repo_b where c / (sa.n + sb.n - c) >= 0.8",
+    "#every as (select distinct p_name || '/' || p_size % 10 as identity, p_brand as repo, w from (select p_name, p_size, p_brand, unnest(split(p_type || ' ' || p_name, ' ')) as w from part)), kept as (select identity from every group by 1 having count(distinct repo) > 1 and not ((select count(distinct repo) from every) >= 4 and count(distinct repo) / (select count(distinct repo) from every) > 0.5)), tok as (select * from every where identity in (select identity from kept)), sets as (select identity, repo, count(*) as n from tok group by 1, 2), both_ as (select a.identity, a.repo as repo_a, b.repo as repo_b, count(*) as c from tok a join tok b on a.identity = b.identity and a.w = b.w and a.repo < b.repo group by 1, 2, 3) select x.identity, repo_a, repo_b, round(c / (sa.n + sb.n - c), 9) as similarity from both_ x join sets sa on sa.identity = x.identity and sa.repo = repo_a join sets sb on sb.identity = x.identity and sb.repo = repo_b where c / (sa.n + sb.n - c) >= 0.8",
 )
 def j11(t):
-    tokens = t.raw("part").select(F.col("p_type").alias("identity"), F.col("p_brand").alias("repo"), F.explode(F.split("p_name", " ")).alias("w")).groupBy("identity", "repo").agg(F.collect_set("w").alias("tokens"))
+    identity, words = F.concat("p_name", F.lit("/"), F.col("p_size") % 10), F.split(F.concat_ws(" ", "p_type", "p_name"), " ")
+    tokens = t.raw("part").select(identity.alias("identity"), F.col("p_brand").alias("repo"), F.explode(words).alias("w")).groupBy("identity", "repo").agg(F.collect_set("w").alias("tokens"))
     return joins.shared_code(tokens, least=0.8).withColumn("similarity", F.round("similarity", 9))
 
 
@@ -400,10 +482,10 @@ def j13(t):
     return joins.import_owner(repos.select("repo", F.concat(F.lit("x/"), "repo", F.lit("/ASIA/EUROPE/y")).alias("target")), repos)
 
 
-@query("j14_operations", "select distinct a.p_type as operation, a.p_brand as client_repo, b.p_brand as server_repo from part a join part b on a.p_type = b.p_type and a.p_brand <> b.p_brand where a.p_partkey % 50 = 1 and b.p_partkey % 50 = 2")
+@query("j14_operations", "#p as (select distinct p_name || '/' || p_type as operation, p_brand as repo, p_size > 25 as serves from part) select distinct a.operation, a.repo as client_repo, b.repo as server_repo from p a join p b on a.operation = b.operation and a.repo <> b.repo where not a.serves and b.serves")
 def j14(t):
-    p = t.raw("part").select(F.col("p_type").alias("operation"), F.col("p_brand").alias("repo"), "p_partkey")
-    return joins.operations(p.filter("p_partkey % 50 = 1"), p.filter("p_partkey % 50 = 2"))
+    p = t.raw("part").select(F.concat_ws("/", "p_name", "p_type").alias("operation"), F.col("p_brand").alias("repo"), (F.col("p_size") > 25).alias("serves"))
+    return joins.operations(p.filter("not serves"), p.filter("serves"))
 
 
 _OLD_NEW = """#old as (select kind, repo, file, name, line, cyclomatic from facts where symbol_kind = 'method' and line % 10 <> 0),
@@ -437,7 +519,12 @@ def j16(t):
 
 @query("a1_statistics", "select symbol_kind, round(avg(cyclomatic), 6) as mean, round(stddev_pop(cyclomatic), 6) as deviation from facts where symbol_kind is not null group by 1")
 def a1(t):
-    return t.facts().filter("symbol_kind is not null").groupBy("symbol_kind").agg(F.round(F.avg("cyclomatic"), 6).alias("mean"), F.round(F.stddev_pop("cyclomatic"), 6).alias("deviation"))
+    return ag.statistics(t.facts().filter("symbol_kind is not null"), "cyclomatic", "symbol_kind")
+
+
+@query("a6_half_up", "select p_partkey, cast(sign(p_size - 25) * floor(abs((p_size - 25) / 8.0) * 100 + 0.5) / 100 as double) as rounded from part")
+def a6(t):
+    return t.raw("part").select("p_partkey", fn.half_up((F.col("p_size") - 25) / F.lit(8.0), 2).alias("rounded"))
 
 
 @query("a2_outliers", "#m as (select name, cyclomatic from facts where symbol_kind = 'method'), l as (select round(avg(cyclomatic) + 2 * stddev_pop(cyclomatic), 9) as threshold from m) select name, cyclomatic from m, l where cyclomatic > threshold")
@@ -577,6 +664,13 @@ def u6(t):
     return ag.set_prop(f, F.col("exported"), "visibility", F.lit("public")).select("name", F.element_at("props", "visibility").alias("visibility"))
 
 
+@query("t4_evidence", "#e as (select distinct src, dst from part_links where src <> dst), r as (select dst as name, src, row_number() over (partition by dst order by src) as k from e) select p.name, coalesce(array_to_string(list(src order by src) filter (k <= 8), ','), '') as evidence, greatest(count(src) - 8, 0) as more from prt p left join r using (name) group by p.name")
+def t4(t):
+    users = t.part_links().filter("src <> dst").select(F.col("dst").alias("name"), F.col("src").alias("user"))
+    out = ag.capped_evidence(t.parts().select("name"), users, "name", "user")
+    return out.select("name", F.coalesce(F.array_join("sample", ","), F.lit("")).alias("evidence"), "more")
+
+
 # -- explainers
 
 
@@ -629,7 +723,7 @@ def e7(t):
 
 @query("e8_dead_methods", "select name, 'order' || o_orderkey as bare from ord")
 def e8(t):
-    return explainers.dead_methods(t.facts(), t.edges())
+    return explainers.dead_methods(t.facts(), t.edges("calls"))
 
 
 @query("e9_entry_points", "#steps as (select distinct src as a, dst as b from part_links where src <> dst), walk(name) as (select name from prt where p_partkey < 10 union select b from walk join steps on a = name) select p_type as mechanism, count(*) as n, (select round(avg(case when name in (select name from walk) then 1 else 0 end), 6) from prt) as reached_share from prt where p_partkey < 10 group by 1", recursive=True)
@@ -654,6 +748,15 @@ def e12(t):
     return explainers.hotspots(t.edges())
 
 
+@query(
+    "e13_dependency_depth",
+    "#links as (select distinct src, dst from part_links where src < dst), chain(root, at_, s) as (select name, name, 1 from (select src as name from links union select dst from links) union select root, dst, s + 1 from chain join links on src = at_), d as (select root as component, cast(max(s) as integer) as depth from chain group by 1) select component, depth from d where depth >= 3 order by depth desc, component limit 10",
+    recursive=True,
+)
+def e13(t):
+    return explainers.dependency_depth(t.part_links().filter("src < dst"), least=3)
+
+
 @query("e14_surface", "select module, count(*) as symbols, count(*) filter (exported) as exported, round(count(*) filter (exported) / count(*), 6) as ratio from (select regexp_replace(file, '/[^/]*$', '') as module, exported from facts where kind = 'symbol' and symbol_kind <> 'method') group by 1 having count(*) >= 3 and count(*) filter (exported) / count(*) >= 0.8 order by symbols desc, module limit 20")
 def e14(t):
     return explainers.exported_surface(t.facts().filter("symbol_kind <> 'method'"), least=3, share=0.8)
@@ -680,7 +783,7 @@ def e18(t):
     return explainers.vendored(t.raw("part").select(F.concat(F.lit("app/vendor/"), "p_brand", F.lit("/"), name).alias("file")))
 
 
-@query("e19_import_closure", "#steps as (select distinct importer as a, target as b from dependencies where importer <> target and coupling = 'import'), walk(root, name, depth) as (select dir, dir, 0 from nat union select root, b, depth + 1 from walk join steps on a = name where depth < 20), f as (select root, name, min(depth) as depth from walk group by 1, 2) select root, count(*) - 1 as size, max(depth) as depth from f group by root", recursive=True)
+@query("e19_import_closure", "#steps as (select distinct importer as a, target as b from dependencies where importer <> target and coupling = 'import'), walk(root, name, depth) as (select dir, dir, 0 from nat union select root, b, depth + 1 from walk join steps on a = name where depth < (select count(*) from nat)), f as (select root, name, min(depth) as depth from walk group by 1, 2) select root, count(*) - 1 as size, max(depth) as depth from f group by root", recursive=True)
 def e19(t):
     d = t.dependencies().filter("coupling = 'import'").select(F.lit("imports").alias("rel"), F.col("importer").alias("src"), F.col("target").alias("dst"))
     return explainers.import_closures(d, t.nations().select(F.col("dir").alias("name")))
@@ -859,9 +962,9 @@ def d10b(t):
     return out.select("antecedent", "consequent", "support", "matched", "confidence")
 
 
-@query("d13_blame", "#rev as (select o_orderpriority as line, cast(o_orderkey % 6 as integer) as k, count(*) as n from orders where o_orderkey < 4000 and (o_orderkey % 6 <> 3 or o_orderpriority <> '5-LOW') group by 1, 2), ks as (select distinct k from rev), full_ as (select l.line, ks.k, coalesce(n, 0) as n from (select distinct line from rev) l cross join ks left join rev on rev.line = l.line and rev.k = ks.k), d as (select line, k, n - coalesce(lag(n) over (partition by line order by k), 0) as delta from full_) select line, 'r' || min(k) filter (delta <> 0) as introduced, cast(sum(greatest(delta, 0)) as bigint) as added, cast(sum(greatest(-delta, 0)) as bigint) as removed, sum(delta) > 0 as present from d where contains(line, '-') group by line")
+@query("d13_blame", "#rev as (select o_orderpriority as line, cast(o_orderkey % 6 as integer) as k, count(*) as n from orders where o_orderkey % 6 <> 3 or o_orderpriority <> '5-LOW' group by 1, 2), ks as (select distinct k from rev), full_ as (select l.line, ks.k, coalesce(n, 0) as n from (select distinct line from rev) l cross join ks left join rev on rev.line = l.line and rev.k = ks.k), d as (select line, k, n - coalesce(lag(n) over (partition by line order by k), 0) as delta from full_) select line, 'r' || min(k) filter (delta <> 0) as introduced, cast(sum(greatest(delta, 0)) as bigint) as added, cast(sum(greatest(-delta, 0)) as bigint) as removed, sum(delta) > 0 as present from d where contains(line, '-') group by line")
 def d13(t):
-    o = t.raw("orders").filter("o_orderkey < 4000 and (o_orderkey % 6 <> 3 or o_orderpriority <> '5-LOW')")
+    o = t.raw("orders").filter("o_orderkey % 6 <> 3 or o_orderpriority <> '5-LOW'")
     k = (F.col("o_orderkey") % 6).cast("int")
     revisions = o.groupBy(F.col("o_orderpriority").alias("line"), k.alias("k")).agg(F.count("*").alias("n")).select(F.concat(F.lit("r"), "k").alias("revision_id"), F.timestamp_seconds(F.col("k") * 86400).alias("at"), "line", "n")
     return history.blame(history.patches(revisions), "-")
@@ -908,30 +1011,42 @@ def fn_names(t):
 
 
 def _envelopes(t: Tables) -> DataFrame:
-    """One run for each user: users 1, 2 and 3 of five lack the end, fail, or have a hole in their batches."""
+    """One run for each user, a node and an edge for each event: users 1, 2 and 3 of five lack the end, fail, or have a hole in their batches; 4 names its scope in a last batch."""
     from pyspark.sql.window import Window
 
-    from ..schema import ENVELOPE, NODE, OWNER
+    from ..schema import EDGE, ENVELOPE, NODE, OWNER
 
     e = t.raw("events").select("user_id", "event_id", "event_type")
     owner = F.struct(F.lit("user").alias("kind"), F.col("user_id").cast("string").alias("id"))
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) + F.when((F.col("user_id") % 5 == 3) & (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) > 1), 1).otherwise(0)
+    owners, grows = F.array(owner).cast(f"array<{OWNER}>"), F.col("user_id") % 5 == 4
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    seq = place + F.when((F.col("user_id") % 5 == 3) & (place > 1), 1).otherwise(0)
     head = [F.lit(2).alias("schema_version"), F.col("user_id").cast("string").alias("repo_id"), F.lit("c").alias("context_id"), F.lit("run").alias("run_id")]
-    users = e.groupBy("user_id").agg(F.count("*").cast("int").alias("batch_count"))
-    begin = users.select(*head, F.lit("begin_replace").alias("type"), F.lit(0).cast("long").alias("base_generation"), F.lit(1).cast("long").alias("target_generation"), F.array(owner).cast(f"array<{OWNER}>").alias("owner_scope"), F.lit(1).alias("owner_scope_len"))
-    node = F.struct(owner.alias("owner"), F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("kind"), F.lit("").alias("name"), F.lit(0).alias("occurrence"))
-    batch = e.select(*head, F.lit("batch").alias("type"), F.lit("resolved").alias("phase"), seq.cast("int").alias("seq"), F.array(node).cast(f"array<{NODE}>").alias("nodes"))
-    end = users.filter("user_id % 5 <> 1").select(*head, F.lit("end_replace").alias("type"), "batch_count", F.when(F.col("user_id") % 5 == 2, "error").otherwise("success").alias("status"))
+    users = e.groupBy("user_id").agg(F.count("*").cast("int").alias("n"))
+    begin = users.select(
+        *head, F.lit("begin_replace").alias("type"), F.lit(0).cast("long").alias("base_generation"), F.lit(1).cast("long").alias("target_generation"), F.when(grows, "incremental").alias("scope_mode"),
+        F.when(grows, F.array().cast(f"array<{OWNER}>")).otherwise(owners).alias("owner_scope"), F.when(grows, 0).otherwise(1).alias("owner_scope_len"),
+    )
+    key = F.col("event_id").cast("string")
+    node = F.struct(owner.alias("owner"), key.alias("id"), F.col("event_type").alias("kind"), F.lit("").alias("name"), F.lit(0).alias("occurrence"))
+    none = F.lit(None).cast("string")
+    edge = F.struct(owner.alias("owner"), F.concat(F.lit("e"), key).alias("id"), key.alias("source_id"), F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("target"), none.alias("target_id"), F.lit("resolved").alias("resolution"), F.lit(0).alias("occurrence"))
+    batch = e.select(*head, F.lit("batch").alias("type"), F.lit("resolved").alias("phase"), seq.cast("int").alias("seq"), F.array(node).cast(f"array<{NODE}>").alias("nodes"), F.array(edge).cast(f"array<{EDGE}>").alias("edges"))
+    scope = users.filter(grows).select(*head, F.lit("batch").alias("type"), F.lit("scope").alias("phase"), (F.col("n") + 1).alias("seq"), owners.alias("owners"))
+    end = users.filter("user_id % 5 <> 1").select(
+        *head, F.lit("end_replace").alias("type"), (F.col("n") + grows.cast("int")).alias("batch_count"), F.when(F.col("user_id") % 5 == 2, "error").otherwise("success").alias("status"), F.lit(1).alias("owner_scope_len"),
+        F.when(grows, F.sha2(F.concat(F.lit("user\0"), F.col("user_id").cast("string")).cast("binary"), 256)).alias("owner_scope_digest"),
+    )
     out = t.spark.createDataFrame([], ENVELOPE)
-    for part in (begin, batch, end):
+    for part in (begin, batch, scope, end):
         out = out.unionByName(part, allowMissingColumns=True)
-    return out
+    return out.unionByName(batch, allowMissingColumns=True)  # every batch arrives twice
 
 
 def _verdicts(t: Tables) -> DataFrame:
     from ..streaming import protocol
 
-    return protocol.judged(_envelopes(t), t.spark.createDataFrame([], protocol.Consumer.LOG))
+    return cut(protocol.judged(_envelopes(t), t.spark.createDataFrame([], protocol.Consumer.LOG)))
 
 
 @query("r3_verdicts", "select cast(user_id as varchar) as repo_id, case when user_id % 5 = 1 then 'open' when user_id % 5 = 2 then 'failed' when user_id % 5 = 3 and count(*) > 1 then 'bad_sequence' else 'apply' end as verdict from events group by user_id")
@@ -939,13 +1054,25 @@ def r3(t):
     return _verdicts(t).select("repo_id", "verdict")
 
 
-@query("r2_replacement", "#n as (select user_id, count(*) as c from events group by 1) select cast(e.user_id as varchar) as repo_id, cast(event_id as varchar) as id, event_type as kind, 1 as generation from events e join n using (user_id) where user_id % 5 in (0, 4) or (user_id % 5 = 3 and c = 1) union all select '-1', 'old', 'kept', 0")
+_OLD_STATE = "repo_id string, context_id string, owner string, part string, id string, kind string, occurrence int, payload string, generation long"
+
+
+@query("r2_replacement", "#n as (select user_id, count(*) as c from events group by 1), x as (select cast(e.user_id as varchar) as repo_id, event_id, event_type from events e join n using (user_id) where user_id % 5 in (0, 4) or (user_id % 5 = 3 and c = 1)) select repo_id, 'node' as part, cast(event_id as varchar) as id, event_type as kind, 1 as generation from x union all select repo_id, 'edge', 'e' || event_id, event_type, 1 from x union all select '-1', 'node', 'old', 'kept', 0 union all select cast(u as varchar), 'edge', 'old', 'other owner', 0 from (select min(user_id) as u from events where user_id % 5 = 0)")
 def r2(t):
     from ..streaming import protocol
 
-    before = t.raw("events").agg(F.min("user_id").alias("u"))
-    old = before.select(F.lit("-1").alias("repo_id"), F.lit("c").alias("context_id"), F.lit("user\0-1").alias("owner"), F.lit("old").alias("id"), F.lit("kept").alias("kind"), F.lit(0).alias("occurrence"), F.lit(0).cast("long").alias("generation"))
-    return protocol.replaced(old, _envelopes(t), _verdicts(t)).select("repo_id", "id", "kind", "generation")
+    first = t.raw("events").filter("user_id % 5 = 0").agg(F.min("user_id").cast("string").alias("u")).first()["u"]
+    old = [("-1", "c", "user\0-1", "node", "old", "kept", 0, "{}", 0), (first, "c", f"user\0{first}", "edge", "gone", "replaced", 0, "{}", 0), (first, "c", "user\0other", "edge", "old", "other owner", 0, "{}", 0)]
+    state = t.spark.createDataFrame(old, _OLD_STATE)
+    return protocol.replaced(state, _envelopes(t), _verdicts(t)).select("repo_id", "part", "id", "kind", "generation")
+
+
+@query("r5_same_state", "#n as (select user_id, count(*) as c from events group by 1) select 'user' || chr(0) || user_id as owner, count(*) as n from events join n using (user_id) where user_id % 5 in (0, 4) or (user_id % 5 = 3 and c = 1) group by 1")
+def r5(t):
+    from ..streaming import protocol
+
+    state = protocol.replaced(t.spark.createDataFrame([], _OLD_STATE), _envelopes(t), _verdicts(t))
+    return protocol.canonical(state).filter("part = 'edge'").groupBy("owner").agg(F.count("*").alias("n"))
 
 
 @query("d2_graded", "select source, title, case when informational then 'informational' when source in ('cycles', 'layers', 'constraints') and confidence >= 1.0 then 'fail' else 'warn' end as verdict from (select case cast(p_partkey % 3 as integer) when 0 then 'cycles' when 1 then 'layers' else 'surface' end as source, 'part ' || p_partkey as title, case when p_size > 25 then 1.0 else 0.5 end as confidence, p_partkey % 7 = 0 as informational from part)")
@@ -978,10 +1105,99 @@ def d10c(t):
 
 @query("u6_remove_where", "select repo, count(*) as n from facts where not (kind = 'symbol' and not exported) group by repo")
 def u6b(t):
-    return ag.counts(t.facts().filter(~((F.col("kind") == "symbol") & ~F.col("exported"))), "repo")
+    return ag.counts(ag.remove_where(t.facts(), (F.col("kind") == "symbol") & ~F.col("exported")), "repo")
 
 
 @query("t2_capped_findings", "#f as (select repo, name as title, cast(cyclomatic as double) as confidence from facts where symbol_kind = 'method'), r as (select *, row_number() over (partition by repo order by confidence desc, title) as rank, greatest(count(*) over (partition by repo) - 50, 0) as omitted from f) select repo, title, rank, omitted from r where rank <= 50")
 def t2(t):
     found = t.facts().filter("symbol_kind = 'method'").select("repo", F.col("name").alias("title"), F.col("cyclomatic").cast("double").alias("confidence"))
     return explainers.capped_findings(found).select("repo", "title", "rank", "omitted")
+
+
+@query("d6_gate", "#g as (select case cast(p_partkey % 3 as integer) when 0 then 'cycles' when 1 then 'layers' else 'surface' end as source, case when p_partkey % 7 = 0 then 'informational' when p_partkey % 3 < 2 and p_size > 25 then 'fail' else 'warn' end as verdict from part), n as (select source, verdict, count(*) as n from g where verdict <> 'informational' group by 1, 2) select case when max(case when verdict = 'fail' or (source = 'surface' and n > 100000000) then 1 else 0 end) = 1 then 'regression' else 'clean' end as status, case when max(case when verdict = 'fail' then 1 else 0 end) = 1 then 1 else 0 end as code from n")
+def d6(t):
+    source = F.when(F.col("p_partkey") % 3 == 0, "cycles").when(F.col("p_partkey") % 3 == 1, "layers").otherwise("surface")
+    found = t.raw("part").select(source.alias("source"), F.concat(F.lit("part "), "p_partkey").alias("title"), F.when(F.col("p_size") > 25, 1.0).otherwise(0.5).alias("confidence"), (F.col("p_partkey") % 7 == 0).alias("informational"))
+    status, code = diffing.gate(found, diffing.Policy(thresholds={"surface": 100_000_000}))
+    return t.spark.createDataFrame([(status, code)], "status string, code int")
+
+
+def _findings(t: Tables, rest: int, more: float) -> DataFrame:
+    p = t.raw("part").filter(F.col("p_partkey") % 5 != rest)
+    return p.select(F.col("p_brand").alias("source"), F.concat(F.lit("Part "), F.col("p_name"), F.lit(": size "), (F.col("p_size") + more).cast("int").cast("string")).alias("title"), (F.col("p_size") / 50.0).alias("confidence"))
+
+
+_FOUND = """select p_brand as source, 'Part ' || p_name || ': size #' as key, max('Part ' || p_name || ': size ' || cast(p_size + {more} as integer)) as title from part where p_partkey % 5 <> {rest} group by 1, 2"""
+
+
+@query(
+    "d2_buckets",
+    "#a as (" + _FOUND.format(rest=1, more=0) + "), b as (" + _FOUND.format(rest=2, more=1) + "), j as (select coalesce(a.source, b.source) as source, a.title as old, b.title as new, coalesce(a.key, b.key) as key from a full outer join b on a.source = b.source and a.key = b.key) select source, coalesce(new, old) as title, case when old is null then case when hit then 'new' else 'new_incidental' end when new is null then case when hit then 'resolved' else 'resolved_incidental' end when old <> new then 'changed' else 'same' end as bucket from (select *, len(list_filter(regexp_split_to_array(coalesce(new, old), '[\s,:()]+'), lambda w: w = 'red' or w = 'blue')) > 0 as hit from j)",
+)
+def d2b(t):
+    touched = t.spark.createDataFrame([("red",), ("blue",)], "name string")
+    return diffing.diff_findings(_findings(t, 1, 0), _findings(t, 2, 1), touched).select("source", "title", "bucket")
+
+
+@query("d4_focus", "select name, kind from facts where contains(lower(coalesce(name, '')), 'asia') or contains(lower(coalesce(role, '')), 'asia')")
+def d4(t):
+    return diffing.focus(t.facts().select("name", "kind", "role"), "ASIA", ["name", "role"]).select("name", "kind")
+
+
+@query("d9_plan_check", "#r as (select name, p_partkey % 4 = 0 as gone, p_size <= 10 as bad from prt) select name, 'lost' as change from r where bad and gone union all select 'lib/new.Part' || p_partkey, 'gained' from prt where p_partkey % 10 = 3")
+def d9(t):
+    cols = ["name", "file", "p_size"]
+    p = t.parts()
+    out = p.filter("p_partkey % 4 = 0").select(F.lit("-").alias("op"), *cols)
+    new = p.filter("p_partkey % 10 = 3").select(F.lit("+").alias("op"), F.concat(F.lit("lib/new.Part"), "p_partkey").alias("name"), "file", F.lit(1).cast(dict(p.dtypes)["p_size"]).alias("p_size"))
+    return diffing.plan_check(p.select(*cols), out.unionByName(new), lambda f: f.filter("p_size <= 10").select("name")).select("name", "change")
+
+
+@query("d11_thinned", "#l as (select o_orderkey as revision_id, cast(o_orderdate as timestamp) as at_ from orders), c as (select cast(date '1995-01-01' as timestamp) as lim) select revision_id from l, c where at_ >= lim union all select max(revision_id) from l, c where at_ < lim group by cast(at_ as date)")
+def d11(t):
+    log = t.raw("orders").select(F.col("o_orderkey").alias("revision_id"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    return history.thinned(log, "1995-01-01").select("revision_id")
+
+
+@query(
+    "d12_log_graph",
+    "#l as (select o_orderkey as revision_id, o_orderpriority as branch, cast(o_orderdate as timestamp) as at_ from orders), f as (select branch, row_number() over (order by min(at_), branch) - 1 as lane from l group by branch), g as (select *, case when epoch(at_) - epoch(lag(at_) over (partition by branch order by at_, revision_id)) > 86400 then 1 else 0 end as gap from l) select g.revision_id, g.branch, cast(f.lane as integer) as lane, cast(sum(gap) over (partition by g.branch order by at_, revision_id rows unbounded preceding) as bigint) as epoch from g join f using (branch)",
+)
+def d12(t):
+    log = t.raw("orders").select(F.col("o_orderkey").alias("revision_id"), F.col("o_orderpriority").alias("branch"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    return history.log_graph(log).select("revision_id", "branch", F.col("lane").cast("int").alias("lane"), "epoch")
+
+
+@query("x8_client_seams", "select src as name, 'GET' as method, dst as path, 'client' as role from implementations where starts_with(dst, 'lib/Brand#1.')")
+def x8(t):
+    calls = t.implementations().select("src", F.regexp_extract("dst", "^([^.]+)", 1).alias("dst"), F.col("dst").alias("argument"))
+    return linking.client_seams(calls, t.spark.createDataFrame([("lib/Brand#1", "GET")], "function string, method string"))
+
+
+@query("x8_grpc_names", "select p.p_partkey, case when n.c = 1 then 'pkg.' || p.p_name else p.p_name end as service from part p join (select p_name, count(distinct p_name || '/' || k) as c from (select p_name, case when p_partkey % 9 = 0 then 'other' else 'pkg' end as k from part) group by 1) n using (p_name)")
+def x8b(t):
+    p = t.raw("part")
+    package = F.when(F.col("p_partkey") % 9 == 0, "other.").otherwise("pkg.")
+    return linking.grpc_names(p.select("p_partkey", F.col("p_name").alias("service")), p.select(F.concat(package, "p_name").alias("name"))).select("p_partkey", "service")
+
+
+@query("x8_vendored_specs", "select p_partkey, case when p_partkey % 2 = 0 and p_partkey % 3 = 0 then 'client' when p_partkey % 2 = 0 then 'server' else 'client' end as role from part")
+def x8c(t):
+    routes = t.raw("part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, "server").otherwise("client").alias("role"), F.when(F.col("p_partkey") % 3 == 0, "app/vendor/api.yaml").otherwise("app/api.yaml").alias("file"))
+    return linking.vendored_specs(routes).select("p_partkey", "role")
+
+
+@query("x9_handlers", "#h as (select regexp_extract(name, '([^./]*)$', 1) as handler, count(distinct name) as n, min(name) as symbol from supp group by 1) select p_partkey, case when n = 1 then symbol end as symbol from part left join h on h.handler = 'Supplier' || p_partkey")
+def x9c(t):
+    routes = t.raw("part").select("p_partkey", F.concat(F.lit("Supplier"), "p_partkey").alias("handler"))
+    return linking.handlers(routes, t.suppliers().select("name")).select("p_partkey", "symbol")
+
+
+@query("x9_mixins", "select distinct o.name as src, s.name as target from (select distinct l_orderkey, l_suppkey from lineitem where l_linenumber = 1) l join ord o on o.o_orderkey = l.l_orderkey join supp s on s.s_suppkey = l.l_suppkey")
+def x9d(t):
+    first = t.raw("lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_suppkey").distinct()
+    o = t.orders().select("o_orderkey", "name")
+    calls = first.join(o, first["l_orderkey"] == o["o_orderkey"]).select(F.col("name").alias("src"), F.concat(F.lit("C"), "l_orderkey").alias("owner"), F.concat(F.lit("m"), "l_suppkey").alias("bare"))
+    includes = t.raw("orders").select(F.concat(F.lit("C"), "o_orderkey").alias("class"), F.lit("Mixin").alias("mixin"))
+    methods = t.suppliers().select(F.lit("Mixin").alias("owner"), F.concat(F.lit("m"), "s_suppkey").alias("bare"), "name")
+    return linking.mixin_owners(calls, includes, methods)

@@ -58,6 +58,11 @@ class Tables:
             )
         )
 
+    def order_names(self) -> DataFrame:
+        """What edges need of the orders, without their line items."""
+        o, c = self.raw("orders").select("o_orderkey", "o_custkey"), self.customers()
+        return o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", "repo", F.concat("name", F.lit(".order"), "o_orderkey").alias("name"), "file")
+
     def facts(self) -> DataFrame:
         def rows(df: DataFrame, kind: str, symbol_kind: Column, exported: Column, language: str, line: Column, role: Column, cyclomatic: Column, loop_depth: Column) -> DataFrame:
             return df.select(
@@ -84,20 +89,27 @@ class Tables:
 
     def calls(self) -> DataFrame:
         """Order methods call the parts and suppliers of their line items (repeats kept)."""
-        lines = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-        o = self.orders().select("o_orderkey", "repo", F.col("name").alias("src"), F.col("file").alias("src_file"))
-        p = self.parts().select("p_partkey", F.col("name").alias("dst"), F.col("file").alias("dst_file"))
-        s = self.suppliers().select("s_suppkey", F.col("name").alias("dst"), F.col("file").alias("dst_file"))
-        ends = lines.join(o, lines["l_orderkey"] == o["o_orderkey"])
-        to_part = ends.join(p, ends["l_partkey"] == p["p_partkey"])
-        to_supplier = ends.join(s, ends["l_suppkey"] == s["s_suppkey"])
-        return to_part.select(*_edge("calls")).unionByName(to_supplier.select(*_edge("calls")))
+        return self._named_calls(self._call_keys())
+
+    def _call_keys(self) -> DataFrame:
+        """``l_orderkey, to, key``: calls as whole numbers, of a part (0) or a supplier (1)."""
+        lines = self.raw("lineitem")
+        ends = F.array(F.struct(F.lit(0).alias("to"), F.col("l_partkey").alias("key")), F.struct(F.lit(1).alias("to"), F.col("l_suppkey").alias("key")))
+        return lines.select("l_orderkey", F.inline(ends))
+
+    def _named_calls(self, keys: DataFrame) -> DataFrame:
+        o = self.order_names().select(F.col("o_orderkey").alias("l_orderkey"), "repo", F.col("name").alias("src"), F.col("file").alias("src_file"))
+        p = self.parts().select(F.lit(0).alias("to"), F.col("p_partkey").alias("key"), F.col("name").alias("dst"), F.col("file").alias("dst_file"))
+        s = self.suppliers().select(F.lit(1).alias("to"), F.col("s_suppkey").alias("key"), F.col("name").alias("dst"), F.col("file").alias("dst_file"))
+        return keys.join(o, "l_orderkey").join(p.unionByName(s), ["to", "key"]).select(*_edge("calls"))
 
     def part_links(self) -> DataFrame:
         """A sparse graph between parts of neighbouring lines of an order."""
         a = self.raw("lineitem").select("l_orderkey", F.col("l_linenumber").alias("line_a"), F.col("l_partkey").alias("a"))
         b = self.raw("lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("line_a"), F.col("l_partkey").alias("b"))
-        near = a.join(b, ["l_orderkey", "line_a"]).filter((F.col("a") * 31 + F.col("b")) % 19 == 0)
+        return self._named_links(a.join(b, ["l_orderkey", "line_a"]).filter((F.col("a") * 31 + F.col("b")) % 19 == 0).select("a", "b"))
+
+    def _named_links(self, near: DataFrame) -> DataFrame:
         p = self.parts()
         src = p.select(F.col("p_partkey").alias("a"), "repo", F.col("name").alias("src"), F.col("file").alias("src_file"))
         dst = p.select(F.col("p_partkey").alias("b"), F.col("name").alias("dst"), F.col("file").alias("dst_file"))
@@ -130,12 +142,27 @@ class Tables:
         owned = self.customers().select("repo", "dir", "name", "file").unionByName(self.suppliers().select("repo", "dir", "name", "file")).unionByName(self.parts().select("repo", "dir", "name", "file"))
         return owned.select("repo", F.col("dir").alias("src"), F.lit("module").alias("src_kind"), F.lit("declares").alias("rel"), F.col("name").alias("dst"), F.lit("symbol").alias("dst_kind"), F.col("dir").alias("src_file"), F.col("file").alias("dst_file"))
 
-    def edges(self) -> DataFrame:
-        """All edges, repeats dropped."""
-        out = self.calls()
-        for part in (self.part_links(), self.implementations(), self.imports(), self.declares()):
-            out = out.unionByName(part)
-        return out.dropDuplicates(["src", "src_kind", "rel", "dst", "dst_kind"])
+    def edges(self, *rels: str) -> DataFrame:
+        """The edges of the given relations (none: of all), repeats dropped.
+
+        Names follow from keys, so repeats are dropped among pairs of whole numbers where a
+        relation is made of keys, and names are attached to what is left.
+        """
+        a = self.raw("lineitem").select("l_orderkey", F.col("l_linenumber").alias("line_a"), F.col("l_partkey").alias("a"))
+        b = self.raw("lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("line_a"), F.col("l_partkey").alias("b"))
+        links = a.join(b, ["l_orderkey", "line_a"]).filter((F.col("a") * 31 + F.col("b")) % 19 == 0).select("a", "b")
+        makers = {
+            "calls": lambda: self._named_calls(self._call_keys().distinct()),
+            "depends_on": lambda: self._named_links(links.distinct()),
+            "implements": self.implementations,
+            "imports": lambda: self.imports().dropDuplicates(["src", "dst"]),
+            "declares": self.declares,
+        }
+        out = None
+        for rel, make in makers.items():
+            if not rels or rel in rels:
+                out = make() if out is None else out.unionByName(make())
+        return out
 
     def routes(self) -> DataFrame:
         """Pages as routes: host is the repository, every third page a server."""

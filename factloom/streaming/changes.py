@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoints import checkpoint_dir
+from ..checkpoints import checkpoint_dir, cut
 from .protocol import message_id
 
 CHANGE = "epoch long, seq long, path string, op string, at timestamp"
@@ -30,26 +30,35 @@ def bursts(changes: DataFrame, *, quiet: str = "2 seconds", late: str = "1 minut
 
 
 class Publisher:
-    """Appends envelopes to a folder of JSON lines, each message once; for ``foreachBatch`` or whole frames."""
+    """Writes envelopes to a folder of JSON lines, each message once; for ``foreachBatch`` or whole frames.
+
+    A batch's messages are one folder, which also says that they were sent: there is no
+    second log that a failure could leave behind, and a repeated batch writes its folder again.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         checkpoint_dir(spark)
 
     def sent(self) -> DataFrame:
+        """``repo_id, context_id, msg_id, batch`` of all messages in the folder."""
+        keys = "repo_id string, context_id string, run_id string, type string, seq int, batch long"
         try:
-            return self.spark.read.parquet(f"{self.path}/sent")
+            out = self.spark.read.schema(keys).json(f"{self.path}/out")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], "repo_id string, context_id string, msg_id string")
+            out = self.spark.createDataFrame([], keys)
+        return out.select("repo_id", "context_id", message_id().alias("msg_id"), "batch")
 
-    def publish(self, envelopes: DataFrame, _: int = 0) -> int:
-        """The number of messages sent; those that were sent before are left out."""
-        keys = ["repo_id", "context_id", "msg_id"]
-        fresh = envelopes.withColumn("msg_id", message_id()).dropDuplicates(keys).join(self.sent(), keys, "left_anti").checkpoint()
+    def publish(self, envelopes: DataFrame, batch: int | None = None) -> int:
+        """The number of messages in the batch's folder; those that another batch sent are left out."""
+        keys, sent = ["repo_id", "context_id", "msg_id"], self.sent()
+        if batch is None:
+            batch = (sent.agg(F.max("batch")).first()[0] or 0) + 1
+        others = sent.filter(F.col("batch") != batch).select(*keys)
+        fresh = cut(envelopes.withColumn("msg_id", message_id()).dropDuplicates(keys).join(others, keys, "left_anti").drop("msg_id"))
         n = fresh.count()
         if n:
-            fresh.drop("msg_id").write.mode("append").json(f"{self.path}/out")
-            fresh.select(*keys).write.mode("append").parquet(f"{self.path}/sent")
+            fresh.write.mode("overwrite").json(f"{self.path}/out/batch={batch}")
         return n

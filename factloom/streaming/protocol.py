@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..schema import ENVELOPE
 
-ROW = "owner_kind string, owner_id string, id string, kind string, occurrence int, generation long"
-
+RUN = ["repo_id", "context_id", "run_id"]
+_SAME = ["repo_id", "context_id", "owner", "part", "id", "kind", "occurrence", "payload"]
 
 def read_envelopes(spark: SparkSession, path: str, *, stream: bool = True, files: int = 100) -> DataFrame:
     """Envelopes as JSON lines; a trigger takes so many files at most, which bounds a micro-batch."""
@@ -32,84 +33,127 @@ def owner_digest(owners: Column) -> Column:
     return F.sha2(F.array_join(named, "\n").cast("binary"), 256)
 
 
-def batch_digest(seqs_ids: Column) -> Column:
-    return F.sha2(F.array_join(F.array_sort(seqs_ids), "\n").cast("binary"), 256)
+def batch_hash() -> Column:
+    """sha256 of a batch's whole content: phase, number, nodes, edges and owners."""
+    return F.sha2(F.to_json(F.struct("phase", "seq", "nodes", "edges", "owners")).cast("binary"), 256)
+
+
+def run_digests(envelopes: DataFrame) -> DataFrame:
+    """``repo_id, context_id, run_id, batch_digest``: sha256 over the hashes of each run's batches in their order, one short hash a batch."""
+    hashes = envelopes.filter("type = 'batch'").select(*RUN, "seq", batch_hash().alias("_h")).distinct()
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", "_h"))), lambda x: x["_h"])
+    return hashes.groupBy(*RUN).agg(F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("batch_digest"))
+
+
+def _owner(c: str) -> Column:
+    return F.concat_ws("\0", f"{c}.kind", f"{c}.id")
+
+
+def scopes(envelopes: DataFrame) -> DataFrame:
+    """``repo_id, context_id, run_id, owner``: the owners that a run replaces, as its begin and its scope batches name them."""
+    begin = envelopes.filter("type = 'begin_replace'").select(*RUN, F.explode("owner_scope").alias("o"))
+    grown = envelopes.filter("type = 'batch' and phase = 'scope'").select(*RUN, F.explode("owners").alias("o"))
+    return begin.unionByName(grown).select(*RUN, _owner("o").alias("owner")).distinct()
+
+
+def written(envelopes: DataFrame) -> DataFrame:
+    """Nodes and edges of resolved and epoch batches as rows of the state: local and scope batches write nothing."""
+    mine = envelopes.filter("type = 'batch' and phase in ('resolved', 'epoch')")
+    nodes = mine.select(*RUN, F.explode("nodes").alias("x")).select(*RUN, _owner("x.owner").alias("owner"), F.lit("node").alias("part"), "x.id", "x.kind", "x.occurrence", F.to_json(F.struct("x.name")).alias("payload"))
+    edges = mine.select(*RUN, F.explode("edges").alias("x")).select(*RUN, _owner("x.owner").alias("owner"), F.lit("edge").alias("part"), "x.id", "x.kind", "x.occurrence", F.to_json(F.struct("x.source_id", "x.target", "x.target_id", "x.resolution")).alias("payload"))
+    return nodes.unionByName(edges)
 
 
 def judged(envelopes: DataFrame, applied: DataFrame) -> DataFrame:
-    """Each run's verdict: apply, duplicate, stale, open, failed, bad_sequence, bad_digest, bad_scope or out_of_scope.
+    """Each run's verdict: apply, duplicate, waiting, stale, open, failed, bad_sequence, bad_digest, bad_scope or out_of_scope.
 
     ``applied(repo_id, context_id, run_id, generation)`` is the log of commits.
     Repeated messages with equal content count once; a repeated number with
-    other content is bad.
+    other content is bad.  Every node and edge must belong to an owner in the
+    run's final scope, that of its begin and its scope batches; an incremental
+    run must state that scope's size and digest at its end.
     """
-    e = envelopes.withColumn("msg_id", message_id()).withColumn("_hash", F.xxhash64(F.to_json(F.struct("type", "seq", "nodes", "edges", "owner_scope", "status", "batch_count"))))
+    e = envelopes.withColumn("msg_id", message_id()).withColumn("_hash", F.when(F.col("type") == "batch", batch_hash()).otherwise(F.sha2(F.to_json(F.struct("type", "owner_scope", "status", "batch_count")).cast("binary"), 256)))
     once = e.dropDuplicates(["repo_id", "context_id", "msg_id", "_hash"])
-    is_, ids = lambda t: F.col("type") == t, F.transform("nodes", lambda n: n["id"])
-    runs = once.groupBy("repo_id", "context_id", "run_id").agg(
+    is_ = lambda t: F.col("type") == t
+    runs = once.groupBy(*RUN).agg(
         F.max(F.when(is_("begin_replace"), F.col("base_generation"))).alias("base"),
         F.max(F.when(is_("begin_replace"), F.col("target_generation"))).alias("target"),
-        F.max(F.when(is_("begin_replace"), F.struct("owner_scope", "owner_scope_len", "owner_scope_digest"))).alias("begin"),
+        F.max(F.when(is_("begin_replace"), F.struct("owner_scope_len", "owner_scope_digest", "scope_mode", F.size("owner_scope").alias("named"), owner_digest(F.col("owner_scope")).alias("digest")))).alias("begin"),
         F.sum(is_("batch").cast("int")).alias("batches"),
         F.count_distinct(F.when(is_("batch"), F.col("seq"))).alias("seqs"),
         F.max(F.when(is_("batch"), F.col("seq"))).alias("last_seq"),
         F.min(F.when(is_("batch"), F.col("seq"))).alias("first_seq"),
-        F.max(F.when(is_("end_replace"), F.struct("batch_count", "status", "batch_digest"))).alias("end"),
-        F.flatten(F.collect_list(F.when(is_("batch"), ids))).alias("ids"),
-        F.array_distinct(F.flatten(F.collect_list(F.when(is_("batch"), F.transform("nodes", lambda n: n["owner"]))))).alias("written"),
+        F.max(F.when(is_("end_replace"), F.struct("batch_count", "status", "batch_digest", "owner_scope_len", "owner_scope_digest"))).alias("end"),
     )
-    runs = runs.select("repo_id", "context_id", "run_id", "base", "target", "begin", "end", "ids", "written", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("batches", "seqs", "last_seq", "first_seq")))
+    runs = runs.select(*RUN, "base", "target", "begin", "end", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("batches", "seqs", "last_seq", "first_seq")))
+    scope = scopes(once)
+    size = scope.groupBy(*RUN).agg(F.count("*").alias("scope_size"))
+    # the digest is over the sorted owners, so it needs them together: only for runs that state one at their end
+    stated = runs.filter("end.owner_scope_digest is not null").select(*RUN)
+    digest = scope.join(stated, RUN, "left_semi").groupBy(*RUN).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("owner")), "\n").cast("binary"), 256).alias("scope_digest"))
+    outside = written(once).select(*RUN, "owner").distinct().join(scope, [*RUN, "owner"], "left_anti").select(*RUN).distinct().withColumn("outside", F.lit(True))
     log = applied.groupBy("repo_id", "context_id").agg(F.max("generation").alias("at"))
-    done = applied.select("repo_id", "context_id", "run_id", F.lit(True).alias("done")).distinct()
-    out = runs.join(log, ["repo_id", "context_id"], "left").join(done, ["repo_id", "context_id", "run_id"], "left")
-    scope = F.col("begin.owner_scope")
-    bad_scope = (F.size(scope) != F.col("begin.owner_scope_len")) | (F.col("begin.owner_scope_digest").isNotNull() & (F.col("begin.owner_scope_digest") != owner_digest(scope)))
+    done = applied.select(*RUN, F.lit(True).alias("done")).distinct()
+    out = runs.join(log, ["repo_id", "context_id"], "left")
+    for more in (done, size, digest, outside, run_digests(once).withColumnRenamed("batch_digest", "content")):
+        out = out.join(more, RUN, "left")
+    at, final = F.coalesce("at", F.lit(0)), F.coalesce("scope_size", F.lit(0))
+    growing = F.coalesce(F.col("begin.scope_mode") == "incremental", F.lit(False))
+    bad_scope = (
+        (~growing & (F.col("begin.named") != F.col("begin.owner_scope_len")))
+        | (~growing & F.col("begin.owner_scope_digest").isNotNull() & (F.col("begin.owner_scope_digest") != F.col("begin.digest")))
+        | (growing & (F.col("end.owner_scope_len").isNull() | F.col("end.owner_scope_digest").isNull()))
+        | (F.coalesce("end.owner_scope_len", F.lit(0)) != F.when(growing | (F.coalesce("end.owner_scope_len", F.lit(0)) != 0), final).otherwise(0))
+        | (F.col("end.owner_scope_digest").isNotNull() & (F.col("end.owner_scope_digest") != F.coalesce("scope_digest", F.sha2(F.lit("").cast("binary"), 256))))
+    )
     verdict = (
         F.when(F.col("done"), "duplicate")
         .when(F.col("begin").isNull() | F.col("end").isNull(), "open")
         .when(F.col("end.status") != "success", "failed")
-        .when(F.col("base") != F.coalesce("at", F.lit(0)), "stale")
+        .when(F.col("base") > at, "waiting")
+        .when(F.col("base") < at, "stale")
         .when((F.col("batches") != F.col("seqs")) | (F.col("seqs") != F.col("end.batch_count")) | ((F.col("seqs") > 0) & ((F.col("first_seq") != 1) | (F.col("last_seq") != F.col("seqs")))), "bad_sequence")
-        .when(F.col("end.batch_digest").isNotNull() & (F.col("end.batch_digest") != batch_digest(F.col("ids"))), "bad_digest")
-        .when(bad_scope, "bad_scope")
-        .when(F.size(F.array_except("written", scope)) > 0, "out_of_scope")
+        .when(F.col("end.batch_digest").isNotNull() & (F.col("end.batch_digest") != F.coalesce("content", F.lit(""))), "bad_digest")
+        .when(F.coalesce(bad_scope, F.lit(False)), "bad_scope")
+        .when(F.col("outside"), "out_of_scope")
         .otherwise("apply")
     )
-    return out.withColumn("verdict", verdict).select("repo_id", "context_id", "run_id", "base", "target", "verdict")
+    return out.withColumn("verdict", verdict).select(*RUN, "base", "target", "verdict")
 
 
 def replaced(state: DataFrame, envelopes: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The state after all runs to apply: owners in a run's scope lose their rows, resolved batches' rows take their place; an epoch also drops owners outside its scope."""
-    go = verdicts.filter("verdict = 'apply'").select("repo_id", "context_id", "run_id", "target")
-    mine = envelopes.join(go, ["repo_id", "context_id", "run_id"])
-    owner = lambda c: F.concat_ws("\0", f"{c}.kind", f"{c}.id")
-    scope = mine.filter("type = 'begin_replace'").select("repo_id", "context_id", F.explode("owner_scope").alias("o")).select("repo_id", "context_id", owner("o").alias("owner")).distinct()
-    epochs = mine.filter("phase = 'epoch'").select("repo_id", "context_id").distinct()
-    fresh = mine.filter("type = 'batch' and phase in ('resolved', 'epoch')").select("repo_id", "context_id", F.col("target").alias("generation"), F.explode("nodes").alias("n")).select("repo_id", "context_id", owner("n.owner").alias("owner"), "n.id", "n.kind", "n.occurrence", "generation").distinct()
-    kept = state.join(scope, ["repo_id", "context_id", "owner"], "left_anti").join(epochs, ["repo_id", "context_id"], "left_anti")
+    """The state after all runs to apply: owners in a run's final scope lose their nodes and edges, and the run's take their place; an epoch also drops owners outside its scope."""
+    go = verdicts.filter("verdict = 'apply'").select(*RUN, "target")
+    mine = envelopes.join(go, RUN)
+    epochs = mine.filter("phase = 'epoch' or scope_mode = 'epoch'").select("repo_id", "context_id").distinct()
+    fresh = written(mine).distinct().join(go, RUN).select("repo_id", "context_id", "owner", "part", "id", "kind", "occurrence", "payload", F.col("target").alias("generation"))
+    kept = state.join(scopes(mine).select("repo_id", "context_id", "owner").distinct(), ["repo_id", "context_id", "owner"], "left_anti").join(epochs, ["repo_id", "context_id"], "left_anti")
     return kept.unionByName(fresh)
 
 
 def canonical(state: DataFrame) -> DataFrame:
-    return state.select("repo_id", "context_id", "owner", "id", "kind", "occurrence").orderBy("repo_id", "context_id", "owner", "id", "occurrence")
+    return state.select(*_SAME).orderBy(*_SAME)
 
 
 def same_state(a: DataFrame, b: DataFrame) -> bool:
     """Whether two states are the same multiset, generations apart."""
-    cols = ["repo_id", "context_id", "owner", "id", "kind", "occurrence"]
-    x, y = a.select(*cols), b.select(*cols)
+    x, y = a.select(*_SAME), b.select(*_SAME)
     return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
 
 
 class Consumer:
-    """Applies envelopes kept under ``path``: a log of seen envelopes, of commits, and versions of the state.
+    """Applies envelopes, kept under ``path``: the envelopes of runs that aren't settled, a log of commits, and each graph's state by generation.
 
-    ``run_batch`` is for ``foreachBatch``: a repeated batch changes nothing,
-    since commits are keyed by run and the state's version by the batch that wrote it.
+    ``run_batch`` is for ``foreachBatch``.  A graph's new state is written before its commit, in
+    a folder of its own generation, so a batch that is repeated after a failure
+    writes the same again; one that was finished changes nothing.  Only graphs that
+    a batch changes are rewritten, and only unsettled runs are kept.
     """
 
-    STATE = "repo_id string, context_id string, owner string, id string, kind string, occurrence int, generation long"
+    STATE = "repo_id string, context_id string, owner string, part string, id string, kind string, occurrence int, payload string, generation long"
     LOG = "repo_id string, context_id string, run_id string, generation long"
+    _KEPT = STATE + ", graph string, at long"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -123,32 +167,74 @@ class Consumer:
             return self.spark.createDataFrame([], schema)
 
     def commits(self) -> DataFrame:
-        return self._read("commits", self.LOG + ", version long").select("repo_id", "context_id", "run_id", "generation").distinct()
+        return self._read("commits", self.LOG).distinct()
+
+    def current(self) -> DataFrame:
+        """``graph, at``: the committed generation of each graph."""
+        return self.commits().groupBy(_graph().alias("graph")).agg(F.max("generation").alias("at"))
 
     def state(self) -> DataFrame:
-        rows = self._read("state", self.STATE + ", version long")
-        last = rows.agg(F.max("version").alias("_v"))
-        return rows.join(F.broadcast(last)).filter("version = _v").drop("version", "_v")
+        return self._read("state", self._KEPT).join(self.current(), ["graph", "at"], "left_semi").drop("graph", "at")
 
     def run_batch(self, batch: DataFrame, version: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.path}/pending/version={version}")
+        files = _Files(self.spark, self.path)
+        if f"version={version}" in files.names("unsettled"):
+            return
+        batch.write.mode("overwrite").parquet(f"{self.path}/incoming/version={version}")
+        earlier = [n for n in files.names("unsettled") if n.startswith("version=")]
+        waiting = self._read("incoming/" + f"version={version}", ENVELOPE)
+        for n in earlier:
+            waiting = waiting.unionByName(self._read(f"unsettled/{n}", ENVELOPE))
         while True:  # a run may wait for one that is applied in this turn: each turn applies one generation at least
-            pending = self._read("pending", ENVELOPE + ", version long").drop("version")
-            verdicts = judged(pending, self.commits()).filter("verdict = 'apply'")
-            first = verdicts.groupBy("repo_id", "context_id").agg(F.min(F.struct("target", "run_id")).alias("m")).select("repo_id", "context_id", F.col("m.run_id").alias("run_id"), F.col("m.target").alias("target"), F.lit("apply").alias("verdict"))
+            verdicts = cut(judged(waiting, self.commits()))
+            first = verdicts.filter("verdict = 'apply'").groupBy("repo_id", "context_id").agg(F.min(F.struct("target", "run_id")).alias("m"))
+            first = cut(first.select("repo_id", "context_id", F.col("m.run_id").alias("run_id"), F.col("m.target").alias("target"), F.lit("apply").alias("verdict")))
             if first.isEmpty():
-                return
-            first = self.spark.createDataFrame(first.collect(), first.schema)  # one row for each graph
-            rows = self._read("state", self.STATE + ", version long")
-            now = (rows.agg(F.max("version")).first()[0] or 0) + 1
-            after = replaced(self.state(), pending, first)
-            after.withColumn("version", F.lit(now).cast("long")).write.mode("append").parquet(f"{self.path}/state")
-            first.select("repo_id", "context_id", "run_id", F.col("target").alias("generation"), F.lit(now).cast("long").alias("version")).write.mode("append").parquet(f"{self.path}/commits")
+                break
+            touched = self.state().join(first.select("repo_id", "context_id"), ["repo_id", "context_id"], "left_semi")
+            after = replaced(touched, waiting, first).join(first.select("repo_id", "context_id", F.col("target").alias("at")), ["repo_id", "context_id"])
+            after.withColumn("graph", _graph()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph", "at").parquet(f"{self.path}/state")
+            first.select(*RUN, F.col("target").alias("generation")).write.mode("append").parquet(f"{self.path}/commits")
+        open_runs = verdicts.filter("verdict in ('open', 'waiting')").select(*RUN)
+        waiting.join(open_runs, RUN, "left_semi").write.mode("overwrite").parquet(f"{self.path}/unsettled/version={version}")
+        for n in earlier:
+            files.delete(f"unsettled/{n}")
+        files.delete("incoming")
+
+    def compact(self) -> int:
+        """Remove the folders of generations that aren't current; their number."""
+        files, kept = _Files(self.spark, self.path), {(r["graph"], f"at={r['at']}") for r in self.current().toLocalIterator()}
+        gone = [f"state/{g}/{a}" for g in files.names("state") if g.startswith("graph=") for a in files.names(f"state/{g}") if a.startswith("at=") and (g.removeprefix("graph="), a) not in kept]
+        for name in gone:
+            files.delete(name)
+        return len(gone)
 
     def start(self, envelopes: DataFrame, checkpoint: str):
         return envelopes.writeStream.foreachBatch(self.run_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _graph() -> Column:
+    return F.substring(F.sha2(F.concat_ws("\0", "repo_id", "context_id").cast("binary"), 256), 1, 16)
+
+
+class _Files:
+    """Names in a folder of any store that Spark writes to, and their removal."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.path = spark._jvm, path
+        self.fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def names(self, name: str) -> list[str]:
+        at = self._at(name)
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self._at(name), True)
+
+
 def fork(consumer: Consumer, path: str, expected: tuple[str, str, int, str]) -> Consumer:
     """A consumer that starts from another's state, if that is at the expected (repository, context, generation, run)."""
     repo, context, generation, run = expected
@@ -156,8 +242,9 @@ def fork(consumer: Consumer, path: str, expected: tuple[str, str, int, str]) ->
     if at is None or (at["generation"], at["run_id"]) != (generation, run):
         raise ValueError("the seed isn't at the expected generation and run")
     out = Consumer(consumer.spark, path)
-    consumer.state().withColumn("version", F.lit(1).cast("long")).write.mode("overwrite").parquet(f"{path}/state")
-    consumer.commits().withColumn("version", F.lit(1).cast("long")).write.mode("overwrite").parquet(f"{path}/commits")
+    held = consumer._read("state", Consumer._KEPT).join(consumer.current(), ["graph", "at"], "left_semi")
+    held.write.mode("overwrite").partitionBy("graph", "at").parquet(f"{path}/state")
+    consumer.commits().write.mode("overwrite").parquet(f"{path}/commits")
     return out
 
 
