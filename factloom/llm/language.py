@@ -216,11 +216,12 @@ def training_rows(documents: DataFrame, *, key: str = "doc_id", text: str = "tex
         if held is not None:
             yield from held.to_batches()
 
-    edge = hashed.select("h", "lang").mapInArrow(least, "h long, lang string").distinct().orderBy("h", "lang").limit(rows).agg(F.max("h")).first()[0]
+    edge = hashed.select("h", "lang").mapInArrow(least, "h long, lang string").distinct().orderBy("h", "lang").limit(rows).agg(F.max(F.struct("h", "lang"))).first()[0]
     if edge is None:
         return []
-    # repeated rows are put together before their features are made
-    sample = hashed.filter(F.col("h") <= edge).groupBy("h", "lang").agg(F.first("_t").alias("_t"))
+    # repeated rows are put together before their features are made; no more than ``rows`` are left
+    first = (F.col("h") < edge["h"]) | ((F.col("h") == edge["h"]) & (F.col("lang") <= edge["lang"]))
+    sample = hashed.filter(first).groupBy("h", "lang").agg(F.first("_t").alias("_t"))
 
     def run(batches):
         for batch in batches:
@@ -232,8 +233,7 @@ def training_rows(documents: DataFrame, *, key: str = "doc_id", text: str = "tex
                     names=["h", "lang", "ids", "share"],
                 )
 
-    # the last hash may stand for several rows: the limit holds all the same
-    got = sample.mapInArrow(run, "h long, lang string, ids array<int>, share array<float>").orderBy("h", "lang").limit(rows).toArrow()
+    got = sample.mapInArrow(run, "h long, lang string, ids array<int>, share array<float>").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
     return [(lang, np.array(i, np.int32), np.array(s, np.float32)) for lang, i, s in zip(got.column("lang").to_pylist(), (x.values.to_numpy() for x in got.column("ids")), (x.values.to_numpy() for x in got.column("share")), strict=True)]
 
 
