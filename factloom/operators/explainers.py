@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import dirname, is_test_path, short_name
+from ..functions.names import dirname, half_up, is_test_path, short_name
 from . import aggregates, components, graph, traversal
 
 
@@ -48,14 +48,27 @@ def complexity_outliers(facts: DataFrame, *, least: int = 10, k: float = 2.0, mo
     return found.orderBy(F.desc("cyclomatic"), "name").limit(most).select("name", "cyclomatic")
 
 
+#: Data members, whose uses are no edges, and folders whose code is loaded by path.
+DATA_MEMBERS = ("variable", "constant")
+LOADED_FOLDERS = ("migrate", "post_migrate", "script", "scripts", "vendor")
+
+
 def unreferenced(facts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Symbols that nothing else refers to: ``isolated`` without edges out, else ``unreferenced``; confidence by kind."""
-    symbols = facts.filter("kind = 'symbol'").select("name", "symbol_kind").distinct()
-    used = edges.filter("src <> dst and rel <> 'declares'").select(F.col("dst").alias("name")).distinct()
-    out = edges.filter("rel <> 'declares'").select(F.col("src").alias("name"), F.lit(True).alias("_out")).distinct()
-    left = symbols.join(used, "name", "left_anti").join(out, "name", "left")
+    """Symbols that nothing else refers to: ``isolated`` without edges out, else ``unreferenced``; ``test_only`` where tests alone do.  Confidence by kind.
+
+    Data members, and code in tests or in folders that are loaded by path, say nothing and are left out.
+    """
+    loaded = F.arrays_overlap(F.split("file", "/"), F.array(*map(F.lit, LOADED_FOLDERS)))
+    symbols = facts.filter("kind = 'symbol'").filter(~F.coalesce(F.col("symbol_kind").isin(*DATA_MEMBERS), F.lit(False)) & ~is_test_path(F.col("file")) & ~loaded).select("name", "symbol_kind").distinct()
+    other, test = F.col("src") != F.col("dst"), F.coalesce(is_test_path(F.col("src_file")), F.lit(False)) if "src_file" in edges.columns else F.lit(False)
+    into = F.struct(F.col("dst").alias("name"), (other & ~test).cast("int").alias("used"), (other & test).cast("int").alias("tested"), F.lit(0).alias("out"))
+    out_of = F.struct(F.col("src").alias("name"), F.lit(0).alias("used"), F.lit(0).alias("tested"), F.lit(1).alias("out"))
+    # one pass over the edges
+    seen = edges.filter("rel <> 'declares'").select(F.inline(F.array(into, out_of))).groupBy("name").agg(*(F.max(c).alias(c) for c in ("used", "tested", "out")))
+    left = symbols.join(seen, "name", "left").filter(F.coalesce("used", F.lit(0)) == 0)
     tier = F.when(F.col("symbol_kind") == "function", "high").when(F.col("symbol_kind").isin("struct", "class", "interface"), "medium").otherwise("low")
-    return left.select("name", F.when(F.col("_out").isNull(), "isolated").otherwise("unreferenced").alias("category"), tier.alias("confidence"))
+    category = F.when(F.col("tested") == 1, "test_only").when(F.coalesce("out", F.lit(0)) == 0, "isolated").otherwise("unreferenced")
+    return left.select("name", category.alias("category"), tier.alias("confidence"))
 
 
 def dead_methods(facts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -141,13 +154,13 @@ def messaging_coverage(declared: DataFrame, implemented: DataFrame) -> DataFrame
     return both.withColumn("state", state).groupBy("repo", "state").agg(F.count("*").alias("n"))
 
 
-def performance(methods: DataFrame, loop_calls: DataFrame, *, expensive: DataFrame | None = None, handlers: DataFrame | None = None) -> DataFrame:
-    """Nested loops, compounded loops and calls in loops: ``name, finding, severity, depth, confidence, risk``.
+def performance(methods: DataFrame, loop_calls: DataFrame, *, expensive: DataFrame | None = None, handlers: DataFrame | None = None, recursive: DataFrame | None = None) -> DataFrame:
+    """Nested loops, compounded loops, calls in loops and recursion: ``name, finding, severity, depth, confidence, risk``.
 
-    ``methods(name, loop_depth)``; ``loop_calls(src, dst)``.  The depth is the own or
+    ``methods(name, loop_depth)``; ``loop_calls(src, dst)``; ``recursive(name)`` are methods flagged as calling themselves.  The depth is the own or
     effective loop depth; confidence is .8 and .55, .9 for confirmed calls,
-    capped at .5 from depth four and .35 from six; risk weighs severity, half more for
-    nothing, 1.3 for route handlers, to two places.
+    capped at .5 from depth four and .35 from six, and .5 for recursion; risk is the
+    confidence times the order of growth (recursion: 2.5), 1.3 times as much for route handlers, to two places.
     """
     depth = components.effective_depth(methods.select("name", F.col("loop_depth").alias("depth")), loop_calls)
     nested = depth.filter("own >= 2").select("name", F.lit("nested-loop").alias("finding"), F.when(F.col("own") >= 3, "high").otherwise("medium").alias("severity"), F.col("own").alias("depth"), F.lit(0.8).alias("base"))
@@ -156,12 +169,17 @@ def performance(methods: DataFrame, loop_calls: DataFrame, *, expensive: DataFra
     if expensive is not None:
         costly = loop_calls.join(expensive.select(F.col("name").alias("dst")), "dst", "left_semi").select(F.col("src").alias("name")).distinct().join(depth, "name")
         out = out.unionByName(costly.select("name", F.lit("call-in-loop").alias("finding"), F.lit("high").alias("severity"), F.greatest(F.lit(1), F.col("own")).alias("depth"), F.lit(0.9).alias("base")))
-    out = out.withColumn("confidence", F.when(F.col("depth") >= 6, F.least("base", F.lit(0.35))).when(F.col("depth") >= 4, F.least("base", F.lit(0.5))).otherwise(F.col("base"))).drop("base")
-    weight = F.when(F.col("severity") == "high", 3.0).when(F.col("severity") == "medium", 2.0).otherwise(1.0)
+    if recursive is not None:
+        again = depth.join(recursive.select("name").distinct(), "name", "left_semi")
+        out = out.unionByName(again.select("name", F.lit("recursion").alias("finding"), F.lit("medium").alias("severity"), F.col("own").alias("depth"), F.lit(0.5).alias("base")))
+    deep = F.when(F.col("finding") != "recursion", F.col("depth")).otherwise(0)
+    out = out.withColumn("confidence", F.when(deep >= 6, F.least("base", F.lit(0.35))).when(deep >= 4, F.least("base", F.lit(0.5))).otherwise(F.col("base"))).drop("base")
+    order = F.when(F.col("finding") == "nested-loop", F.col("depth")).otherwise(F.least("depth", F.lit(4))).cast("double")  # estimates beyond the third power are no exponents
+    weight = F.when(F.col("finding") == "recursion", 2.5).when(order < 1, 0.5).otherwise(order)
     if handlers is not None:
         out = out.join(handlers.select("name", F.lit(1.3).alias("_h")).distinct(), "name", "left")
         weight = weight * F.coalesce("_h", F.lit(1.0))
-    return out.withColumn("risk", F.round(weight * F.col("confidence"), 2)).drop("_h")
+    return out.withColumn("risk", half_up(weight * F.col("confidence"), 2)).drop("_h")
 
 
 def vendored(files: DataFrame, *, least: int = 3) -> DataFrame:

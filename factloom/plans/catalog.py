@@ -807,16 +807,14 @@ def e21(t):
     return explainers.unreferenced(t.facts(), t.edges())
 
 
-@query("e22_performance", "select name, 'nested-loop' as finding, case when loop_depth >= 3 then 'high' else 'medium' end as severity, loop_depth as depth, cast(case when loop_depth >= 4 then 0.5 else 0.8 end as double) as confidence, cast(round(case when loop_depth >= 3 then 3.0 else 2.0 end * case when loop_depth >= 4 then 0.5 else 0.8 end, 2) as double) as risk from ord where loop_depth >= 2 union all select distinct o.name, 'call-in-loop', 'high', greatest(1, loop_depth), cast(case when loop_depth >= 4 then 0.5 else 0.9 end as double), cast(round(3.0 * case when loop_depth >= 4 then 0.5 else 0.9 end, 2) as double) from ord o join calls c on c.src = o.name join prt p on p.name = c.dst where loop_depth >= 1 and p_size > 45")
+@query("e22_performance", "#r as (select name, 'nested-loop' as finding, case when loop_depth >= 3 then 'high' else 'medium' end as severity, loop_depth as depth, case when loop_depth >= 4 then 0.5 else 0.8 end as confidence, cast(loop_depth as double) as w from ord where loop_depth >= 2 union all select distinct o.name, 'call-in-loop', 'high', greatest(1, loop_depth), case when loop_depth >= 4 then 0.5 else 0.9 end, cast(greatest(1, loop_depth) as double) from ord o join calls c on c.src = o.name join prt p on p.name = c.dst where loop_depth >= 1 and p_size > 45 union all select name, 'recursion', 'medium', loop_depth, 0.5, 2.5 from ord where o_orderkey % 11 = 0) select name, finding, severity, depth, cast(confidence as double) as confidence, floor(w * confidence * case when handler then 1.3 else 1 end * 100 + 0.5) / 100 as risk from (select r.*, o_orderkey % 13 = 0 as handler from r join ord using (name))")
 def e22(t):
-    o = t.orders()
+    o = t.orders().select("name", "loop_depth", "o_orderkey")
     loops = t.calls().join(o.filter("loop_depth >= 1").select(F.col("name").alias("src")), "src", "left_semi").select("src", "dst")
-    out = explainers.performance(o.select("name", "loop_depth"), loops, expensive=t.parts().filter("p_size > 45").select("name"))
+    out = explainers.performance(o, loops, expensive=t.parts().filter("p_size > 45").select("name"), recursive=o.filter("o_orderkey % 11 = 0"), handlers=o.filter("o_orderkey % 13 = 0"))
     return out.select("name", "finding", "severity", "depth", "confidence", "risk")
 
 
-
-
 # -- constraint forms
 
 _CUSTOMERS = Component(where={"kind": "symbol", "symbol_kind": "class"}, paths=("src/**/customer*.py",))
