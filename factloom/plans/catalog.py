@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
+from ..checkpoints import checkpoint_dir, cut
 from ..functions import names as fn
+from ..functions import scanners
 from ..operators import aggregates as ag
 from ..operators import components, constraints, diffing, explainers, filters, graph, history, joins, linking, traversal
 from ..operators.constraints import Component, Rule
+from ..schema import RELATION
+from ..sources import facts_io
 from ..sources.driver_tables import PRELUDE, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1199,3 +1203,80 @@ def x9d(t):
     includes = t.raw("orders").select(F.concat(F.lit("C"), "o_orderkey").alias("class"), F.lit("Mixin").alias("mixin"))
     methods = t.suppliers().select(F.lit("Mixin").alias("owner"), F.concat(F.lit("m"), "s_suppkey").alias("bare"), "name")
     return linking.mixin_owners(calls, includes, methods)
+
+
+# -- sources and sinks, through the shared folder
+
+
+def _folder(t: Tables, name: str) -> str:
+    return f"{checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored(t: Tables) -> DataFrame:
+    """Facts in the fixed schema."""
+    wanted = t.facts().withColumn("props", F.create_map(F.lit("role"), F.coalesce("role", F.lit("")))).withColumn("end_line", F.col("line"))
+    return wanted.select("repo", "kind", "name", "file", "line", "end_line", "symbol_kind", "exported", "language", "props", F.array().cast(f"array<{RELATION}>").alias("relations"))
+
+
+@query("s4_json_lines", "select kind, count(*) as n, count(distinct name) as names, sum(line) as lines, count(*) filter (coalesce(role, '') = 'BUILDING') as building from facts group by kind")
+def s4(t):
+    path = _folder(t, "facts")
+    facts_io.write_facts(_stored(t), path)
+    back, _ = facts_io.validated(facts_io.read_facts(t.spark, path))
+    return back.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("name").alias("names"), F.sum("line").alias("lines"), F.sum(F.when(F.element_at("props", "role") == "BUILDING", 1).otherwise(0)).alias("building"))
+
+
+@query("s6_snapshot", "select repo, count(*) as n, min(name) as first, max(name) as last from facts group by repo")
+def s6(t):
+    path = _folder(t, "snapshot")
+    facts_io.write_snapshot(_stored(t), None, {"schema_version": 1}, path)
+    facts_io.pin_baseline(t.spark, path, f"{path}-baseline")
+    back, meta = facts_io.read_snapshot(t.spark, f"{path}-baseline")
+    return back.groupBy("repo").agg(F.count("*").alias("n"), F.min("name").alias("first"), F.max("name").alias("last"))
+
+
+@query("s9_changed_share", "#a as (select name, line from facts where symbol_kind = 'method' and line % 10 <> 0), b as (select name, case when line % 7 = 0 then line + 1 else line end as line from facts where symbol_kind = 'method' and line % 11 <> 0), j as (select a.line as x, b.line as y from a full outer join b using (name)) select round(count(*) filter (x is null or y is null or x <> y) / count(*), 6) as share from j")
+def s9(t):
+    m = t.facts().filter("symbol_kind = 'method'").select(F.col("name").alias("file"), "line")
+    old, new = m.filter("line % 10 <> 0"), m.filter("line % 11 <> 0").withColumn("line", F.expr("case when line % 7 = 0 then line + 1 else line end"))
+    hashed = lambda df: df.select("file", F.col("line").cast("string").alias("hash"))
+    return facts_io.changed_share(hashed(old), hashed(new)).select(F.round("share", 6).alias("share"))
+
+
+@query("r6_consumer", "#n as (select user_id, count(*) as c from events group by 1), x as (select cast(e.user_id as varchar) as repo_id, event_id from events e join n using (user_id) where user_id % 5 in (0, 4) or (user_id % 5 = 3 and c = 1)) select repo_id, part, count(*) as n from (select repo_id, 'node' as part from x union all select repo_id, 'edge' from x) group by 1, 2")
+def r6(t):
+    from ..streaming import protocol
+
+    consumer = protocol.Consumer(t.spark, _folder(t, "consumer"))
+    sent = _envelopes(t)
+    consumer.run_batch(sent.filter("type <> 'end_replace'"), 0)  # nothing is settled yet
+    consumer.run_batch(sent.filter("type = 'end_replace'"), 1)
+    return consumer.state().groupBy("repo_id", "part").agg(F.count("*").alias("n"))
+
+
+@query("r9_coalesced", "#l as (select user_id, event_type, max(event_id) as seq from events group by 1, 2), c as (select user_id, max(event_id) - min(event_id) + 1 <> count(distinct event_id) as reconcile from events group by 1) select l.user_id as epoch, l.event_type as path, case when e.value > 50 then 'edit' else 'delete' end as op, l.seq, c.reconcile from l join c using (user_id) join events e on e.event_id = l.seq")
+def r9(t):
+    from ..streaming import changes
+
+    e = t.raw("events").select(F.col("user_id").alias("epoch"), F.col("event_id").alias("seq"), F.col("event_type").alias("path"), F.when(F.col("value") > 50, "edit").otherwise("delete").alias("op"))
+    return changes.coalesced(e).select("epoch", "path", "op", "seq", "reconcile")
+
+
+@query("fn_folded", "select p_partkey, case cast(p_partkey % 3 as integer) when 0 then case when p_partkey % 2 = 0 then '/api/' || p_brand end when 1 then '/part/' || p_partkey else '/parts/{}/' || p_partkey end as literal from part")
+def fn_folded(t):
+    p = t.raw("part").select("p_partkey", "p_brand")
+    key, kind = F.col("p_partkey").cast("string"), F.col("p_partkey") % 3
+    name = F.concat(F.lit("C"), key)
+    call, template = F.concat(F.lit("url('/part/"), key, F.lit("')")), F.concat(F.lit("`${base}/parts/${id}/"), key, F.lit("`"))
+    expressions = p.select("p_partkey", F.lit("a.ts").alias("file"), F.when(kind == 0, name).when(kind == 1, call).otherwise(template).alias("expression"))
+    literal = F.concat(F.lit("/api/"), "p_brand")
+    assigned = p.select(F.lit("a.ts").alias("file"), name.alias("name"), literal.alias("literal")).unionByName(p.filter("p_partkey % 2 = 1").select(F.lit("a.ts").alias("file"), name.alias("name"), F.lit("/again").alias("literal")))
+    return scanners.folded(expressions, assigned).select("p_partkey", "literal")
+
+
+@query("fn_operation_heads", "select p_partkey, case when p_partkey % 2 = 0 then 'query:Part' || p_partkey || ':part' else 'mutation::save' end as heads from part")
+def fn_heads(t):
+    key = F.col("p_partkey").cast("string")
+    text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("# query No { x }\nquery Part"), key, F.lit("($id: ID!) {\n  one: part(id: $id) { name }\n}\n"))).otherwise(F.lit("mutation { save(x: 1) }"))
+    heads = scanners.operation_heads(F.col("text"))
+    return t.raw("part").select("p_partkey", text.alias("text")).select("p_partkey", F.array_join(F.transform(heads, lambda h: F.concat_ws(":", h["kind"], h["name"], h["field"])), ",").alias("heads"))
