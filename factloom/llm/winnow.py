@@ -45,12 +45,20 @@ def _lesser(step: int):
     return lambda x, i: F.least(x, F.get("_h", i + step) - step)
 
 
+def _split(text: Column) -> Column:
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(_BLANK))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))
+
+
+def _cut(words: Column) -> Column:
+    pieces = lambda w: F.when(F.length(w) <= LONG_WORD, F.array(w)).otherwise(F.filter(F.split(w, _CUT), lambda x: x != ""))
+    # bytes are counted without reading a word, so texts without a long one cost next to nothing
+    return F.when(F.exists(words, lambda w: F.octet_length(w) > LONG_WORD), F.flatten(F.transform(words, pieces))).otherwise(words)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, long ones cut."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(_BLANK))
-    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))
-    cut = F.flatten(F.transform(words, lambda w: F.when(F.length(w) <= LONG_WORD, F.array(w)).otherwise(F.filter(F.split(w, _CUT), lambda x: x != ""))))
-    return F.when(F.regexp_like(text, F.lit("[^\\x20\\x09-\\x0D]{%d}" % (LONG_WORD + 1))), cut).otherwise(words)
+    return _cut(_split(text))
 
 
 def with_prints(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -61,7 +69,8 @@ def with_prints(df: DataFrame, text: str, out: str) -> DataFrame:
     its least hashes.  A text of fewer than k words is one gram, one of fewer
     than w grams one window; a text without words, or null, has none.
     """
-    df = df.withColumn("_h", F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w)))
+    df = df.withColumn("_h", _split(F.col(text)))
+    df = df.withColumn("_h", F.transform(_cut(F.col("_h")), lambda w: F.xxhash64(w)))
     df = df.withColumn("_n", F.size("_h"))
     step = 1
     while step < GRAM_WORDS:
