@@ -43,12 +43,13 @@ _TABLE_BITS = 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(maxsize=1)
-def newer() -> re.Pattern:
-    """Code points that Python's Unicode tables don't know, and the two whose combining class has changed since: the library is asked about them."""
-    unknown = [unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)]
-    edges = np.flatnonzero(np.diff(np.array([False, *unknown, False], np.int8)))
-    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in edges.reshape(-1, 2).tolist()) + "\u1ac3\u1ac4]")
+#: Anything beyond stretches of code points that have long been assigned; a first look that costs little.
+_UNUSUAL = re.compile("[^\0-\u0377\u1e00-\u1f15\u2010-\u2027\u2030-\u205e\u20a0-\u20b0\u3041-\u3096\u30a1-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
+
+
+def has_newer(text: str) -> bool:
+    """Whether a text has code points that Python's Unicode tables don't know, or one of the two whose combining class has changed since: the library is asked about them."""
+    return bool(_UNUSUAL.search(text)) and any(c in "\u1ac3\u1ac4" or unicodedata.category(c) == "Cn" for c in set(text))
 
 
 def byte_alphabet() -> list[str]:
@@ -101,7 +102,7 @@ class WordBpe:
 
     def normalise(self, text: str) -> str:
         if not text.isascii():
-            if newer().search(text):
+            if has_newer(text):
                 return self.library.normalizer.normalize_str(text)
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # lower-casing goes by code point: no final sigma
@@ -134,7 +135,7 @@ class WordBpe:
     def pieces(self, word: str) -> list[str]:
         if word.isalpha():
             return [word]
-        if not word.isascii() and newer().search(word):
+        if not word.isascii() and has_newer(word):
             return [word[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(word)]
         return [word[:-1], word[-1]] if word[-1] in _STOPS and word[:-1].isalpha() else _PIECES.findall(word)
 
