@@ -1134,7 +1134,7 @@ _FOUND = """select p_brand as source, 'Part ' || p_name || ': size #' as key, ma
 
 @query(
     "d2_buckets",
-    "#a as (" + _FOUND.format(rest=1, more=0) + "), b as (" + _FOUND.format(rest=2, more=1) + "), j as (select coalesce(a.source, b.source) as source, a.title as old, b.title as new, coalesce(a.key, b.key) as key from a full outer join b on a.source = b.source and a.key = b.key) select source, coalesce(new, old) as title, case when old is null then case when hit then 'new' else 'new_incidental' end when new is null then case when hit then 'resolved' else 'resolved_incidental' end when old <> new then 'changed' else 'same' end as bucket from (select *, len(list_filter(regexp_split_to_array(coalesce(new, old), '[\s,:()]+'), lambda w: w = 'red' or w = 'blue')) > 0 as hit from j)",
+    "#a as (" + _FOUND.format(rest=1, more=0) + "), b as (" + _FOUND.format(rest=2, more=1) + "), j as (select coalesce(a.source, b.source) as source, a.title as old, b.title as new, coalesce(a.key, b.key) as key from a full outer join b on a.source = b.source and a.key = b.key) select source, coalesce(new, old) as title, case when old is null then case when hit then 'new' else 'new_incidental' end when new is null then case when hit then 'resolved' else 'resolved_incidental' end when old <> new then 'changed' else 'same' end as bucket from (select *, len(list_filter(regexp_split_to_array(coalesce(new, old), '[\\s,:()]+'), lambda w: w = 'red' or w = 'blue')) > 0 as hit from j)",
 )
 def d2b(t):
     touched = t.spark.createDataFrame([("red",), ("blue",)], "name string")
