@@ -19,15 +19,21 @@ DEPTH, MOST_DEPTH, NODES, MOST_NODES = 5, 20, 100, 500
 
 
 def steps(edges: DataFrame, direction: str = "forward", rels: list[str] | None = None) -> DataFrame:
-    """Distinct ``a, b`` steps of a walk."""
+    """``a, b`` steps of a walk; repeats stay, as every hop drops them from what it finds."""
     used = edges.filter(F.col("rel").isin(rels)) if rels else edges
     a, b = ("src", "dst") if direction == "forward" else ("dst", "src")
-    return used.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct()
+    return used.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
+
+
+def dealt(moves: DataFrame) -> DataFrame:
+    """Steps dealt by where they begin, once for all hops, so that a hop moves its frontier alone; what an executor loses is computed again."""
+    parts = int(moves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return moves.repartition(parts, "a").persist()
 
 
 def walk(edges: DataFrame, seeds: DataFrame, *, direction: str = "forward", rels: list[str] | None = None, depth: int | None = DEPTH, limit: int = MOST_DEPTH) -> DataFrame:
     """``name, depth`` of all that is reached from ``seeds(name)`` within ``depth`` hops (``None``: to the end), seeds at 0."""
-    moves = steps(edges, direction, rels).persist()  # every hop joins it; what an executor loses is computed again
+    moves = dealt(steps(edges, direction, rels))
     visited = cut(seeds.select("name").distinct().withColumn("depth", F.lit(0)))
     frontier = visited
     for hop in count(1) if depth is None else range(1, min(depth, limit) + 1):
@@ -59,7 +65,7 @@ def traverse(edges: DataFrame, facts: DataFrame, seeds: DataFrame, *, direction:
 def find_path(edges: DataFrame, start: str, end: str, *, depth: int = 10) -> DataFrame:
     """The shortest forward path by hops as ``step, name``; empty if there is none within ``depth`` (20 at most); of equal ones, each parent is the least by name."""
     spark = edges.sparkSession
-    moves = steps(edges).persist()
+    moves = dealt(steps(edges))
     visited = cut(spark.createDataFrame([(start, None, 0)], "name string, parent string, depth int"))
     frontier = visited
     found = start == end
@@ -101,7 +107,7 @@ def closures(edges: DataFrame, roots: DataFrame, *, rels: list[str] | None = Non
     moves = steps(edges, "forward", rels)
     if without is not None:
         moves = moves.filter((F.col("a") != without) & (F.col("b") != without))
-    moves = moves.persist()
+    moves = dealt(moves)
     visited = cut(roots.select(F.col("name").alias("root"), F.col("name")).distinct().withColumn("depth", F.lit(0)))
     frontier = visited
     for hop in count(1) if depth is None else range(1, depth + 1):
