@@ -119,12 +119,16 @@ def module_rollup(edges: DataFrame, homes: DataFrame) -> DataFrame:
 
 
 def literal_bindings(literals: DataFrame, targets: DataFrame) -> DataFrame:
-    """String stimuli (events, components by name) bound to their declared target."""
-    return literals.join(targets, "literal", "left").select("src", "literal", "target")
+    """String stimuli (events, components by name) bound to the one target that declares them; a literal with several targets stays open."""
+    only = targets.groupBy("literal").agg(F.count_distinct("target").alias("_n"), F.min("target").alias("target")).filter("_n = 1").drop("_n")
+    return literals.join(only, "literal", "left").select("src", "literal", "target")
 
 
 def framework_roots(facts: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    return traversal.reached_from_roots(edges, facts, roots)
+    """``name, reached, mechanisms``: what the entry points roots(name, mechanism) reach, and the mechanisms through which a fact is a root itself."""
+    own = roots.groupBy("name").agg(F.array_sort(F.collect_set("mechanism")).alias("mechanisms"))
+    out = traversal.reached_from_roots(edges, facts, roots).join(own, "name", "left")
+    return out.withColumn("mechanisms", F.coalesce("mechanisms", F.array().cast("array<string>")))
 
 
 def unmatched(routes: DataFrame) -> DataFrame:

@@ -1280,3 +1280,17 @@ def fn_heads(t):
     text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("# query No { x }\nquery Part"), key, F.lit("($id: ID!) {\n  one: part(id: $id) { name }\n}\n"))).otherwise(F.lit("mutation { save(x: 1) }"))
     heads = scanners.operation_heads(F.col("text"))
     return t.raw("part").select("p_partkey", text.alias("text")).select("p_partkey", F.array_join(F.transform(heads, lambda h: F.concat_ws(":", h["kind"], h["name"], h["field"])), ",").alias("heads"))
+
+
+@query("x9_framework_roots", "#steps as (select distinct src as a, dst as b from part_links where src <> dst), walk(name) as (select name from prt where p_size > 48 union select b from walk join steps on a = name) select name, name in (select name from walk) as reached, case when p_size > 48 then p_type else '' end as mechanisms from prt", recursive=True)
+def x9e(t):
+    roots = t.parts().filter("p_size > 48").select("name", F.col("p_type").alias("mechanism"))
+    out = linking.framework_roots(t.parts().select("name"), t.part_links(), roots)
+    return out.withColumn("mechanisms", F.array_join("mechanisms", ","))
+
+
+@query("x9_literals", "#d as (select p_name, count(distinct p_type) as n, min(p_type) as target from part where p_size > 45 group by 1) select p_partkey, case when n = 1 then target end as target from part left join d using (p_name)")
+def x9f(t):
+    p = t.raw("part")
+    out = linking.literal_bindings(p.select(F.col("p_partkey").alias("src"), F.col("p_name").alias("literal")), p.filter("p_size > 45").select(F.col("p_name").alias("literal"), F.col("p_type").alias("target")))
+    return out.select(F.col("src").alias("p_partkey"), "target")
