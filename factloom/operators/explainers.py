@@ -61,10 +61,9 @@ def unreferenced(facts: DataFrame, edges: DataFrame) -> DataFrame:
     loaded = F.arrays_overlap(F.split("file", "/"), F.array(*map(F.lit, LOADED_FOLDERS)))
     symbols = facts.filter("kind = 'symbol'").filter(~F.coalesce(F.col("symbol_kind").isin(*DATA_MEMBERS), F.lit(False)) & ~is_test_path(F.col("file")) & ~loaded).select("name", "symbol_kind").distinct()
     other, test = F.col("src") != F.col("dst"), F.coalesce(is_test_path(F.col("src_file")), F.lit(False)) if "src_file" in edges.columns else F.lit(False)
-    into = F.struct(F.col("dst").alias("name"), (other & ~test).cast("int").alias("used"), (other & test).cast("int").alias("tested"), F.lit(0).alias("out"))
-    out_of = F.struct(F.col("src").alias("name"), F.lit(0).alias("used"), F.lit(0).alias("tested"), F.lit(1).alias("out"))
-    # one pass over the edges
-    seen = edges.filter("rel <> 'declares'").select(F.inline(F.array(into, out_of))).groupBy("name").agg(*(F.max(c).alias(c) for c in ("used", "tested", "out")))
+    linked = edges.filter("rel <> 'declares'")
+    into = linked.groupBy(F.col("dst").alias("name")).agg(F.max((other & ~test).cast("int")).alias("used"), F.max((other & test).cast("int")).alias("tested"))
+    seen = into.join(linked.select(F.col("src").alias("name"), F.lit(1).alias("out")).distinct(), "name", "full_outer")
     left = symbols.join(seen, "name", "left").filter(F.coalesce("used", F.lit(0)) == 0)
     tier = F.when(F.col("symbol_kind") == "function", "high").when(F.col("symbol_kind").isin("struct", "class", "interface"), "medium").otherwise("low")
     category = F.when(F.col("tested") == 1, "test_only").when(F.coalesce("out", F.lit(0)) == 0, "isolated").otherwise("unreferenced")

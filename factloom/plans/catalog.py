@@ -727,7 +727,7 @@ def e7(t):
 
 @query("e8_dead_methods", "select name, 'order' || o_orderkey as bare from ord")
 def e8(t):
-    return explainers.dead_methods(t.facts(), t.edges("calls"))
+    return explainers.dead_methods(t.facts(), t.linked("calls"))
 
 
 @query("e9_entry_points", "#steps as (select distinct src as a, dst as b from part_links where src <> dst), walk(name) as (select name from prt where p_partkey < 10 union select b from walk join steps on a = name) select p_type as mechanism, count(*) as n, (select round(avg(case when name in (select name from walk) then 1 else 0 end), 6) from prt) as reached_share from prt where p_partkey < 10 group by 1", recursive=True)
@@ -808,7 +808,7 @@ def e20(t):
 
 @query("e21_unreferenced", "select s.name, case when s.name in (select src from edges where rel <> 'declares') then 'unreferenced' else 'isolated' end as category, case when symbol_kind = 'function' then 'high' when symbol_kind in ('struct', 'class', 'interface') then 'medium' else 'low' end as confidence from (select distinct name, symbol_kind from facts where kind = 'symbol') s where s.name not in (select dst from edges where src <> dst and rel <> 'declares')")
 def e21(t):
-    return explainers.unreferenced(t.facts(), t.edges())
+    return explainers.unreferenced(t.facts(), t.linked("calls", "depends_on", "implements", "imports"))
 
 
 @query("e22_performance", "#r as (select name, 'nested-loop' as finding, case when loop_depth >= 3 then 'high' else 'medium' end as severity, loop_depth as depth, case when loop_depth >= 4 then 0.5 else 0.8 end as confidence, cast(loop_depth as double) as w from ord where loop_depth >= 2 union all select distinct o.name, 'call-in-loop', 'high', greatest(1, loop_depth), case when loop_depth >= 4 then 0.5 else 0.9 end, cast(greatest(1, loop_depth) as double) from ord o join calls c on c.src = o.name join prt p on p.name = c.dst where loop_depth >= 1 and p_size > 45 union all select name, 'recursion', 'medium', loop_depth, 0.5, 2.5 from ord where o_orderkey % 11 = 0) select name, finding, severity, depth, cast(confidence as double) as confidence, floor(w * confidence * case when handler then 1.3 else 1 end * 100 + 0.5) / 100 as risk from (select r.*, o_orderkey % 13 = 0 as handler from r join ord using (name))")
@@ -881,7 +881,7 @@ for _n, (_form, _rule) in enumerate(_RULES.items(), 1):
 
     def _run(t: Tables, rule: Rule = _rule) -> DataFrame:
         more = {"anchors": t.spark.createDataFrame([("a", "lib/Brand#1"), ("b", "lib/Brand#2")], "page string, path string")} if rule.form == "require_governed" else {}
-        edges = t.edges()
+        edges = t.linked(rule.via) if rule.form in ("forbid", "allow", "protocol") else t.edges()
         if rule.form == "require_defines":
             edges = edges.unionByName(graph.has_method_edges(t.facts()))
         if rule.form == "independent":  # some parts depend on what implements them

@@ -164,6 +164,15 @@ class Tables:
                 out = make() if out is None else out.unionByName(make())
         return out
 
+    def linked(self, *rels: str) -> DataFrame:
+        """The edges with their repeats, for what asks only whether there is one: nothing is shuffled to drop them."""
+        makers = {"calls": self.calls, "depends_on": self.part_links, "implements": self.implementations, "imports": self.imports, "declares": self.declares}
+        out = None
+        for rel, make in makers.items():
+            if not rels or rel in rels:
+                out = make() if out is None else out.unionByName(make())
+        return out
+
     def routes(self) -> DataFrame:
         """Pages as routes: host is the repository, every third page a server."""
         url = F.regexp_replace("url", "[?#].*$", "")
