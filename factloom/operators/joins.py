@@ -118,10 +118,10 @@ def import_owner(imports: DataFrame, repos: DataFrame) -> DataFrame:
 
 
 def operations(clients: DataFrame, servers: DataFrame) -> DataFrame:
-    """Client and server ends of one operation name in different repositories."""
-    c = clients.select("operation", F.col("repo").alias("client_repo"))
-    s = servers.select("operation", F.col("repo").alias("server_repo"))
-    return c.join(s, "operation").filter("client_repo <> server_repo").distinct()
+    """Client and server ends of one operation name in different repositories; each end is one row before they meet, so repeats don't multiply."""
+    c = clients.select("operation", F.col("repo").alias("client_repo")).distinct()
+    s = servers.select("operation", F.col("repo").alias("server_repo")).distinct()
+    return c.join(s, "operation").filter("client_repo <> server_repo")
 
 
 def keyed_diff(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], order: list[str]) -> DataFrame:
