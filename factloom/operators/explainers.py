@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +21,11 @@ def god_classes(facts: DataFrame, edges: DataFrame, *, least: int = 8, k: float
     return found.withColumn("confidence", sure).orderBy(F.desc("fan_in"), "name").limit(most).select("name", "fan_in", "confidence")
 
 
-def hotspots(edges: DataFrame, *, least: int = 3, k: float = 2.0, most: int = 20) -> DataFrame:
-    """Names with at least three ways in and out whose product is an outlier."""
+def hotspots(edges: DataFrame, *, least: int = 3, k: float = 2.0, most: int = 20, named: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Names with at least three ways in and out whose product is an outlier; ``named`` puts names in the place of numbers before they are put in order."""
     both = graph.fan_in(edges).join(graph.fan_out(edges), "name").withColumn("score", F.col("fan_in") * F.col("fan_out"))
     found = aggregates.outliers(both, "score", k=k).filter((F.col("fan_in") >= least) & (F.col("fan_out") >= least))
+    found = named(found) if named else found
     return found.orderBy(F.desc("score"), "name").limit(most).select("name", "fan_in", "fan_out", "score")
 
 
@@ -57,14 +60,17 @@ def unreferenced(facts: DataFrame, edges: DataFrame) -> DataFrame:
     """Symbols that nothing else refers to: ``isolated`` without edges out, else ``unreferenced``; ``test_only`` where tests alone do.  Confidence by kind.
 
     Data members, and code in tests or in folders that are loaded by path, say nothing and are left out.
+    Edges whose ends are the numbers ``id`` of the facts say by ``src_test`` whether their source is a test.
     """
+    keyed = "id" in facts.columns
+    key = "id" if keyed else "name"
     loaded = F.arrays_overlap(F.split("file", "/"), F.array(*map(F.lit, LOADED_FOLDERS)))
-    symbols = facts.filter("kind = 'symbol'").filter(~F.coalesce(F.col("symbol_kind").isin(*DATA_MEMBERS), F.lit(False)) & ~is_test_path(F.col("file")) & ~loaded).select("name", "symbol_kind").distinct()
-    other, test = F.col("src") != F.col("dst"), F.coalesce(is_test_path(F.col("src_file")), F.lit(False)) if "src_file" in edges.columns else F.lit(False)
+    symbols = facts.filter("kind = 'symbol'").filter(~F.coalesce(F.col("symbol_kind").isin(*DATA_MEMBERS), F.lit(False)) & ~is_test_path(F.col("file")) & ~loaded).select("name", *(["id"] if keyed else []), "symbol_kind").distinct()
+    other, test = F.col("src") != F.col("dst"), F.col("src_test") if keyed else F.coalesce(is_test_path(F.col("src_file")), F.lit(False)) if "src_file" in edges.columns else F.lit(False)
     linked = edges.filter("rel <> 'declares'")
-    into = linked.groupBy(F.col("dst").alias("name")).agg(F.max((other & ~test).cast("int")).alias("used"), F.max((other & test).cast("int")).alias("tested"))
-    seen = into.join(linked.select(F.col("src").alias("name"), F.lit(1).alias("out")).distinct(), "name", "full_outer")
-    left = symbols.join(seen, "name", "left").filter(F.coalesce("used", F.lit(0)) == 0)
+    into = linked.groupBy(F.col("dst").alias(key)).agg(F.max((other & ~test).cast("int")).alias("used"), F.max((other & test).cast("int")).alias("tested"))
+    seen = into.join(linked.select(F.col("src").alias(key), F.lit(1).alias("out")).distinct(), key, "full_outer")
+    left = symbols.join(seen, key, "left").filter(F.coalesce("used", F.lit(0)) == 0)
     tier = F.when(F.col("symbol_kind") == "function", "high").when(F.col("symbol_kind").isin("struct", "class", "interface"), "medium").otherwise("low")
     category = F.when(F.col("tested") == 1, "test_only").when(F.coalesce("out", F.lit(0)) == 0, "isolated").otherwise("unreferenced")
     return left.select("name", category.alias("category"), tier.alias("confidence"))
